@@ -8,7 +8,7 @@ so every pair is found without comparing all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import list_cell, slug, stem
@@ -31,6 +31,12 @@ def markers(assets: DataFrame, scope: list[str]) -> DataFrame:
     return assets.select(*scope, "asset_id", F.explode(both).alias("marker")).where(F.col("marker") != "")
 
 
+def _pieces(c: str, size: int) -> Column:
+    """All stretches of ``size`` letters of a column."""
+    every = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(F.col(c), i, F.lit(size)))
+    return F.when(F.length(c) >= size, every).otherwise(F.array().cast("array<string>"))
+
+
 def _contained(short: DataFrame, s: str, long: DataFrame, l: str, scope: list[str]) -> DataFrame:
     """Pairs with ``s`` inside ``l``: first letters of ``s`` against all letter groups of ``l``."""
     n = F.length(s)
@@ -38,13 +44,7 @@ def _contained(short: DataFrame, s: str, long: DataFrame, l: str, scope: list[st
     for g in GRAMS[1:]:
         size = F.when(n >= g, F.lit(g)).otherwise(size)
     left = short.where(n >= GRAMS[0]).withColumn("_g", size).withColumn("_gram", F.substr(F.col(s), F.lit(1), F.col("_g")))
-    groups = F.array_distinct(F.flatten(F.array(*[
-        F.when(
-            F.length(l) >= g,
-            F.transform(F.sequence(F.lit(1), F.length(l) - g + 1), lambda i, g=g: F.substr(F.col(l), i, F.lit(g))),
-        ).otherwise(F.array().cast("array<string>"))
-        for g in GRAMS
-    ])))
+    groups = F.array_distinct(F.flatten(F.array(*[_pieces(l, g) for g in GRAMS])))
     right = long.where(F.length(l) >= GRAMS[0]).withColumn("_gram", F.explode(groups))
     return left.join(right, [*scope, "_gram"]).where(F.contains(F.col(l), F.col(s))).select(*scope, s, l)
 
@@ -59,10 +59,7 @@ def _fuzzy_pairs(keys_left: DataFrame, marks: DataFrame, scope: list[str]) -> Da
 
 def _tiny(keys_left: DataFrame, marks: DataFrame, scope: list[str]) -> DataFrame:
     small = marks.where(F.length("marker") < GRAMS[0])
-    pieces = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.length("key") - g + 1), lambda i, g=g: F.substr(F.col("key"), i, F.lit(g)))
-        for g in (1, 2)
-    ])))
+    pieces = F.array_distinct(F.flatten(F.array(_pieces("key", 1), _pieces("key", 2))))
     return keys_left.where(F.length("key") >= GRAMS[0]).withColumn("marker", F.explode(pieces)).join(
         small, [*scope, "marker"], "left_semi").select(*scope, "key", "marker")
 

@@ -110,7 +110,10 @@ def format_list(c: Column) -> Column:
 def normalise_rows(fields: DataFrame) -> DataFrame:
     """Field texts -> typed rows with a ``rule`` column (null when the row is good)."""
     order = [*K.OPTIONAL_TEXT, "producto"]
-    typed = fields.select(
+    rule = (
+        F.when((F.coalesce("formatos", F.lit("")) != "") & (F.size(list_cell(F.col("formatos"))) == 0), "formats")
+        .when(quantity(F.col("cantidad_propuestas")).isNull(), "quantity"))
+    typed = fields.withColumn("rule", rule).select(
         *[c for c in fields.columns if c not in K.HEADER_ALIASES],
         F.when(suppressed(F.col("producto")), "").otherwise(F.coalesce("producto", F.lit(""))).alias("producto"),
         *[optional(F.col(f)).alias(f) for f in K.OPTIONAL_TEXT],
@@ -118,8 +121,7 @@ def normalise_rows(fields: DataFrame) -> DataFrame:
         quantity(F.col("cantidad_propuestas")).alias("cantidad_propuestas"),
         suppressed_list(order).alias("suppressed_fields"),
         mode(F.col("modo")).alias("modo"),
-        F.when((F.coalesce("formatos", F.lit("")) != "") & (F.size(format_list(F.col("formatos"))) == 0), "formats")
-        .when(quantity(F.col("cantidad_propuestas")).isNull(), "quantity").alias("rule"),
+        "rule",
     )
     return typed.withColumn("ai_fields", F.array().cast("array<string>")).withColumn("fila_origen", F.lit(None).cast("int"))
 

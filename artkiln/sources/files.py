@@ -59,8 +59,8 @@ def extension_kind(filename: Column) -> Column:
 
 # Accepted document and font extensions -> kind.
 _DOCUMENT_KINDS = {
-    "docx": "document", "txt": "document", "md": "document", "csv": "document", "tsv": "document", "json": "document",
-    "xlsx": "document", "svg": "document", "ttf": "font", "otf": "font",
+    "docx": "document", "xlsx": "document", "csv": "document", "tsv": "document", "txt": "document", "md": "document",
+    "rtf": "document", "ttf": "font", "otf": "font", "zip": "document",
 }
 
 
