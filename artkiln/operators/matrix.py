@@ -113,7 +113,7 @@ def normalise_rows(fields: DataFrame) -> DataFrame:
     rule = (
         F.when((F.coalesce("formatos", F.lit("")) != "") & (F.size(list_cell(F.col("formatos"))) == 0), "formats")
         .when(quantity(F.col("cantidad_propuestas")).isNull(), "quantity"))
-    typed = fields.withColumn("rule", rule).select(
+    typed = fields.select("*", rule.alias("rule"), meaningful().alias("_keep")).select(
         *[c for c in fields.columns if c not in K.HEADER_ALIASES],
         F.when(suppressed(F.col("producto")), "").otherwise(F.coalesce("producto", F.lit(""))).alias("producto"),
         *[optional(F.col(f)).alias(f) for f in K.OPTIONAL_TEXT],
@@ -121,25 +121,25 @@ def normalise_rows(fields: DataFrame) -> DataFrame:
         quantity(F.col("cantidad_propuestas")).alias("cantidad_propuestas"),
         suppressed_list(order).alias("suppressed_fields"),
         mode(F.col("modo")).alias("modo"),
-        "rule",
+        "rule", "_keep",
     )
     return typed.withColumn("ai_fields", F.array().cast("array<string>")).withColumn("fila_origen", F.lit(None).cast("int"))
 
 
 def meaningful() -> Column:
-    """Does the row order an art at all? A template name alone does not."""
-    texts = [F.col(f) for f in K.OPTIONAL_TEXT if f != "plantilla"]
-    return (
-        (F.col("producto") != "") | F.coalesce(*texts).isNotNull()
-        | (F.size("formatos") > 0) | (F.size("suppressed_fields") > 0)
-    )
+    """Does the row order an art at all? A template name alone does not.
+
+    A written cell counts whether it holds a value or a suppress word, so this
+    looks at the raw cells and stays small in the plan.
+    """
+    texts = ["producto", *[f for f in K.OPTIONAL_TEXT if f != "plantilla"]]
+    return (F.concat_ws("", *texts) != "") | (F.size(list_cell(F.col("formatos"))) > 0) | suppressed(F.col("plantilla"))
 
 
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good meaningful rows, and ``(matrix_id, row_number, rule)`` of the rest."""
-    good = rows.where(F.col("rule").isNull() & meaningful()).drop("rule")
-    bad = rows.where(F.col("rule").isNotNull()).select("matrix_id", "row_number", "rule")
-    return good, bad
+    """Good meaningful rows, and the rest with the rule they break."""
+    good = rows.where(F.col("rule").isNull() & F.col("_keep")).drop("rule", "_keep")
+    return good, rows.where(F.col("rule").isNotNull()).drop("_keep")
 
 
 def parse_matrix_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +148,7 @@ def parse_matrix_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     doubled = header_errors(columns)
     usable = columns.join(doubled.select("matrix_id").distinct(), "matrix_id", "left_anti")
     good, bad = split_errors(normalise_rows(cells_to_fields(cells, usable)))
-    return good, bad.unionByName(doubled.select("matrix_id", "row_number", "rule"))
+    return good, bad.select("matrix_id", "row_number", "rule").unionByName(doubled.select("matrix_id", "row_number", "rule"))
 
 
 def product_count(producto: Column, imagen: Column) -> Column:
@@ -174,7 +174,8 @@ def expand_rows(rows: DataFrame, keys: list[str] | None = None, block: int = ROW
     placed = bucketed_before(
         base, keys, F.floor(F.col("row_number") / block), [F.col("row_number")], {"_before": ("sum", F.col("_extra"))}
     ).join(tops, keys)
-    exploded = placed.select("*", F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i", "_unused"))
+    # The sequence is never empty; the outer form keeps Spark from deriving a filter from it.
+    exploded = placed.select("*", F.posexplode_outer(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i", "_unused"))
     names, files = list_cell(F.col("producto")), list_cell(F.col("imagen"))
     i, split = F.col("_i"), F.col("_n") > 1
     name, file = F.get(names, i), F.get(files, i)

@@ -83,14 +83,18 @@ def select_templates(rows: DataFrame, templates: DataFrame, scope: list[str]) ->
     Rows of a scope share few distinct signatures. Only those meet the
     templates, so the pairing never grows with the number of rows.
     """
-    signed = row_signature(rows)
+    # One struct key: it is never null, so the joins add no conditions on its parts.
+    signed = row_signature(rows).select(*rows.columns, F.struct(*SIGNATURE).alias("_sig"))
     feats = slot_features(templates.where(F.col("approved"))).select(
         *scope, "candidate_id", "name", "ord", "slot_ids", "capacity", "fit_min", "fit_max", "needed", "kind")
-    pairs = signed.select(*scope, *SIGNATURE).distinct().join(feats, scope).withColumn("score", score()).where(F.col("score").isNotNull())
-    best = best_per_group(pairs, [*scope, *SIGNATURE], [-F.col("score"), F.col("ord")],
-                          [*scope, *SIGNATURE, "candidate_id", "name", "score"])
-    best = best.withColumnRenamed("name", "template_name")
-    return signed.join(best, [*scope, *SIGNATURE], "left").select(*rows.columns, "products", "candidate_id", "template_name", "score")
+    distinct = signed.select(*scope, "_sig").distinct().select(*scope, "_sig", *[F.col(f"_sig.{c}").alias(c) for c in SIGNATURE])
+    pairs = distinct.join(feats, scope).withColumn("score", score())
+    fits = F.col("score").isNotNull()
+    picked = F.min_by(F.when(fits, F.struct("candidate_id", "name", "score")), F.when(fits, F.struct(-F.col("score"), F.col("ord"))))
+    best = pairs.groupBy(*scope, "_sig").agg(picked.alias("_p"))
+    return signed.join(best, [*scope, "_sig"], "left").select(
+        *rows.columns, F.col("_sig.products").alias("products"), F.col("_p.candidate_id").alias("candidate_id"),
+        F.col("_p.name").alias("template_name"), F.col("_p.score").alias("score"))
 
 
 def scores(rows: DataFrame, templates: DataFrame, scope: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import plan_plainly
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable] = {}
@@ -60,7 +62,7 @@ class Tables:
     """Given tables and derived inputs of one scale directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir = plan_plainly(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:

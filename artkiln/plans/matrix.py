@@ -207,7 +207,7 @@ def _pieces(t: Tables):
     rows = T.select_templates(expanded(t), nested_templates(t), ["client_id"]).where(F.col("candidate_id").isNotNull())
     formats = C.row_formats(rows.select(*keys, "formatos", "producto", "candidate_id", "template_name", "cantidad_propuestas"),
                             [*keys, "producto", "candidate_id", "template_name", "cantidad_propuestas"])
-    return formats.select("*", F.explode(F.sequence(F.lit(1), F.col("cantidad_propuestas"))).alias("proposal"))
+    return formats.select("*", F.explode_outer(F.sequence(F.lit(1), F.col("cantidad_propuestas"))).alias("proposal"))
 
 
 _PIECES = f""", chosen AS ({selection_sql('rows')}), tokens AS (SELECT client_id, matrix_id, row_number, producto, candidate_id, template_name, cantidad_propuestas AS n, CAST(i AS INT) AS pos, tk[i] AS token FROM

@@ -24,6 +24,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def plan_plainly(spark: SparkSession) -> SparkSession:
+    """Plan wide rule expressions without constraint inference.
+
+    Rows of a matrix carry dozens of long expressions over the same few
+    columns. Inferring constraints for them doubles with every alias and can
+    take minutes of planning while it only adds null checks on keys that are
+    never null. Explicit filters are pushed down as before.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names.
 
