@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .text import rlike, spaced
+from .text import let, rlike, spaced
 
 _SCREEN_CM = 9 / math.sqrt(9**2 + 16**2) * 2.54 * 1.08
 
@@ -24,30 +24,33 @@ def inches(text: Column) -> Column:
 
 
 def family(*texts: Column) -> Column:
-    hay = _haystack(texts)
-    return F.coalesce(*[F.when(rlike(hay, p), F.lit(k)) for k, p, _, _ in K.PRODUCT_FAMILIES])
+    def first(hay):
+        return F.coalesce(*[F.when(rlike(hay, p), F.lit(k)) for k, p, _, _ in K.PRODUCT_FAMILIES])
+
+    return let(_haystack(texts), first)
 
 
 def measure_as(key: Column, *hints: Column) -> Column:
     """``STRUCT<height_cm,family>`` of a known family, refined by inches in the hints."""
-    inch = inches(_haystack(hints))
-    height = F.coalesce(*[F.when(key == k, F.lit(h)) for k, _, h, _ in K.PRODUCT_FAMILIES])
-    label = F.coalesce(*[F.when(key == k, F.lit(n)) for k, _, _, n in K.PRODUCT_FAMILIES])
+    return let(F.struct(key.alias("k"), inches(_haystack(hints)).alias("i")), lambda v: _sized(v["k"], v["i"]))
+
+
+def _sized(key: Column, inch: Column) -> Column:
+    facts = F.create_map(*[c for k, _, h, n in K.PRODUCT_FAMILIES for c in (F.lit(k), F.struct(F.lit(h).alias("h"), F.lit(n).alias("n")))])
+    fact = F.try_element_at(facts, key)
     screen, width = key.isin(*K.SCREEN_FAMILIES), key.isin(*K.WIDTH_FAMILIES)
     sized = (
         F.when(inch.isNotNull() & screen, inch * F.lit(_SCREEN_CM))
         .when(inch.isNotNull() & width, F.when(inch >= 26, 95.0).otherwise(90.0))
-        .otherwise(height)
+        .otherwise(fact["h"])
     )
-    named = F.when(inch.isNotNull() & (screen | width), F.concat(label, F.lit(" de "), inch.cast("string"), F.lit('"')))
+    named = F.when(inch.isNotNull() & (screen | width), F.concat(fact["n"], F.lit(" de "), inch.cast("string"), F.lit('"')))
     return F.when(
-        height.isNotNull(),
-        F.struct(F.bround(sized, 1).alias("height_cm"), F.coalesce(named, label).alias("family")),
-    )
+        fact.isNotNull(), F.struct(F.bround(sized, 1).alias("height_cm"), F.coalesce(named, fact["n"]).alias("family")))
 
 
 def measure(*texts: Column) -> Column:
-    return measure_as(family(*texts), *texts)
+    return let(family(*texts), lambda k: measure_as(k, *texts))
 
 
 def measure_layer(stored_cm: Column, stored_family: Column, file_name: Column, name: Column, source_name: Column) -> Column:

@@ -25,6 +25,11 @@ _ACCENTED, _PLAIN = _fold_table()
 _MARKS = r"[̀-ͯ]"
 
 
+def let(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(c), lambda v: body(v)), F.lit(0))
+
+
 def strip_ws(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -110,7 +110,7 @@ def union_coverage(boxes: DataFrame, keys: list[str], grid: int = 64) -> DataFra
     x1 = F.greatest(x0 + 1, F.least(g, ((F.col("x") + F.col("width")) / F.col("canvas_w") * grid).cast("int")))
     y1 = F.greatest(y0 + 1, F.least(g, ((F.col("y") + F.col("height")) / F.col("canvas_h") * grid).cast("int")))
     n = F.least(x1, g) - x0
-    ones = F.when(n >= 64, F.lit(-1).cast("bigint")).otherwise(F.expr("shiftleft(1L, _n)") - F.lit(1).cast("bigint"))
+    ones = F.when(F.col("_n") >= 64, F.lit(-1).cast("bigint")).otherwise(F.expr("shiftleft(1L, _n)") - F.lit(1).cast("bigint"))
     d = boxes.select(*keys, x0.alias("_x0"), n.alias("_n"), F.explode(F.sequence(y0, y1 - 1)).alias("_row"))
     d = d.where((F.col("_row") < grid) & (F.col("_n") > 0)).withColumn("_m", ones)
     rows = d.groupBy(*keys, "_row").agg(F.bit_or(F.expr("shiftleft(_m, _x0)")).alias("_m"))
