@@ -22,7 +22,7 @@ def expired_projects(touches: DataFrame, now: Column, hours: int, keep: int) ->
     if keep <= 0:
         return old
     alive = (last.where(~idle) if hours > 0 else last).withColumn("_all", F.lit(1))
-    age_bucket = F.floor(F.unix_seconds(now) / 3600) - F.floor(F.unix_seconds("last") / 3600)
+    age_bucket = F.floor(F.unix_seconds(now.cast("timestamp")) / 3600) - F.floor(F.unix_seconds(F.col("last").cast("timestamp")) / 3600)
     ranked = bucketed_rank(alive, ["_all"], age_bucket, [F.col("last").desc(), F.col("project_id")], "rn")
     over = ranked.where(F.col("rn") > keep).select("project_id", "last", F.lit("count").alias("reason"))
     return old.unionByName(over)
@@ -137,7 +137,7 @@ def idle_sessions(touches: DataFrame, key: str, hours: int = 8) -> DataFrame:
 
     day, order = F.to_date("ts"), [F.col("ts"), F.col("touch_id")]
     d = bucketed_before(touches, [key], day, order, {"_p": ("last", F.col("ts"))})
-    pause = F.unix_micros("ts") - F.unix_micros("_p")
+    pause = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_p").cast("timestamp"))
     d = d.withColumn("_cut", F.when(F.col("_p").isNull() | (pause >= hours * 3_600_000_000), 1).otherwise(0))
     d = bucketed_before(d.select(*touches.columns, "_cut"), [key], day, order, {"_c": ("sum", F.col("_cut"))})
     session = F.coalesce("_c", F.lit(0)) + F.col("_cut")

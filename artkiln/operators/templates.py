@@ -178,7 +178,8 @@ def drawn_values(df: DataFrame) -> DataFrame:
     """Texts drawn for a row on its template (``slots``) with its brief.
 
     Needs brief columns ``primary_message, objective, creative_concept,
-    legal_requirements``. Prices are never filled in.
+    legal_requirements``. Prices are never filled in. A drawn text whose name a
+    matrix column already has (``cta``, ``legal``) comes as ``drawn_<name>``.
     """
     slot_keys = F.transform("slots", lambda s: s["key"])
     fill = fillable_fields(F.col("slots"))
@@ -201,7 +202,7 @@ def drawn_values(df: DataFrame) -> DataFrame:
             value = F.when((value == "") & ~blocked[k], F.coalesce(defaults[k], F.lit(""))).otherwise(value)
         if slot:
             value = F.when(F.array_contains(slot_keys, slot), value).otherwise("")
-        out.append(value.alias(k))
+        out.append(value.alias(f"drawn_{k}" if k in df.columns else k))
     return df.select("*", *out)
 
 

@@ -1 +1,202 @@
-"""Queries."""
+"""Queries over touches, jobs, uploads, profiles and sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import lifecycle as C
+from ..operators import projects as P
+from ..operators.plugins import score_with
+from ..sources import files as S
+from ..sources import sinks as O
+from ..streaming import jobs as J
+from .base import Tables, ctes, query
+
+_NOW = "TIMESTAMP '2024-01-30 12:00:00'"
+
+
+@query("expired_projects", "WIN-11 STR-03", ctes("touches") + f""", l AS (SELECT project_id, max(ts) AS last FROM touches GROUP BY ALL), s AS (SELECT *, row_number() OVER (ORDER BY last DESC, project_id) AS rk FROM l WHERE last >= {_NOW} - INTERVAL 48 HOUR)
+ SELECT project_id, last, 'age' AS reason FROM l WHERE last < {_NOW} - INTERVAL 48 HOUR UNION ALL SELECT project_id, last, 'count' FROM s WHERE rk > 100""")
+def _(t: Tables):
+    return C.expired_projects(t.bind("touches"), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 48, 100)
+
+
+@query("idle_sessions", "STR-03", ctes("touches") + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY project_id ORDER BY ts, touch_id) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS c FROM touches), s AS (SELECT *, sum(c) OVER (PARTITION BY project_id ORDER BY ts, touch_id) AS n FROM g)
+ SELECT project_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS "end", count(*) AS touches FROM s GROUP BY project_id, n""")
+def _(t: Tables):
+    return C.idle_sessions(t.bind("touches"), "project_id").select("project_id", "start", "end", "touches")
+
+
+@query("learned_rules", "WIN-12", """SELECT user_id AS client, rule, ord FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) AS rk FROM (SELECT user_id, event_type || floor(value / 2) AS rule, min(event_id) AS ord FROM events GROUP BY ALL)) WHERE rk <= 10""")
+def _(t: Tables):
+    log = t.events.select(F.col("user_id").alias("client"), F.concat("event_type", F.floor(F.col("value") / 2).cast("string")).alias("rule"), F.col("event_id").alias("ord"))
+    return C.learned_rules(log, "client", 10)
+
+
+@query("client_profiles", "AGG-13", """WITH cc AS (SELECT c_nationkey AS client, count(*) AS n FROM customer GROUP BY ALL), s AS (SELECT s_nationkey AS client, count(*) AS n FROM supplier GROUP BY ALL), m AS (SELECT c_nationkey AS client, count(*) AS n, max(o_orderdate) AS mx FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY ALL)
+ SELECT n_nationkey AS client, n_name AS name, coalesce(cc.n, 0) AS campaigns, coalesce(s.n, 0) + coalesce(m.n, 0) AS templates, coalesce(m.n, 0) AS approved_candidates, coalesce(cc.n, 0) AS learned_rules, greatest(mx, TIMESTAMP '1998-01-01') AS updated_at FROM nation LEFT JOIN cc ON cc.client = n_nationkey LEFT JOIN s ON s.client = n_nationkey LEFT JOIN m ON m.client = n_nationkey""")
+def _(t: Tables):
+    cl = t.nation.select(F.col("n_nationkey").alias("client"), F.col("n_name").alias("name"), F.lit("1998-01-01").cast("timestamp_ntz").alias("updated_at"))
+    camp = t.customer.select(F.col("c_nationkey").alias("client"))
+    mem = t.orders.where("o_orderstatus = 'F'").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("client"), F.col("o_orderdate").alias("approved_at"))
+    return C.client_profiles(cl, camp, t.supplier.select(F.col("s_nationkey").alias("client")), mem, camp, "client")
+
+
+@query("delete_impact", "AGG-15", """SELECT c_custkey AS campaign, count(o_orderkey) AS batches, count_if(o_orderstatus = 'P') AS active_jobs, count_if(o_orderstatus = 'P') = 0 AS allowed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def _(t: Tables):
+    o = t.orders.select(F.col("o_custkey").alias("campaign"), "o_orderstatus")
+    return C.delete_impact(t.customer.select(F.col("c_custkey").alias("campaign")), ["campaign"], batches=o, active_jobs=o.where("o_orderstatus = 'P'"))
+
+
+@query("unseen_content", "JOI-21 STR-05", """WITH u AS (SELECT doc_id % 10 AS campaign, doc_id AS ord, sha256(text) AS sha256 FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY campaign, sha256 ORDER BY ord) AS rk FROM u WHERE ord % 5 <> 0)
+ SELECT campaign, ord, sha256 FROM f WHERE rk = 1 AND NOT EXISTS (SELECT 1 FROM u WHERE u.ord % 5 = 0 AND u.campaign = f.campaign AND u.sha256 = f.sha256)""")
+def _(t: Tables):
+    u = t.documents.select((F.col("doc_id") % 10).alias("campaign"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("sha256"))
+    return C.unseen_content(u.where("ord % 5 <> 0"), u.where("ord % 5 = 0"), ["campaign"])
+
+
+@query("name_triage", "JOI-22", ctes("assets") + """, u AS (SELECT client_id, ord, CASE WHEN ord % 2 = 0 THEN upper(filename) ELSE 'n' || filename END AS filename, 'h' || (ord % 3) AS sha256 FROM assets WHERE ord % 3 = 0), k AS (SELECT client_id, lower(filename) AS n, arg_max('h' || (ord % 2), ord) AS sha FROM assets GROUP BY ALL)
+ SELECT u.client_id, ord, CASE WHEN sha IS NULL THEN 'new' WHEN sha = sha256 THEN 'keep' ELSE 'conflict' END AS action FROM u LEFT JOIN k ON k.client_id = u.client_id AND k.n = lower(u.filename)""")
+def _(t: Tables):
+    a = t.bind("assets")
+    u = a.where("ord % 3 = 0").select("client_id", "ord", F.when(F.col("ord") % 2 == 0, F.upper("filename")).otherwise(F.concat(F.lit("n"), F.col("filename"))).alias("filename"), F.concat(F.lit("h"), (F.col("ord") % 3).cast("string")).alias("sha256"))
+    return C.triage_names(u, a.withColumn("sha256", F.concat(F.lit("h"), (F.col("ord") % 2).cast("string"))), ["client_id"]).select("client_id", "ord", "action")
+
+
+@query("selected_assets", "JOI-23 AGG-32", ctes("assets") + """, s AS (SELECT 'c' || (p_partkey % 25) AS client_id, CASE WHEN p_partkey % 9 = 0 THEN 'zz' ELSE 'a' || (p_partkey - p_partkey % 2 * 25) END AS asset_id, p_partkey AS pos FROM part WHERE p_partkey >= 25), o AS (SELECT client_id, asset_id, min(pos) AS pos FROM s GROUP BY ALL),
+ j AS (SELECT o.*, filename FROM o LEFT JOIN assets a USING (client_id, asset_id)) SELECT client_id, asset_id, pos, CASE WHEN filename IS NULL THEN 'missing' WHEN count(*) OVER (PARTITION BY client_id, lower(filename)) > 1 THEN 'same_name' END AS rule FROM j""")
+def _(t: Tables):
+    k = F.col("p_partkey")
+    s = t.part.where("p_partkey >= 25").select(F.concat(F.lit("c"), (k % 25).cast("string")).alias("client_id"), F.when(k % 9 == 0, "zz").otherwise(F.concat(F.lit("a"), (k - k % 2 * 25).cast("string"))).alias("asset_id"), k.alias("pos"))
+    return C.selected_assets(s, t.bind("assets"), ["client_id"]).select("client_id", "asset_id", "pos", "rule")
+
+
+@query("doubled_names", "AGG-32", ctes("assets") + "SELECT client_id, lower(filename) AS filename, count(*) AS times FROM assets GROUP BY ALL HAVING count(*) > 1")
+def _(t: Tables):
+    return C.doubled_names(t.bind("assets"), ["client_id"])
+
+
+@query("stale_sources", "AGG-36", ctes("sources") + "SELECT campaign_id, bool_or(kind IN ('pdf', 'layered_design') AND vector_version IS DISTINCT FROM 7) AS outdated FROM sources GROUP BY ALL")
+def _(t: Tables):
+    return C.stale_sources(t.bind("sources"), ["campaign_id"])
+
+
+@query("workflow_steps", "AGG-33", """SELECT c_custkey AS campaign_id, w OR s > 0 AS campaign, CASE WHEN w THEN s % 2 = 0 ELSE false END AS layers, CASE WHEN w THEN s > 8 ELSE false END AS products, CASE WHEN NOT (w OR s > 0) THEN 'campaign' WHEN NOT (w AND s % 2 = 0) THEN 'layers' WHEN NOT (w AND s > 8) THEN 'products' ELSE 'generate' END AS next
+ FROM (SELECT c_custkey, c_custkey % 3 > 0 AS w, count(o_orderkey) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)""")
+def _(t: Tables):
+    s = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_custkey").alias("campaign_id")).agg(F.count("o_orderkey").alias("sources"))
+    f = F.lit(False)
+    d = s.withColumns({"workspace": F.col("campaign_id") % 3 > 0, "legacy_projects": F.lit(0), "brief_ready": F.lit(True), "brief_reviewed": F.col("sources") % 2 == 0, "legacy_confirmed": f, "approved_templates": F.greatest(F.lit(0), F.col("sources") - 8), "products_ready": f})
+    return C.step_state(d)
+
+
+@query("storage_usage", "AGG-31", ctes("touches") + "SELECT session_id, CAST(round_even(sum(bytes) / 1048576, 1) AS DOUBLE) AS mb, count(*) AS files FROM touches GROUP BY ALL")
+def _(t: Tables):
+    return C.storage_usage(t.bind("touches"), ["session_id"])
+
+
+@query("job_states", "STR-01 STR-02", ctes("jobs") + """, d AS (SELECT task_id, arg_max(progress, ts) AS progress, max(ts) AS ts FROM jobs WHERE state = 'COMPLETED' GROUP BY ALL), l AS (SELECT task_id, arg_max(state, (ts, event_id)) AS state, arg_max(progress, (ts, event_id)) AS progress, max(ts) AS ts FROM jobs GROUP BY ALL)
+ SELECT l.task_id, CASE WHEN d.task_id IS NOT NULL THEN 'COMPLETED' ELSE l.state END AS state, coalesce(d.progress, l.progress) AS progress, coalesce(d.ts, l.ts) AS ts FROM l LEFT JOIN d USING (task_id)""")
+def _(t: Tables):
+    return C.latest_jobs(t.bind("jobs"))
+
+
+@query("job_progress", "PRJ-22 STR-01", ctes("jobs") + """SELECT event_id, least(100, greatest(0, 6 + CAST(floor(90 * progress / greatest(1, 80)) AS INT))) AS progress, CASE WHEN state = 'COMPLETED' AND event_id % 3 <> 0 THEN 'FAILED' ELSE state END AS state, state = 'COMPLETED' AND event_id % 3 <> 0 AS lost_result FROM jobs""")
+def _(t: Tables):
+    j = t.bind("jobs").withColumn("batch_id", F.col("event_id").cast("string"))
+    batches = j.where(F.col("event_id") % 3 == 0).select("batch_id")
+    return C.job_status(j, batches).select("event_id", C.progress(F.col("progress"), F.lit(80)).alias("progress"), "state", "lost_result")
+
+
+@query("posts_per_day", "STR-06", ctes("posts") + "SELECT account, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", count(*) AS posts FROM posts GROUP BY ALL")
+def _(t: Tables):
+    return J.posts_per_window(t.bind("posts"), "account")
+
+
+@query("bulk_delete", "SET-03", ctes("touches") + """SELECT 'p' || n AS project_id, CAST(min(n) AS BIGINT) AS pos, CASE WHEN bool_or('p' || n IN (SELECT project_id FROM touches)) THEN 'removed' ELSE 'missing' END AS outcome FROM (SELECT o_orderkey % 700 AS n FROM orders) GROUP BY n""")
+def _(t: Tables):
+    n = F.col("o_orderkey") % 700
+    return C.bulk_delete(t.orders.select(F.concat(F.lit("p"), n.cast("string")).alias("project_id"), n.alias("pos")), t.bind("touches"))
+
+
+@query("session_delete", "SET-04 PRJ-19", ctes("touches") + "SELECT session_id, count(DISTINCT project_id) AS projects, count(*) AS touches FROM touches WHERE session_id = 's3' GROUP BY ALL")
+def _(t: Tables):
+    return t.bind("touches").where(F.col("session_id") == "s3").groupBy("session_id").agg(F.count_distinct("project_id").alias("projects"), F.count(F.lit(1)).alias("touches"))
+
+
+@query("keyed_union", "SET-02", ctes("assets") + """SELECT client_id, filename, arg_min(asset_id, (src, ord)) AS asset_id FROM (SELECT client_id, filename, asset_id, ord, CASE WHEN ord % 2 = 0 THEN 0 ELSE 1 END AS src FROM assets) GROUP BY ALL""")
+def _(t: Tables):
+    a = t.bind("assets").select("client_id", "filename", "asset_id", "ord")
+    return C.keyed_union(a.where("ord % 2 = 0"), a.where("ord % 2 = 1"), ["client_id", "filename"]).drop("ord")
+
+
+@query("path_and_id_guards", "PRJ-16 PRJ-17", """SELECT p_partkey, p_partkey % 3 = 0 AS safe, p_partkey % 2 = 0 AS uuid FROM part WHERE p_partkey % 25 = 3""")
+def _(t: Tables):
+    k = F.col("p_partkey")
+    path = F.when(k % 3 == 0, F.concat(F.lit("a/"), F.col("p_name"))).when(k % 3 == 1, "a\\..\\b").otherwise("/etc/x")
+    uid = F.when(k % 2 == 0, F.concat(F.substring(F.md5("p_name"), 1, 8), F.lit("-"), F.substring(F.md5("p_name"), 9, 24))).otherwise("no-uuid")
+    d = t.part.withColumn("client_id", (k % 5).cast("string")).withColumn("campaign_id", (k % 25).cast("string"))
+    return S.tenant(d, "3", "3").select("p_partkey", path.alias("path"), uid.alias("u")).select("p_partkey", C.safe_path().alias("safe"), C.is_uuid(F.col("u")).alias("uuid"))
+
+
+@query("image_gate", "SRC-09 SRC-10", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'WEBP' ELSE 'SVG' END AS magic, concat_ws(',', CASE WHEN p_partkey % 4 = 3 THEN 'format' END, CASE WHEN p_partkey % 4 = 2 THEN 'signature' END, CASE WHEN p_size < 10 THEN 'too_small' END, CASE WHEN p_size * p_size * 100 > 160000 THEN 'too_large' END) AS reasons FROM part""")
+def _(t: Tables):
+    k = F.col("p_partkey") % 4
+    content = F.when(k == 0, F.unhex(F.lit("89504E470D0A1A0A0000"))).when(k == 1, F.unhex(F.lit("FFD8FFE000"))).when(k == 2, F.unhex(F.lit("524946460000000057454250"))).otherwise(F.encode(F.lit("  <?xml v><svg/>"), "UTF-8"))
+    magic = S.image_format(content)
+    real = F.when(k == 2, "PNG").otherwise(magic)
+    return t.part.select("p_partkey", magic.alias("magic"), F.array_join(S.image_rejects(real, magic, F.col("p_size") * 10, F.col("p_size") * 10, 100, 160000), ",").alias("reasons"))
+
+
+@query("drop_folder_inventory", "SRC-08 STR-04", ctes("assets") + """SELECT filename AS name, regexp_extract(lower(filename), '\\.([^.]+)$', 1) AS extension, client_id || '/' || asset_id || '/' || filename AS rel, CAST(round_even(size_bytes / 1048576, 1) AS DOUBLE) AS size_mb FROM assets ORDER BY rel LIMIT 200""")
+def _(t: Tables):
+    a = t.bind("assets")
+    good = a.select(F.concat_ws("/", "client_id", "asset_id", "filename").alias("rel"), F.col("size_bytes").alias("length"))
+    bad = a.select(F.concat(F.lit("a/.oculto-"), F.col("filename")).alias("rel"), F.col("size_bytes").alias("length"))
+    return S.inventory(good.unionByName(bad))
+
+
+@query("brand_typography", "JOI-16", """WITH f AS (SELECT n_regionkey AS c, n_nationkey AS pos, CASE n_nationkey % 4 WHEN 0 THEN 'Sans Regular' WHEN 1 THEN 'Sans Bold Italic' WHEN 2 THEN 'Sans Black' ELSE 'Sans Book' END || n_nationkey AS nm FROM nation)
+ SELECT s_suppkey AS brand_id, CASE WHEN s_suppkey % 4 = 0 AND (SELECT count(*) FROM f WHERE c = s_nationkey % 5 AND pos = s_suppkey % 25) > 0 THEN (SELECT min(nm) FROM f WHERE c = s_nationkey % 5 AND pos = s_suppkey % 25)
+ ELSE concat_ws(',', (SELECT arg_min(nm, pos) FROM f WHERE c = s_nationkey % 5 AND (nm LIKE '%Regular%' OR nm LIKE '%Book%')), (SELECT arg_min(nm, pos) FROM f WHERE c = s_nationkey % 5 AND nm LIKE '%Black%')) END AS faces FROM supplier""")
+def _(t: Tables):
+    k = F.col("n_nationkey")
+    faces = t.nation.select(F.col("n_regionkey").cast("string").alias("catalogue_id"), k.alias("pos"), k.cast("string").alias("face_id"),
+                            F.concat(F.when(k % 4 == 0, "Sans Regular").when(k % 4 == 1, "Sans Bold Italic").when(k % 4 == 2, "Sans Black").otherwise("Sans Book"), k.cast("string")).alias("face_name"))
+    s = F.col("s_suppkey")
+    brands = t.supplier.select(s.alias("brand_id"), F.lit(None).cast("string").alias("font_client"), (F.col("s_nationkey") % 5).cast("string").alias("slug"), F.when(s % 4 == 0, (s % 25).cast("string")).alias("regular_id"), F.lit(None).cast("string").alias("bold_id"))
+    return C.typography(brands, faces).select("brand_id", F.array_join("faces", ",").alias("faces"))
+
+
+@query("matrix_values_to_layers", "JOI-35", ctes("layers", "orderlines") + """, r AS (SELECT k AS project_id, 'T' || names AS titular, '$' || price AS precio_actual, CASE WHEN k % 2 = 0 THEN 'Pide' END AS cta FROM orderlines)
+ SELECT l.project_id, layer_id, CASE category WHEN 'headline' THEN titular WHEN 'price' THEN precio_actual ELSE cta END AS content FROM layers l JOIN r USING (project_id) WHERE category IN ('headline', 'price') OR (category = 'cta' AND cta IS NOT NULL)""")
+def _(t: Tables):
+    r = t.bind("orderlines").select(F.col("k").alias("project_id"), F.concat(F.lit("T"), F.col("names")).alias("titular"), F.concat(F.lit("$"), F.col("price").cast("string")).alias("precio_actual"), F.when(F.col("k") % 2 == 0, "Pide").alias("cta"))
+    return P.values_to_layers(r, t.bind("layers"), ["project_id"]).select("project_id", "layer_id", "content")
+
+
+@query("answer_bijection", "FN-28", """SELECT l_orderkey AS art, count(DISTINCT l_linenumber) AS expected, count(*) = count(DISTINCT l_linenumber) AND max(l_linenumber) = count(*) AS valid FROM lineitem GROUP BY ALL""")
+def _(t: Tables):
+    a = t.lineitem.select(F.col("l_orderkey").alias("art"), (F.col("l_linenumber") - 1).alias("idx"), F.lit("logo").alias("category"))
+    return P.valid_bijection(a, a.groupBy("art").agg(F.count_distinct("idx").alias("expected")), ["art"], ["logo", "cta"])
+
+
+@query("export_manifests", "SNK-02", ctes("layers") + """, v AS (SELECT CAST(floor(project_id / 5) AS BIGINT) AS project, project_id AS variant, string_agg(name, ',' ORDER BY ord) FILTER (type = 'text' AND trim(coalesce(content, '')) <> '') AS texts FROM layers GROUP BY ALL)
+ SELECT project, count(*) AS variants, string_agg(variant || ':' || coalesce(texts, ''), ';' ORDER BY variant) AS listing FROM v GROUP BY ALL""")
+def _(t: Tables):
+    l = t.bind("layers").withColumn("variant_id", F.col("project_id")).withColumn("project_id", F.floor(F.col("project_id") / 5)).withColumn("text_verified", F.lit(True)).withColumn("export_as_text", F.lit(False))
+    v = l.select("project_id", "variant_id").distinct().select("project_id", "variant_id", F.lit("prod").alias("product_label"), F.lit("feed").alias("format_id"), F.col("variant_id").alias("index"), F.lit("base").alias("layout"), F.lit(90).alias("score"))
+    d = O.export_manifest(l.select("project_id").distinct().withColumn("name", F.lit("p")), v, l)
+    listing = F.array_join(F.transform("variants", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.array_join(x["editable_text_layers"], ","))), ";")
+    return d.select(F.col("project_id").alias("project"), F.size("variants").cast("bigint").alias("variants"), listing.alias("listing"))
+
+
+@query("variant_scores_plugin", "UDF-01", """SELECT o_orderkey AS variant_id, CAST(o_custkey % 101 AS INT) AS score, CAST(o_custkey % 101 / 100 AS DOUBLE) AS predicted_performance, 'half' AS model FROM orders""")
+def _(t: Tables):
+    def half(frame):
+        return frame["score"] / 100
+
+    v = t.orders.select(F.col("o_orderkey").alias("variant_id"), (F.col("o_custkey") % 101).cast("int").alias("score"))
+    return score_with(v, half).drop("composition_score")
+
+
