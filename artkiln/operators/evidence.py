@@ -131,12 +131,13 @@ def unwrap(payload: Column, item: str) -> Column:
 
 
 def catalogue(entries: DataFrame, entry: str = "e") -> DataFrame:
-    """Account entries with one spelling of their fields; ids that are not numbers drop out."""
+    """Account entries (maps) with one spelling of their fields; ids that are not numbers drop out."""
     def first(*names):
-        return F.coalesce(*[F.nullif(F.col(f"{entry}.{n}").cast("string"), F.lit("")) for n in names], F.lit(""))
+        return F.coalesce(*[F.nullif(F.try_element_at(F.col(entry), F.lit(n)), F.lit("")) for n in names], F.lit(""))
 
     number = strip_ws(first("id_page", "Id", "id")).try_cast("bigint")
-    audience = F.coalesce(F.nullif(F.col(f"{entry}.nbFollowers_page"), F.lit(0)), F.col(f"{entry}.nbFan_page"), F.lit(0))
+    followers, fans = (first(n).try_cast("bigint") for n in ("nbFollowers_page", "nbFan_page"))
+    audience = F.coalesce(F.nullif(followers, F.lit(0)), fans, F.lit(0).cast("bigint"))
     return entries.select(
         *[c for c in entries.columns if c != entry], number.alias("id"), F.substring(first("nom_page", "Name"), 1, 240).alias("name"),
         F.substring(F.lower(first("screenName_page")), 1, 80).alias("handle"), F.substring(first("lien_page", "Link", "link"), 1, 500).alias("link"),

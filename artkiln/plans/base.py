@@ -226,6 +226,11 @@ SELECT user_id AS account, event_id AS post_id, ts,
        'https://cdn.example.com/' || CAST((user_id * 31 + event_id) % 400 AS STRING) || '.jpg' AS media, event_type AS kind FROM {events}""")
 
 
+def big(sql: str, *columns: str) -> str:
+    """The same rows with counts as 64-bit integers (the check engine widens some)."""
+    return "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns) + f") FROM ({sql})"
+
+
 def dslug(c: str) -> str:
     """Slug of an expression for the check engine."""
     return f"trim(regexp_replace(replace(lower(strip_accents({c})), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_')"

@@ -12,7 +12,7 @@ from ..functions import web as W
 from ..operators import documents as D
 from ..operators import evidence as E
 from ..operators import lifecycle as C
-from .base import Tables, ctes, query
+from .base import Tables, big, ctes, query
 
 CK = ["campaign_id"]
 
@@ -115,7 +115,7 @@ def _(t: Tables):
     return D.fixed_assets(cand, s, a, CK).select("campaign_id", "asset_id", "rn")
 
 
-@query("layer_evidence", "AGG-16", ctes("layers") + """SELECT project_id, count_if(visible) AS visible_layers, count_if(type = 'text' AND coalesce(content, '') <> '') AS text_layers, count_if(pk % 8 = 2 AND type <> 'text') AS logo_assets, CAST(0 AS BIGINT) AS fixed_backgrounds, count_if(pk % 8 = 5 AND type <> 'text') AS fixed_decorations FROM layers GROUP BY ALL""")
+@query("layer_evidence", "AGG-16", big(ctes("layers") + """SELECT project_id, count_if(visible) AS visible_layers, count_if(type = 'text' AND coalesce(content, '') <> '') AS text_layers, count_if(pk % 8 = 2 AND type <> 'text') AS logo_assets, CAST(0 AS BIGINT) AS fixed_backgrounds, count_if(pk % 8 = 5 AND type <> 'text') AS fixed_decorations FROM layers GROUP BY ALL""", "visible_layers", "text_layers", "logo_assets", "fixed_decorations"))
 def _(t: Tables):
     l = t.bind("layers").withColumn("kind", F.when(F.col("type") == "text", "type").otherwise("pixel"))
     a = l.select("project_id", L.asset_role(F.col("name"), F.col("kind"), F.lit(False)).alias("role"))

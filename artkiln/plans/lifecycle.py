@@ -10,7 +10,7 @@ from ..operators.plugins import score_with
 from ..sources import files as S
 from ..sources import sinks as O
 from ..streaming import jobs as J
-from .base import Tables, ctes, query
+from .base import Tables, big, ctes, query
 
 _NOW = "TIMESTAMP '2024-01-30 12:00:00'"
 
@@ -27,7 +27,7 @@ def _(t: Tables):
     return C.idle_sessions(t.bind("touches"), "project_id").select("project_id", "start", "end", "touches")
 
 
-@query("learned_rules", "WIN-12", """SELECT user_id AS client, rule, ord FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) AS rk FROM (SELECT user_id, event_type || floor(value / 2) AS rule, min(event_id) AS ord FROM events GROUP BY ALL)) WHERE rk <= 10""")
+@query("learned_rules", "WIN-12", """SELECT user_id AS client, rule, ord FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) AS rk FROM (SELECT user_id, event_type || CAST(floor(value / 2) AS BIGINT) AS rule, min(event_id) AS ord FROM events GROUP BY ALL)) WHERE rk <= 10""")
 def _(t: Tables):
     log = t.events.select(F.col("user_id").alias("client"), F.concat("event_type", F.floor(F.col("value") / 2).cast("string")).alias("rule"), F.col("event_id").alias("ord"))
     return C.learned_rules(log, "client", 10)
@@ -42,7 +42,7 @@ def _(t: Tables):
     return C.client_profiles(cl, camp, t.supplier.select(F.col("s_nationkey").alias("client")), mem, camp, "client")
 
 
-@query("delete_impact", "AGG-15", """SELECT c_custkey AS campaign, count(o_orderkey) AS batches, count_if(o_orderstatus = 'P') AS active_jobs, count_if(o_orderstatus = 'P') = 0 AS allowed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+@query("delete_impact", "AGG-15", big("""SELECT c_custkey AS campaign, count(o_orderkey) AS batches, count_if(o_orderstatus = 'P') AS active_jobs, count_if(o_orderstatus = 'P') = 0 AS allowed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""", "active_jobs"))
 def _(t: Tables):
     o = t.orders.select(F.col("o_custkey").alias("campaign"), "o_orderstatus")
     return C.delete_impact(t.customer.select(F.col("c_custkey").alias("campaign")), ["campaign"], batches=o, active_jobs=o.where("o_orderstatus = 'P'"))

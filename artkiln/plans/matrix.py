@@ -13,7 +13,7 @@ from ..operators import templates as T
 from ..sources import files as S
 from ..sources import matrix_files as MF
 from ..sources import sinks as O
-from .base import Tables, ctes, dlist, dslug, dstem, query, resolve_sql
+from .base import Tables, big, ctes, dlist, dslug, dstem, query, resolve_sql
 
 HEADERS = tuple(K.HEADER_ALIASES)
 
@@ -264,10 +264,10 @@ def _cells(t: Tables):
         F.when(F.col("k") % 10 == 2, F.when(F.col("col") < F.floor(F.col("k") / 10) % 5, F.col("head")).otherwise("x")).otherwise(F.col("names")).alias("value"))
 
 
-@query("workbook_sheet_pick", "SRC-04", ctes("orderlines") + f""", cells AS ({_CELLS}), r AS (SELECT workbook, sheet_ord, row_no, count_if({dslug('value')} IN {_KNOWN}) AS known FROM cells GROUP BY ALL),
+@query("workbook_sheet_pick", "SRC-04", big(ctes("orderlines") + f""", cells AS ({_CELLS}), r AS (SELECT workbook, sheet_ord, row_no, count_if({dslug('value')} IN {_KNOWN}) AS known FROM cells GROUP BY ALL),
  f AS (SELECT workbook, sheet_ord, coalesce(min(row_no) FILTER (known > 0 AND row_no <= 20), min(row_no)) AS header_row FROM r GROUP BY ALL),
  s AS (SELECT f.*, r.known AS score, row_number() OVER (PARTITION BY f.workbook ORDER BY r.known DESC, f.sheet_ord) AS rk FROM f JOIN r ON r.workbook = f.workbook AND r.sheet_ord = f.sheet_ord AND r.row_no = f.header_row)
- SELECT workbook, sheet_ord, header_row, score FROM s WHERE rk = 1 AND score > 0""")
+ SELECT workbook, sheet_ord, header_row, score FROM s WHERE rk = 1 AND score > 0""", "score"))
 def _(t: Tables):
     return M.pick_sheet(_cells(t))
 

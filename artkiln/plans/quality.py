@@ -13,7 +13,7 @@ from ..operators import projects as P
 from ..operators import quality as Q
 from ..operators import spatial as S2
 from ..operators import art_reads as A
-from .base import Tables, ctes, query
+from .base import Tables, big, ctes, query
 
 V = ["variant_id"]
 PJ = ["project_id"]
@@ -69,12 +69,12 @@ _METRICS = f""", pm AS (SELECT variant_id, count_if(NOT (pinned AND {_BLEED}) AN
 """
 
 
-@query("placement_metrics", "AGG-09 AGG-11 AGG-12", ctes("placements") + _METRICS + """SELECT variant_id, outside_canvas, tight_margins, small_text, low_contrast_text, distorted_layers, elements, text_elements,
- coalesce(round(cover, 9), 0) AS product_coverage, round(logo, 9) AS logo_width_ratio FROM pm""")
+@query("placement_metrics", "AGG-09 AGG-11 AGG-12", big(ctes("placements") + _METRICS + """SELECT variant_id, outside_canvas, tight_margins, small_text, low_contrast_text, distorted_layers, elements, text_elements,
+ coalesce(floor(cover * 1000000), 0) / 1000000 AS product_coverage, floor(logo * 1000000) / 1000000 AS logo_width_ratio FROM pm""", "outside_canvas", "tight_margins", "small_text", "low_contrast_text", "distorted_layers", "text_elements"))
 def _(t: Tables):
     m = Q.placement_metrics(t.bind("placements"), V)
     return m.select("variant_id", "outside_canvas", "tight_margins", "small_text", "low_contrast_text", "distorted_layers", "elements", "text_elements",
-                    F.coalesce(F.round("_cover", 9), F.lit(0.0)).alias("product_coverage"), F.round("_logo", 9).alias("logo_width_ratio"))
+                    (F.coalesce(F.floor(F.col("_cover") * 1000000), F.lit(0)) / 1000000).alias("product_coverage"), (F.floor(F.col("_logo") * 1000000) / 1000000).alias("logo_width_ratio"))
 
 
 _RELH = """, pr AS (SELECT variant_id, ord, name, height, height_cm, CASE WHEN count(height_cm) OVER w >= 2 THEN greatest(0.30, coalesce(height_cm, avg(height_cm) OVER w) / max(height_cm) OVER w) ELSE 1.0 END AS ratio,
@@ -121,8 +121,8 @@ _SCORE = _OVER + _FILL + _BANDS + _METRICS + _CONF + """, vs AS (SELECT variant_
 """
 
 
-@query("quality_scores", "AGG-08 AGG-10 SET-06", ctes("placements") + _SCORE + """SELECT variant_id, CAST(greatest(0, least(100, 100 - p)) AS INT) AS score, CAST(p AS BIGINT) AS penalties, sev AS severe_overlaps, md AS moderate_overlaps, nc AS product_scale_conflicts,
-round_even(f, 4) AS fill_ratio, CAST(letterbox AS INT) AS letterbox, CAST(content > 0 AND f < 0.12 AS INT) AS empty_composition, distorted_layers, outside_canvas FROM pen""")
+@query("quality_scores", "AGG-08 AGG-10 SET-06", big(ctes("placements") + _SCORE + """SELECT variant_id, CAST(greatest(0, least(100, 100 - p)) AS INT) AS score, CAST(p AS BIGINT) AS penalties, sev AS severe_overlaps, md AS moderate_overlaps, nc AS product_scale_conflicts,
+round_even(f, 4) AS fill_ratio, CAST(letterbox AS INT) AS letterbox, CAST(content > 0 AND f < 0.12 AS INT) AS empty_composition, distorted_layers, outside_canvas FROM pen""", "severe_overlaps", "moderate_overlaps", "distorted_layers", "outside_canvas"))
 def _(t: Tables):
     s = Q.score_variants(t.bind("placements"), _variants(t))
     return s.select("variant_id", "score", F.col("penalties").cast("bigint").alias("penalties"), "severe_overlaps", "moderate_overlaps", "product_scale_conflicts",
@@ -427,19 +427,19 @@ def _arts(t: Tables):
 _COV = "(width * least(f.width / a.width, f.height / a.height)) * (a.height * least(f.width / a.width, f.height / a.height)) / (f.width::DOUBLE * f.height)".replace("(width *", "(a.width *")
 
 
-@query("art_format_coverage", "JOI-14 FN-25", ctes("formats") + _ARTS + f"""SELECT art_id, f.id AS format_id, round({_COV}, 9) AS coverage, layers >= 3 OR {_COV} >= 0.45 AS viable, round(greatest(f.width / a.width, f.height / a.height), 6) AS upscale,
+@query("art_format_coverage", "JOI-14 FN-25", ctes("formats") + _ARTS + f"""SELECT art_id, f.id AS format_id, floor({_COV} * 1000000) / 1000000 AS coverage, layers >= 3 OR {_COV} >= 0.45 AS viable, round(greatest(f.width / a.width, f.height / a.height), 6) AS upscale,
  round(abs((f.width / f.height) / (a.width / a.height) - 1), 9) AS delta FROM arts a CROSS JOIN formats f""")
 def _(t: Tables):
     d = C.art_formats(_arts(t), "layers")
     w = [F.col(c) for c in ("width", "height", "fw", "fh")]
-    return d.select("art_id", "format_id", F.round("coverage", 9).alias("coverage"), "viable", F.round(G.cover_upscale(*w), 6).alias("upscale"), F.round(G.aspect_delta(*w), 9).alias("delta"))
+    return d.select("art_id", "format_id", (F.floor(F.col("coverage") * 1000000) / 1000000).alias("coverage"), "viable", F.round(G.cover_upscale(*w), 6).alias("upscale"), F.round(G.aspect_delta(*w), 9).alias("delta"))
 
 
 @query("worst_format_fit", "AGG-30 TOP-07", ctes("formats") + _ARTS + f""", c AS (SELECT f.id AS format_id, a.art_id, a.layers, {_COV} AS coverage, CAST(3 + a.art_id % 5 AS INT) AS total, CAST(a.art_id % 3 AS INT) AS fits FROM arts a CROSS JOIN formats f)
- SELECT format_id, arg_min(total, (fits - total, art_id)) AS total, arg_min(fits, (fits - total, art_id)) AS fits, round(min(coverage), 9) AS coverage, min(coverage) >= 0.45 AS recommended, min(coverage) < 0.45 AND bool_or(layers < 3) AS needs_split FROM c GROUP BY ALL""")
+ SELECT format_id, arg_min(total, (fits - total, art_id)) AS total, arg_min(fits, (fits - total, art_id)) AS fits, floor(min(coverage) * 1000000) / 1000000 AS coverage, min(coverage) >= 0.45 AS recommended, min(coverage) < 0.45 AND bool_or(layers < 3) AS needs_split FROM c GROUP BY ALL""")
 def _(t: Tables):
     d = C.art_formats(_arts(t), "layers").withColumn("art_ord", F.col("art_id")).withColumn("total", (F.lit(3) + F.col("art_id") % 5).cast("int")).withColumn("fits", (F.col("art_id") % 3).cast("int"))
-    return C.worst_fit(d).select("format_id", "total", "fits", F.round("coverage", 9).alias("coverage"), "recommended", "needs_split")
+    return C.worst_fit(d).select("format_id", "total", "fits", (F.floor(F.col("coverage") * 1000000) / 1000000).alias("coverage"), "recommended", "needs_split")
 
 
 @query("native_formats", "TOP-04", ctes("formats") + _ARTS + """SELECT art_id, native FROM (SELECT a.art_id, f.id AS native, row_number() OVER (PARTITION BY a.art_id ORDER BY NOT (f.width = a.width AND f.height = a.height), abs(f.width / f.height - a.width / a.height), abs(f.width - a.width) + abs(f.height - a.height), f.ord) AS rk

@@ -28,10 +28,8 @@ POST = (
     "Url_media: STRING, Thumbnail: STRING, type: STRING>"
 )
 FEED_ACCOUNT = f"STRUCT<Id: BIGINT, Name: STRING, Dates: ARRAY<STRUCT<Date: STRING, Posts: ARRAY<{POST}>>>>"
-CATALOGUE_ENTRY = (
-    "STRUCT<id_page: STRING, Id: STRING, id: STRING, nom_page: STRING, Name: STRING, screenName_page: STRING, "
-    "lien_page: STRING, Link: STRING, link: STRING, nbFollowers_page: BIGINT, nbFan_page: BIGINT>"
-)
+# Keys differ only by case between producers, so entries are read as maps.
+CATALOGUE_ENTRY = "MAP<STRING, STRING>"
 DETECTION = "image_id STRING, ord INT, x INT, y INT, width INT, height INT, score DOUBLE, label STRING, kind STRING"
 TEXT_REGION = (
     "image_id STRING, ord INT, text STRING, x INT, y INT, width INT, height INT, confidence DOUBLE, angle DOUBLE, color STRING"

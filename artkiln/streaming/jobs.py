@@ -64,7 +64,8 @@ def idle_expiry(touches: DataFrame, hours: int = 8, delay: str = "1 hour") -> Da
 
 def watch_folder(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """New files of a drop folder as a stream; contents are read only if used."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(path)
+    schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+    return spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(path)
 
 
 def posts_per_window(posts: DataFrame, account: str, length: str = "1 day", slide: str | None = None, delay: str | None = None) -> DataFrame:
