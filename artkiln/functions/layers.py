@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .text import any_word, ascii_lower, fold, casefold, rlike, strip_ws
+from .text import any_word, ascii_lower, casefold, fold, let, rlike, strip_ws
 
 
 def _mentions(text: Column, words) -> Column:
@@ -31,7 +31,7 @@ def _named(text: Column, confidence: float) -> Column:
 def category_by_name(name: Column, group_path: Column) -> Column:
     """Own name first (0.8); then the inner groups, the first path part ignored (0.6)."""
     inner = F.array_join(F.slice(F.split(F.coalesce(group_path, F.lit("")), "/"), 2, 10_000), "/")
-    return F.coalesce(_named(ascii_lower(name), 0.8), _named(ascii_lower(inner), 0.6))
+    return F.coalesce(let(ascii_lower(name), lambda t: _named(t, 0.8)), let(ascii_lower(inner), lambda t: _named(t, 0.6)))
 
 
 def generic_name(name: Column) -> Column:
@@ -111,6 +111,6 @@ def document_roles(kind: Column, filename: Column, text: Column, has_fonts: Colu
         F.when(layered & F.array_contains(asset_roles, "logo"), "logo"),
         F.when(layered & F.array_contains(asset_roles, "fixed_background"), "background"),
     ]
-    words = [F.when(any_word(hay, ws), role) for role, ws in K.DOCUMENT_ROLE_WORDS]
-    roles = F.array_distinct(F.array_compact(F.array(*early, *words)))
+    words = let(hay, lambda h: F.array(*[F.when(any_word(h, ws), role) for role, ws in K.DOCUMENT_ROLE_WORDS]))
+    roles = F.array_distinct(F.array_compact(F.concat(F.array(*early), words)))
     return F.when(F.size(roles) == 0, F.array(F.lit("other"))).otherwise(roles)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import web as W
-from ..functions.text import balanced_excerpt, rlike, strip_ws
+from ..functions.text import balanced_excerpt, let, rlike, strip_ws
 from .skew import bucketed_before, bucketed_rank, top_per_group, with_group
 
 POS_BLOCK = 1_000
@@ -50,11 +50,12 @@ def excerpts(sources: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _any(text: Column, patterns) -> Column:
-    return rlike(text, "|".join(f"(?:{p})" for p in patterns))
+    return rlike(text, "(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def text_signals(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
+    """One test per signal; the patterns ignore case, so the text is not copied."""
+    low = text
     return {"price": _any(low, K.SIGNAL_PRICE), "combo": _any(low, K.SIGNAL_COMBO), "product": _any(low, K.SIGNAL_PRODUCT),
             "institutional": _any(low, K.SIGNAL_INSTITUTIONAL), "legal": _any(low, K.SIGNAL_LEGAL)}
 
@@ -65,9 +66,9 @@ def campaign_signals(sources: DataFrame, briefs: DataFrame, keys: list[str]) ->
     ``sources``: ``roles, text``; ``briefs``: ``brief_text, variable_keys``.
     Patterns stay inside one text, so they are tested text by text and OR-ed.
     """
-    s = text_signals(F.coalesce("text", F.lit("")))
-    agg = sources.groupBy(*keys).agg(
-        *[F.bool_or(c).alias(f"s_{n}") for n, c in s.items()],
+    flags = let(F.coalesce("text", F.lit("")), lambda v: F.struct(*[c.alias(n) for n, c in text_signals(v).items()]))
+    agg = sources.withColumn("_s", flags).groupBy(*keys).agg(
+        *[F.bool_or(f"_s.{n}").alias(f"s_{n}") for n in ("price", "combo", "product", "institutional", "legal")],
         F.bool_or(F.arrays_overlap("roles", F.array(*[F.lit(r) for r in ("product_reference", "key_visual", "final_art")]))).alias("r_product"),
         F.bool_or(F.arrays_overlap("roles", F.array(*[F.lit(r) for r in ("legal", "schedule")]))).alias("r_legal"),
         F.count(F.lit(1)).alias("n_sources"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lifecycle as C
 from ..operators import projects as P
-from ..operators.plugins import score_with
+from ..operators import payloads as PL
+from ..operators.plugins import detect_with, score_with
 from ..sources import files as S
 from ..sources import sinks as O
 from ..streaming import jobs as J
@@ -200,3 +201,32 @@ def _(t: Tables):
     return score_with(v, half).drop("composition_score")
 
 
+
+
+@query("json_records", "SRC-13 SRC-14 SRC-15", """SELECT event_id, 'c' || (user_id % 3) AS client_id, event_type AS state, value AS amount FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_type IN ('view', 'click')""")
+def _(t: Tables):
+    k = F.col("event_id")
+    doc = F.to_json(F.struct(F.when(k % 11 == 0, "otro").otherwise(F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"))).alias("doc_client"), F.col("event_type").alias("state"), F.col("value").alias("amount")))
+    raw = t.events.select("event_id", F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("client_id"), F.when(k % 7 == 0, F.concat(F.lit("{"), doc)).otherwise(doc).alias("text"))
+    d = S.parse_records(raw, "text", "doc_client STRING, state STRING, amount DOUBLE")
+    return d.where((F.col("doc_client") == F.col("client_id")) & F.col("state").isin("view", "click")).select("event_id", "client_id", "state", "amount")
+
+
+@query("payload_normalisation", "PRJ-24", """SELECT c_custkey, 'b' || c_custkey AS client_id, CASE WHEN c_custkey % 4 = 0 THEN 'Cliente sin nombre' ELSE c_name END AS name, CAST(c_custkey % 9 AS BIGINT) AS templates, CASE WHEN c_custkey % 6 >= 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 'ready' ELSE 'incompatible' END END AS status,
+ CASE WHEN c_custkey % 6 >= 2 THEN CAST(c_custkey % 6 AS BIGINT) END AS row_number FROM customer""")
+def _(t: Tables):
+    k = F.col("c_custkey")
+    cl = F.to_json(F.struct(F.lit("").alias("client_id"), F.concat(F.lit("b"), k.cast("string")).alias("brand_id"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("name"), (k % 9).alias("template_count")))
+    plan = F.to_json(F.struct((k % 6 + 0.5).alias("row_number"), F.when(k % 3 == 0, " ready ").otherwise("raro").alias("status"), F.lit("x").alias("product_count")))
+    return t.customer.select("c_custkey", PL.client(cl).alias("c"), PL.row_plan(plan).alias("p")).select("c_custkey", "c.client_id", "c.name", "c.templates", "p.status", "p.row_number")
+
+
+@query("detector_plugin", "UDF-02", """SELECT CAST(page_id AS VARCHAR) AS image_id, CAST(1 AS INT) AS ord, CAST(length(html) % 500 AS INT) AS width, 'region' AS kind FROM pages""")
+def _(t: Tables):
+    def detector(batch):
+        import pandas as pd
+
+        n = batch["html"].str.len() % 500
+        return pd.DataFrame({"image_id": batch["page_id"].astype(str), "ord": 1, "x": 0, "y": 0, "width": n, "height": n, "score": 0.5, "label": "region", "kind": "region"})
+
+    return detect_with(t.pages.select("page_id", "html"), detector).select("image_id", "ord", "width", "kind")

@@ -428,11 +428,11 @@ _COV = "(width * least(f.width / a.width, f.height / a.height)) * (a.height * le
 
 
 @query("art_format_coverage", "JOI-14 FN-25", ctes("formats") + _ARTS + f"""SELECT art_id, f.id AS format_id, floor({_COV} * 1000000) / 1000000 AS coverage, layers >= 3 OR {_COV} >= 0.45 AS viable, round(greatest(f.width / a.width, f.height / a.height), 6) AS upscale,
- round(abs((f.width / f.height) / (a.width / a.height) - 1), 9) AS delta FROM arts a CROSS JOIN formats f""")
+ floor(abs((f.width / f.height) / (a.width / a.height) - 1) * 1000000) / 1000000 AS delta FROM arts a CROSS JOIN formats f""")
 def _(t: Tables):
     d = C.art_formats(_arts(t), "layers")
     w = [F.col(c) for c in ("width", "height", "fw", "fh")]
-    return d.select("art_id", "format_id", (F.floor(F.col("coverage") * 1000000) / 1000000).alias("coverage"), "viable", F.round(G.cover_upscale(*w), 6).alias("upscale"), F.round(G.aspect_delta(*w), 9).alias("delta"))
+    return d.select("art_id", "format_id", (F.floor(F.col("coverage") * 1000000) / 1000000).alias("coverage"), "viable", F.round(G.cover_upscale(*w), 6).alias("upscale"), (F.floor(G.aspect_delta(*w) * 1000000) / 1000000).alias("delta"))
 
 
 @query("worst_format_fit", "AGG-30 TOP-07", ctes("formats") + _ARTS + f""", c AS (SELECT f.id AS format_id, a.art_id, a.layers, {_COV} AS coverage, CAST(3 + a.art_id % 5 AS INT) AS total, CAST(a.art_id % 3 AS INT) AS fits FROM arts a CROSS JOIN formats f)
@@ -499,3 +499,15 @@ def _(t: Tables):
     n = (F.lit(2) + F.col("p_partkey") % 3).cast("int")
     z = G.split_zone((F.lit(0.1), F.lit(0.2), F.lit(0.8), F.lit(0.5)), n, F.lit(1080), F.lit(1080), F.lit(1.0), F.lit("horizontal"))
     return t.part.select("p_partkey", F.posexplode(z).alias("i", "z")).select("p_partkey", "i", F.round("z.x", 6).alias("x"), F.round("z.width", 6).alias("width"))
+
+
+@query("box_geometry", "FN-22 FN-32", ctes("placements") + """, a AS (SELECT *, 40 AS m, CASE WHEN width > canvas_w - 80 THEN greatest(1, CAST(trunc(width * ((canvas_w - 80) / width)) AS INT)) ELSE width END AS w1, CASE WHEN width > canvas_w - 80 THEN greatest(1, CAST(trunc(height * ((canvas_w - 80) / width)) AS INT)) ELSE height END AS h1 FROM placements),
+ b AS (SELECT *, CASE WHEN h1 > canvas_h - 80 THEN greatest(1, CAST(trunc(w1 * ((canvas_h - 80) / h1)) AS INT)) ELSE w1 END AS w2, CASE WHEN h1 > canvas_h - 80 THEN greatest(1, CAST(trunc(h1 * ((canvas_h - 80) / h1)) AS INT)) ELSE h1 END AS h2 FROM a)
+ SELECT variant_id, ord, CAST(greatest(m, least(x, canvas_w - m - w2)) AS INT) AS x, CAST(greatest(m, least(y, canvas_h - m - h2)) AS INT) AS y, w2 AS width, h2 AS height, CAST(round_even(canvas_h * 0.14, 0) AS INT) AS safe_top, CAST(canvas_w - round_even(canvas_w * 0.06, 0) AS INT) AS safe_right,
+ CASE WHEN least(width / 1080, 1 - 0.7) >= 0.05 AND least(height / 1080, 1 - 0.5) >= 0.05 THEN least(width / 1080, 1 - 0.7) END AS zone_width FROM b""")
+def _(t: Tables):
+    w, h = F.col("canvas_w"), F.col("canvas_h")
+    safe = F.struct(*[F.lit(v).alias(n) for n, v in (("left", 0.06), ("top", 0.14), ("right", 0.06), ("bottom", 0.35))])
+    zone = G.inside_canvas((F.lit(0.7), F.lit(0.5), F.col("width") / 1080, F.col("height") / 1080), K.MIN_PRODUCT_ZONE)
+    return t.bind("placements").select("variant_id", "ord", G.clamp_into_margin(G.box(), w, h, F.lit(40)).alias("b"), G.safe_bounds(w, h, safe).alias("s"), zone.alias("z")).select(
+        "variant_id", "ord", "b.*", F.col("s.y0").alias("safe_top"), F.col("s.x1").alias("safe_right"), F.col("z.width").alias("zone_width"))

@@ -185,7 +185,7 @@ def _(t: Tables):
         "p_partkey", "b.product_scale", F.array_join("b.preferred_layouts", ",").alias("layouts"), "b.product_horizontal", "b.extra_air", "s.archetype")
 
 
-@query("proposal_canonical", "FN-27 PRJ-24", """SELECT p_partkey, category, slots, CAST(greatest(1, lo) AS INT) AS lo, CAST(greatest(greatest(1, lo), hi) AS INT) AS hi FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN 2 WHEN p_partkey % 4 = 1 THEN 3 WHEN category = 'combo' THEN 2 ELSE 1 END AS lo, CASE WHEN p_partkey % 4 = 0 THEN 4 WHEN p_partkey % 4 = 1 THEN 3 WHEN category = 'combo' THEN 4 ELSE 1 END AS hi FROM (
+@query("proposal_canonical", "FN-27", """SELECT p_partkey, category, slots, CAST(greatest(1, lo) AS INT) AS lo, CAST(greatest(greatest(1, lo), hi) AS INT) AS hi FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN 2 WHEN p_partkey % 4 = 1 THEN 3 WHEN category = 'combo' THEN 2 ELSE 1 END AS lo, CASE WHEN p_partkey % 4 = 0 THEN 4 WHEN p_partkey % 4 = 1 THEN 3 WHEN category = 'combo' THEN 4 ELSE 1 END AS hi FROM (
  SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'combo' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'combo' ELSE 'price_promotion' END ELSE 'institutional' END AS category, CASE WHEN p_partkey % 2 = 0 THEN 'productos,titular,precio' ELSE 'titular,precio' END AS slots FROM part))""")
 def _(t: Tables):
     k = F.col("p_partkey")
@@ -199,7 +199,7 @@ def _(t: Tables):
         "p_partkey", "category", "slots", F.col("r.minimum").alias("lo"), F.col("r.maximum").alias("hi"))
 
 
-@query("content_fingerprints", "FN-29")
+@query("content_fingerprints", "FN-29", """SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || '}') AS revision_hash FROM part""")
 def _(t: Tables):
     return t.part.select("p_partkey", T.content_fingerprint(["p_name", "p_brand", "p_size"]).alias("revision_hash"))
 

@@ -96,5 +96,12 @@ def read_partitioned(spark: SparkSession, path: str, schema: str, states: list[s
     return df.where(F.col("state").isin(*states)) if states else df
 
 
+def parse_records(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """JSON texts of a table as columns; corrupt ones are left out."""
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    d = df.withColumn("_r", F.from_json(F.col(text), f"{schema}, _bad STRING", opts))
+    return d.where(F.col("_r._bad").isNull()).select(*[c for c in df.columns if c != text], "_r.*").drop("_bad")
+
+
 def tenant(df: DataFrame, client_id: str, campaign_id: str) -> DataFrame:
     return df.where((F.col("client_id") == client_id) & (F.col("campaign_id") == campaign_id))

@@ -180,3 +180,33 @@ def test_paragraph_and_list(spark):
 
 def test_sizes_use_the_diagonal():
     assert math.isclose(55 * 9 / math.sqrt(337) * 2.54 * 1.08, 73.98, abs_tol=0.1)
+
+
+def test_frames_win_over_pages(spark):
+    from artkiln.operators import documents as D
+
+    pages = spark.createDataFrame([("a", 1, 0, 0, 1000, 1000), ("a", 2, 0, 0, 1000, 1000), ("b", 1, 0, 0, 800, 800), ("b", 2, 0, 0, 3000, 100)],
+                                  "doc string, page int, x int, y int, width int, height int")
+    images = spark.createDataFrame(
+        [("a", 1, 1, 5, False, 100, 100, 400, 500), ("a", 1, 2, 6, False, 120, 120, 380, 400), ("a", 1, 3, 7, True, 0, 0, 500, 500), ("a", 1, 4, 8, False, 900, 0, 300, 400),
+         ("b", 1, 1, 9, True, 0, 0, 300, 300), ("b", 2, 1, 9, False, 0, 0, 10, 10)],
+        "doc string, page int, ord bigint, xref int, alpha boolean, x int, y int, width int, height int")
+    got = {(r.doc, r.page, r.xref, r.kind) for r in D.frames_or_pages(pages, images, ["doc"]).collect()}
+    # The second image lies in the first; the fourth leaves the sheet; a document with frames gives no pages.
+    assert got == {("a", 1, 5, "frame"), ("b", 1, 0, "page")}
+
+
+def test_warnings_keep_report_order(spark):
+    rows = [("v", 10, 2, 0, "b"), ("v", 10, 1, 0, "a"), ("v", 90, 1, 0, "a"), *[("v", 20, i, 0, f"o{i}") for i in range(20)]]
+    df = spark.createDataFrame(rows, "v string, section int, a bigint, b bigint, text string")
+    assert Q.report_warnings(df, ["v"]).first().warnings == ["a", "b", *[f"o{i}" for i in range(8)]]
+
+
+def test_hot_group_gives_the_same_pairs(spark):
+    """Two thirds of all rows in one group: the grid splits it, small groups stay whole."""
+    rows = boxes(9, 900, "hot", 4000, 120) + [b for g in range(40) for b in boxes(g, 8, f"g{g}", 300)]
+    df = spark.createDataFrame(rows, BOX)
+    got = SP.box_pairs(df, df, ["g"]).where("a_ord < b_ord").select("g", "a_ord", "b_ord")
+    a, b = (df.select("g", *[F.col(c).alias(p + c) for c in ("ord", "x", "y", "width", "height")]) for p in ("a_", "b_"))
+    plain = a.join(b, "g").where("a_ord < b_ord AND a_x <= b_x + b_width AND b_x <= a_x + a_width AND a_y <= b_y + b_height AND b_y <= a_y + a_height").select("g", "a_ord", "b_ord")
+    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
