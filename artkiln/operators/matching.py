@@ -64,12 +64,8 @@ def _tiny(keys_left: DataFrame, marks: DataFrame, scope: list[str]) -> DataFrame
         small, [*scope, "marker"], "left_semi").select(*scope, "key", "marker")
 
 
-def candidates(toks: DataFrame, assets: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
-    """Token x photo candidates: exact ones, and substring ones where no exact one exists.
-
-    Work is done once per distinct token key of a scope and joined back to the
-    rows that use it.
-    """
+def _key_hits(toks: DataFrame, assets: DataFrame, scope: list[str]) -> DataFrame:
+    """Photos of each distinct token key: exact ones, substring ones where no exact one exists."""
     marks = markers(assets, scope)
     names = marks.select(*scope, "marker").distinct()
     distinct = toks.select(*scope, "key", "stem_key").distinct()
@@ -78,37 +74,52 @@ def candidates(toks: DataFrame, assets: DataFrame, keys: list[str], scope: list[
     rest = distinct.join(exact.select(*scope, "key", "stem_key").distinct(), [*scope, "key", "stem_key"], "left_anti")
     open_keys = rest.where(F.length("key") >= 3).select(*scope, "key").distinct()
     fuzzy = _fuzzy_pairs(open_keys, names, scope).join(rest, [*scope, "key"]).select(*scope, "key", "stem_key", "marker")
-    hits = exact.unionByName(fuzzy).join(marks, [*scope, "marker"]).select(*scope, "key", "stem_key", "asset_id").distinct()
-    return toks.join(hits, [*scope, "key", "stem_key"]).select(*keys, *[c for c in scope if c not in keys], "pos", "token", "asset_id")
+    return exact.unionByName(fuzzy).join(marks, [*scope, "marker"]).select(*scope, "key", "stem_key", "asset_id").distinct()
+
+
+def candidates(toks: DataFrame, assets: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
+    """Every token x photo candidate."""
+    extra = [c for c in scope if c not in keys]
+    return toks.join(_key_hits(toks, assets, scope), [*scope, "key", "stem_key"]).select(*keys, *extra, "pos", "token", "asset_id")
+
+
+def token_hits(toks: DataFrame, assets: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
+    """Matched tokens with their number of photos and the first one.
+
+    The photos are counted once per distinct key, so a popular or unclear token
+    joins back as one row however many rows use it or photos fit it.
+    """
+    per_key = _key_hits(toks, assets, scope).groupBy(*scope, "key", "stem_key").agg(
+        F.count(F.lit(1)).alias("photos"), F.min("asset_id").alias("asset_id"))
+    extra = [c for c in scope if c not in keys]
+    return toks.join(per_key, [*scope, "key", "stem_key"]).select(*keys, *extra, "pos", "token", "photos", "asset_id")
 
 
-def ambiguous(cands: DataFrame, keys: list[str]) -> DataFrame:
+def ambiguous(hits: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens that fit several photos."""
-    return cands.groupBy(*keys, "pos", "token").agg(F.count_distinct("asset_id").alias("photos")).where(F.col("photos") > 1)
+    return hits.where(F.col("photos") > 1).select(*keys, "pos", "token", "photos")
 
 
-def matches(rows: DataFrame, assets: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
+def matches(rows: DataFrame, assets: DataFrame, keys: list[str], scope: list[str], hits: DataFrame | None = None) -> DataFrame:
     """Photos of each row, ambiguous tokens apart, first token wins on a repeat.
 
     A row that asks for products and matched none takes the only photo of its
     scope, if there is just one.
     """
-    cands = candidates(tokens(rows, keys), assets, keys, scope)
-    per_token = cands.groupBy(*keys, "pos").agg(F.min("asset_id").alias("asset_id"), F.max("asset_id").alias("_other"))
-    clear = per_token.where(F.col("asset_id") == F.col("_other"))
-    found = clear.groupBy(*keys, "asset_id").agg(F.min("pos").alias("pos"))
+    hits = token_hits(tokens(rows, keys), assets, keys, scope) if hits is None else hits
+    found = hits.where(F.col("photos") == 1).groupBy(*keys, "asset_id").agg(F.min("pos").alias("pos"))
     only = assets.groupBy(*scope).agg(F.min("asset_id").alias("asset_id"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1)
-    asking = rows.where(product_count(F.col("producto"), F.col("imagen")) > 0).select(*keys)
-    unmatched = asking.join(cands.select(*keys).distinct(), keys, "left_anti")
-    fallback = unmatched.join(only, scope).select(*keys, "asset_id", F.lit(0).alias("pos"))
-    return found.unionByName(fallback)
+    asking = rows.where(product_count(F.col("producto"), F.col("imagen")) > 0).select(*{**dict.fromkeys(keys), **dict.fromkeys(scope)})
+    unmatched = asking.join(only, scope).join(hits.select(*keys).distinct(), keys, "left_anti")
+    return found.unionByName(unmatched.select(*keys, "asset_id", F.lit(0).alias("pos")))
 
 
 def readiness(rows: DataFrame, assets: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
     """Expected and found photos, unclear tokens, and whether the row may run."""
+    hits = token_hits(tokens(rows, keys), assets, keys, scope)
     expected = rows.select(*keys, product_count(F.col("producto"), F.col("imagen")).alias("expected"))
-    found = matches(rows, assets, keys, scope).groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
-    unclear = ambiguous(candidates(tokens(rows, keys), assets, keys, scope), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("unclear"))
+    found = matches(rows, assets, keys, scope, hits).groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
+    unclear = hits.where(F.col("photos") > 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("unclear"))
     j = expected.join(found, keys, "left").join(unclear, keys, "left").na.fill(0, ["found", "unclear"])
     return j.withColumn("ready", (F.col("found") >= F.col("expected")) & (F.col("unclear") == 0))
 

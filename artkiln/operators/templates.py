@@ -293,21 +293,24 @@ def overlay_placements(candidates: DataFrame, sources: DataFrame, scope: list[st
 def choose_plates(outputs: DataFrame, plates: DataFrame, scope: list[str], bare: bool = False) -> DataFrame:
     """Plate per candidate and output size: origin, preferred source, nearest proportion.
 
-    Plates that share origin, source preference and proportion are equivalent
-    but for their order, so each source first keeps its earliest plate per
-    proportion before the outputs meet them.
+    Only the best origin of a scope can win. Its plates are first folded to one
+    per proportion, and to one per source and proportion for the sources a
+    candidate prefers, so outputs never meet every plate.
     """
     rank = F.when(F.col("origin") == "vector", 0).when(F.coalesce("origin", F.lit("psd")) == "psd", 1).otherwise(2)
     path = F.coalesce(F.nullif(F.col("bare_path"), F.lit("")), F.col("path")) if bare else F.col("path")
     usable = plates.where((F.col("plate_w") > 0) & (F.col("plate_h") > 0)).select(
         *scope, "source_id", rank.alias("_rank"), (F.col("plate_w") / F.col("plate_h")).alias("_aspect"), "ord", path.alias("plate"))
-    few = best_per_group(usable, [*scope, "source_id", "_rank", "_aspect"], [F.col("ord")],
-                         [*scope, "source_id", "_rank", "_aspect", "ord", "plate"])
-    j = outputs.join(few, scope)
-    order = [F.col("_rank"), F.when(F.array_contains("source_ids", F.col("source_id")), 0).otherwise(1),
-             F.abs(F.col("_aspect") - F.col("width") / F.col("height")), F.col("ord")]
+    lowest = usable.groupBy(*scope).agg(F.min("_rank").alias("_rank"))
+    top = usable.join(lowest, [*scope, "_rank"])
+    any_ = best_per_group(top, [*scope, "_aspect"], [F.col("ord")], [*scope, "_aspect", "ord", "plate"])
+    own = best_per_group(top, [*scope, "source_id", "_aspect"], [F.col("ord")], [*scope, "source_id", "_aspect", "ord", "plate"])
     keys = [*scope, "candidate_id", "format_id"]
-    return best_per_group(j, keys, order, [*keys, "plate"])
+    cols = [*keys, "width", "height", "_aspect", "ord", "plate"]
+    liked = outputs.withColumn("source_id", F.explode(F.array_distinct("source_ids"))).join(own, [*scope, "source_id"]).select(*cols, F.lit(0).alias("_pref"))
+    other = outputs.join(any_, scope).select(*cols, F.lit(1).alias("_pref"))
+    order = [F.col("_pref"), F.abs(F.col("_aspect") - F.col("width") / F.col("height")), F.col("ord")]
+    return best_per_group(liked.unionByName(other), keys, order, [*keys, "plate"])
 
 
 def valid_sources(ids: Column, known: Column, fallback: Column) -> Column:

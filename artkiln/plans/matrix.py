@@ -346,7 +346,7 @@ def _(t: Tables):
 
 @query("ambiguous_tokens", "JOI-02", _MATCH + "SELECT client_id, matrix_id, row_number, CAST(pos - 1 AS INT) AS pos, token, photos FROM pt WHERE photos > 1")
 def _(t: Tables):
-    return P.ambiguous(P.candidates(P.tokens(typed(t), _K3), t.bind("assets"), _K3, ["client_id"]), _K3)
+    return P.ambiguous(P.token_hits(P.tokens(typed(t), _K3), t.bind("assets"), _K3, ["client_id"]), _K3)
 
 
 @query("asset_usage", "JOI-03", _MATCH + """SELECT a.client_id, a.asset_id, count(DISTINCT CASE WHEN c.row_number IS NOT NULL THEN c.matrix_id || '/' || c.row_number END) AS rows FROM assets a LEFT JOIN cand c ON c.client_id = a.client_id AND c.asset_id = a.asset_id GROUP BY ALL""")
