@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, sharding, warc
+from . import line_rules, packing, pieces, sharding, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from them."""
     read = warc.read(warc.write(table(spark, sf_dir, "pages")))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_sentencepiece_viterbi")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, with the check that they decode to it."""
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op10_pattern_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
