@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, packing, pieces, pivot_search, sharding, warc
+from . import dom, line_rules, packing, passages, pieces, pivot_search, sharding, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,16 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best matches of every vector whose id is divisible by 50."""
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op4_attention_mil")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the held-out fifth."""
+    documents = table(spark, sf_dir, "documents")
+    return passages.score(documents, passages.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op9_dom_marginals")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return dom.extract(table(spark, sf_dir, "pages"), dom.trained())
