@@ -11,6 +11,7 @@ cut them plus the counts of the tasks before it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +30,17 @@ FIT_STEPS = 300
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
+#: Units that are words with punctuation, one or several on lines of their own: their parts are words of the pre-tokenizer.
+_WORDS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+
+
 class ByteTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
     The vocabulary's pre-tokenizer starts a new word at every space that has
     no white space beside it, so units between such spaces are encoded once
-    and remembered.
+    and remembered. A new unit is put together from its letters, punctuation
+    and line ends where it has nothing else, for those are words too.
     """
 
     def __init__(self, file: str) -> None:
@@ -42,29 +48,48 @@ class ByteTokenizer:
 
         self.tokenizer = Tokenizer.from_file(file)
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.first, self.later = Memory(self._bare), Memory(self._spaced)
-
-    def _apart(self, units: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
-
-    def _bare(self, units: list[str]) -> Iterator[bytes]:
-        return self._apart(units)
-
-    def _spaced(self, units: list[str]) -> list[bytes]:
-        """Units without line ends are encoded in one text, one a line: a lone line end before a space is a word of its own."""
-        plain = [u for u in units if u and "\n" not in u and not u[0].isspace() and not u[-1].isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([f" {u}\n" for u in plain]) + " ."], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.line_end)
-        if len(ends) != len(plain):
-            return list(self._apart([" " + u for u in units]))
-        raw, found, at = ids.tobytes(), {}, 0
-        for u, end in zip(plain, (4 * ends).tolist()):
-            found[u] = raw[at:end]
-            at = end + 4
-        rest = [u for u in units if u not in found]
-        found.update(zip(rest, self._apart([" " + u for u in rest])))
-        return [found[u] for u in units]
+        self.first, self.later = Memory(lambda units: self._units("", units)), Memory(lambda units: self._units(" ", units))
+        self.words: dict[str, bytes] = {}
+
+    def _apart(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words are encoded in one text, one a line: a lone line end between them is a word of its own."""
+        text = "".join([f"{w}\n" for w in words]) + " ."
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(ids == self.line_end)).tolist()
+        if len(ends) != len(words):
+            self.words.update(zip(words, self._apart(words)))
+            return
+        raw, begins = ids.tobytes(), [0, *[e + 4 for e in ends]]
+        self.words.update((w, raw[a:b]) for w, a, b in zip(words, begins, ends))
+
+    def _units(self, lead: str, units: list[str]) -> list[bytes]:
+        made: list[list[str] | None] = []
+        for u in units:
+            parts: list[str] | None = []
+            for k, line in enumerate(u.split("\n")):
+                found = _WORDS.fullmatch(line)
+                if not found:
+                    parts = None
+                    break
+                if k:
+                    parts.append("\n")
+                word, tail = found.groups()
+                parts.append(word if k else lead + word)
+                if tail:
+                    parts.append(tail)
+            made.append(parts)
+        if len(self.words) > self.later.bound:
+            self.words.clear()
+        self.words["\n"] = self.line_end.to_bytes(4, "little")
+        missing = list(set().union(*[p for p in made if p]).difference(self.words))
+        if missing:
+            self._learn(missing)
+        rest = iter(self._apart([lead + u for u, p in zip(units, made) if p is None]))
+        words = self.words.__getitem__
+        return [next(rest) if p is None else b"".join(map(words, p)) for p in made]
 
     def encode(self, texts_: list[str]) -> list[bytes]:
         parts = [cut(t) if t else [] for t in texts_]
@@ -251,7 +276,7 @@ def pack(documents: DataFrame, file: str, sequence: int = SEQUENCE, end_id: int
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = each.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = short.join(firsts, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
+    ranked = short.join(firsts.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
     placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     full = cut_.filter(F.col("length") == sequence).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-1 - (F.col("part").cast("long") * (1 << 40) + F.col("rank"))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
