@@ -81,7 +81,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found[key] = found.get(key, 0) + len(parts)
             rows["doc_id"].append(doc_id)
             rows["host"].append(host)
-            rows["text_key"].append(hashlib.blake2b(raw, digest_size=16).digest())
+            rows["text_key"].append(hashlib.md5(raw).digest())
             rows["n_words"].append(len(words))
             rows["word_chars"].append(len(joined.decode("utf-8")))
             rows["n_symbols"].append(len(joined) - len(joined.translate(None, SYMBOLS)))
@@ -114,13 +114,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """Base counts, words_left (outside removed lines), base_failed and kept, one row per row of measured.
+def judge_keys(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """doc_id, text_key, host, base counts, words_left (outside removed lines), base_failed and kept, one row per row of measured.
 
     A row is known by doc_id and text_key, so rows that repeat whole get the
     same verdict each. A text without words fails the base rules.
     """
-    measured = staged(measured, "line-measures")
     line = measured.select("doc_id", "text_key", "host", F.explode("lines").alias("line")).select("doc_id", "text_key", "host", "line.*")
     found = line.join(frequent_lines(measured, least, share), ["host", "line_key"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = found.groupBy("doc_id", "text_key", "host", "line_key").agg(F.max("words").alias("words"))
@@ -129,5 +128,17 @@ def judge(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHA
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
     joined = measured.drop("lines").join(gone, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")) & (F.col("host") == F.col("k3")), "left")
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left.alias("words_left"), base_failed().alias("base_failed"),
+        "doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left.alias("words_left"), base_failed().alias("base_failed"),
         (~base_failed() & (left >= left_share * F.col("n_words"))).alias("kept"))
+
+
+def judge(measured: DataFrame, **limits) -> DataFrame:
+    """Base counts and verdict of every row of measured, as judge_keys gives them, without the keys."""
+    return judge_keys(staged(measured, "line-measures"), **limits).drop("text_key", "host")
+
+
+def select_kept(documents: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """The rows of documents that the rules keep, with all their columns."""
+    verdict = judge_keys(staged(measure(documents, key, host, text), "line-measures")).filter(~F.col("kept")).select("doc_id", "text_key", "host").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("t"), F.coalesce(F.col(host), F.lit("")).alias("h"))
+    return rows.join(verdict, F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_key")) & (F.col("h") == F.col("host")), "left_anti").select("row.*")

@@ -195,3 +195,18 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     scored = texts(documents).mapInArrow(run, "doc_id long, score double, n_passages long")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages")
+
+
+def select_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of documents that score at least the threshold, with all their columns."""
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([batch.column(at).fill_null("")], names=["text"])
+            good: list[bool] = []
+            for _, group in groups(plain, "text"):
+                good += (model.forward(*features(group))["score"] >= threshold).tolist()
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

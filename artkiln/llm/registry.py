@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dom, line_rules, packing, passages, pieces, pivot_search, sharding, warc
+from . import bottom_k, dom, line_rules, packing, passages, pieces, pivot_search, sharding, suffix_dedup, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,33 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return dom.extract(table(spark, sf_dir, "pages"), dom.trained())
+
+
+@query("op1_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+     g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+     hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM g) WHERE m < doc_id),
+     run AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS f FROM hit)),
+     span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY 1, 2),
+     cut AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM span UNION ALL SELECT d.doc_id, coalesce(max(b), 0), d.n FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id, d.n),
+     kept AS (SELECT doc_id, sha256(unhex(string_agg(substr(h, CAST(2 * x + 1 AS INTEGER), CAST(2 * (y - x) AS INTEGER)), '' ORDER BY x, y))) AS kept_sha256 FROM cut JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans, any_value(kept_sha256) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN span USING (doc_id) GROUP BY d.doc_id, d.n""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings of documents before it."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_bottom_k_dedup", """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                 ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM d),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+     shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+     link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+     reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept
+FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near copies of every document, on three words and a similarity of 0.85."""
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)

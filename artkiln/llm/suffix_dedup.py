@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 20
 CHUNK, CHUNKS_A_BUCKET, HOT, AT_ONCE = 8 << 20, 2, 5000, 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD = np.random.default_rng(11).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNKS = "chunk long, doc_ids binary, sizes binary, digests binary, text binary"
+_CHUNKS = "chunk long, doc_ids binary, sizes binary, digests binary, text binary, rest binary"
 _SENT = "bucket int, chunk long, body binary"
 
 
@@ -61,33 +61,43 @@ def _unpack(body: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def chunks(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK) -> DataFrame:
-    """Texts in the order they are read, packed up to `size` bytes; a null text is empty, a null id the largest."""
+def chunks(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Texts in the order they are read, packed up to `size` bytes, with the columns to carry along; a null text is empty, a null id the largest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         raw: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         held = 0
 
         def closed() -> pa.RecordBatch:
             digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw)
+            sink = pa.BufferOutputStream()
+            if carry:
+                with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                    for x in rest:
+                        out.write_batch(x)
             return pa.RecordBatch.from_pydict({
                 "chunk": pa.array([(part << 32) + made], pa.int64()), "doc_ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "sizes": pa.array([np.array([len(x) for x in raw], np.int64).tobytes()], pa.binary()),
-                "digests": pa.array([digests], pa.binary()), "text": pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(raw))], pa.binary())})
+                "digests": pa.array([digests], pa.binary()), "text": pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(raw))], pa.binary()), "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         for batch in batches:
-            for doc_id, x in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary())):
+            begin, other = 0, batch.select([f"rest{i}" for i in range(len(carry))])
+            for i, (doc_id, x) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()))):
                 ids.append(doc_id)
                 raw.append(x.as_py())
                 held += len(raw[-1])
                 if held >= size:
+                    rest.append(other.slice(begin, i + 1 - begin))
                     yield closed()
-                    ids, raw, held, made = [], [], 0, made + 1
+                    ids, raw, rest, held, made, begin = [], [], [], 0, made + 1, i + 1
+            rest.append(other.slice(begin))
         if ids:
             yield closed()
 
-    rows = documents.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = documents.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+                            *[F.col(f"`{c}`").alias(f"rest{i}") for i, c in enumerate(carry)])
     return rows.mapInArrow(run, _CHUNKS)
 
 
@@ -330,53 +340,77 @@ def _match(sent: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(names, pa.int64()), "body": pa.array(bodies, pa.binary())})
 
 
-def _keep(with_text: bool):
-    """Rows of a chunk's documents after what was found is removed."""
-
-    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        for row in chunk.to_pylist():
-            here = Chunk(row["doc_ids"], row["sizes"], row["text"])
-            edge = np.zeros(len(here.data) + 1, np.int32)
-            begins = here.ends - here.sizes
-            for a in found.to_pylist():
-                if a["ordinals"] is not None:
-                    gone = np.array(a["ordinals"], np.int64)
-                    gone = gone[here.sizes[gone] >= LENGTH]
-                    np.add.at(edge, begins[gone], 1)
-                    np.add.at(edge, here.ends[gone], -1)
-                else:
-                    start, number = _unpack(a["body"], np.int64, np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + number + LENGTH - 1, -1)
-            removed = np.cumsum(edge[:-1]) > 0
-            for doc_id, a, b in zip(here.doc_ids.tolist(), begins.tolist(), here.ends.tolist()):
-                mask = removed[a:b]
-                n = int(mask.sum())
-                spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0]) if n else 0
-                kept = (here.data[a:b][~mask] if n else here.data[a:b]).tobytes()
-                out.append((None if doc_id == (1 << 63) - 1 else doc_id, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        cols = list(zip(*out)) if out else [[]] * 6
-        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-        return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)})
-
-    return run
-
-
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, chunk_bytes: int = CHUNK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, if with_text) of every row.
-
-    Rows that repeat an id are not earlier than each other, so they take
-    nothing from one another. An empty table gives no rows.
-    """
-    found = staged(chunks(documents, key, text, chunk_bytes), "text-chunks")
+def _keep(found: pa.Table, here: Chunk) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bytes, bytes removed, runs removed, what is left) of each document of a chunk."""
+    edge = np.zeros(len(here.data) + 1, np.int32)
+    begins = here.ends - here.sizes
+    for a in found.to_pylist():
+        if a["ordinals"] is not None:
+            gone = np.array(a["ordinals"], np.int64)
+            gone = gone[here.sizes[gone] >= LENGTH]
+            np.add.at(edge, begins[gone], 1)
+            np.add.at(edge, here.ends[gone], -1)
+        else:
+            start, number = _unpack(a["body"], np.int64, np.int64)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + number + LENGTH - 1, -1)
+    removed = np.cumsum(edge[:-1]) > 0
+    for a, b in zip(begins.tolist(), here.ends.tolist()):
+        mask = removed[a:b]
+        n = int(mask.sum())
+        yield b - a, n, int((mask[1:] & ~mask[:-1]).sum() + mask[0]) if n else 0, (here.data[a:b][~mask] if n else here.data[a:b]).tobytes()
+
+
+def _digests(chunk: pa.Table, found: pa.Table) -> pa.Table:
+    out: list[tuple] = []
+    for row in chunk.to_pylist():
+        here = Chunk(row["doc_ids"], row["sizes"], row["text"])
+        for doc_id, (n, gone, spans, kept) in zip(here.doc_ids.tolist(), _keep(found, here)):
+            out.append((None if doc_id == (1 << 63) - 1 else doc_id, n, gone, spans, hashlib.sha256(kept).hexdigest()))
+    cols = list(zip(*out)) if out else [[]] * 5
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)})
+
+
+def _texts(chunk: pa.Table, found: pa.Table) -> pa.Table:
+    """The carried columns of each document, with n_removed and what is left as text; a character cut in two is left out."""
+    out = []
+    for row in chunk.to_pylist():
+        kept = list(_keep(found, Chunk(row["doc_ids"], row["sizes"], row["text"])))
+        rest = pa.ipc.open_stream(row["rest"]).read_all()
+        out.append(rest.append_column("n_removed", pa.array([k[1] for k in kept], pa.int64())).append_column("left", pa.array([k[3].decode("utf-8", "ignore") for k in kept], pa.string())))
+    return pa.concat_tables(out)
+
+
+def _covered(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks, and what is found repeated in each: strings with earlier matches, and whole copies."""
     buckets = max(8, found.select("chunk").count() // CHUNKS_A_BUCKET)
     copies = staged(_copies(found), "whole-copies").withColumn("bucket", F.lit(None).cast("int")).withColumn("body", F.lit(None).cast("binary"))
-    asked = _ask(found, buckets).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, body binary")
-    answers = asked.withColumn("ordinals", F.lit(None).cast("array<int>")).unionByName(copies)
     plain = found.select("chunk", "doc_ids", "sizes", "text")
+    asked = _ask(plain, buckets).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, body binary")
+    answers = asked.withColumn("ordinals", F.lit(None).cast("array<int>")).unionByName(copies)
     sent = plain.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send(buckets), _SENT)
     spread = F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(F.col("bucket"))  # what is settled needs no meeting place
     matched = sent.withColumn("to", spread).groupBy("bucket", "to").applyInArrow(lambda t: _match(t), "chunk long, body binary")
-    cover = matched.withColumn("ordinals", F.lit(None).cast("array<int>")).unionByName(copies.select("chunk", "body", "ordinals"))
-    return plain.groupBy("chunk").cogroup(cover.groupBy("chunk")).applyInArrow(_keep(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return plain, matched.withColumn("ordinals", F.lit(None).cast("array<int>")).unionByName(copies.select("chunk", "body", "ordinals"))
+
+
+def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    Rows that repeat an id are not earlier than each other, so they take
+    nothing from one another. An empty table gives no rows.
+    """
+    plain, cover = _covered(staged(chunks(documents, key, text, chunk_bytes), "text-chunks"))
+    return plain.groupBy("chunk").cogroup(cover.groupBy("chunk")).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+    """All columns of documents, the text without its repeated strings; rows of which only white space is left go."""
+    carry = tuple(c for c in documents.columns if c != text)
+    found = staged(chunks(documents, key, text, chunk_bytes, carry), "text-chunks")
+    _, cover = _covered(found)
+    schema = ", ".join([*[f"rest{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)], "n_removed long", "left string"])
+    rows = found.select("chunk", "doc_ids", "sizes", "text", "rest").groupBy("chunk").cogroup(cover.groupBy("chunk")).applyInArrow(_texts, schema)
+    rows = rows.filter((F.col("n_removed") == 0) | F.col("left").rlike(r"\S"))
+    return rows.select(*[F.col("left").alias(c) if c == text else F.col(f"rest{carry.index(c)}").alias(c) for c in documents.columns])

@@ -1,2 +1,60 @@
-"""From documents to packed training sequences: stages, and a run over all of them."""
-STAGES = []
+"""From documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept, and gives back rows that are written as Parquet and read again as the
+next stage's docs. All but the last give back the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from artkiln.llm import bottom_k, line_rules, packing, passages, suffix_dedup
+from artkiln.llm.registry import vocabulary
+from artkiln.llm.tables import staged, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the attention classifier accepts; it learns from the labels of the documents it is given."""
+    return passages.select_good(docs, passages.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are not depleted by lines frequent in their source."""
+    return line_rules.select_kept(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies, on shingles of five words and a similarity of 0.8."""
+    return bottom_k.select_kept(docs, words=5, percent=80)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without 50-byte strings of documents before them, and their lengths."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every text in sequences of 2048 tokens."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("pack", pack),
+]
+
+#: No SQL states the classifier and the packing; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
