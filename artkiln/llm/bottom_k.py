@@ -213,9 +213,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     stays alone: its component is null and it is kept.
     """
     known = staged(sketches(documents, words), "sketches")
-    joined = components(links(documents, known, words, percent))
-    first = known.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"))
-    repeated = known.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(first.filter("many > 1"), "print").select("doc_id", F.col("rep"))
+    worded = known.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "print")
+    first = worded.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"))
+    repeated = worded.join(first.filter("many > 1"), "print").select("doc_id", "rep")
+    # An id with several texts ties their classes together.
+    several = worded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    tied = worded.join(several, "doc_id").join(first, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    joined = components(links(documents, known, words, percent).union(tied))
     to = repeated.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     of = joined.select(F.col("node").alias("doc_id"), "component").union(to).groupBy("doc_id").agg(F.min("component").alias("component_id"))
     out = known.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

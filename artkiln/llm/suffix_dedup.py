@@ -201,21 +201,25 @@ def _ask(found: DataFrame, buckets: int) -> DataFrame:
     return found.mapInArrow(run, _SENT)
 
 
-def _answer(asked: pa.Table) -> pa.Table:
+def _answer(hot: int):
     """For each sent hash: 0 in one document, 1 in several, 2 in very many."""
-    lists, counts = [], []
-    for body in asked["body"]:
-        planes, count = _unpack(body.as_py(), np.uint8, np.uint8)
-        wide = np.zeros((len(count), 8), np.uint8)
-        wide[:, :6] = planes.reshape(6, -1).T
-        lists.append(np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64))
-        counts.append(count)
-    hashes = np.concatenate(lists)
-    unique, back = np.unique(hashes, return_inverse=True)
-    total = np.bincount(back, np.concatenate(counts))
-    code = ((total > 1).astype(np.uint8) + (total >= HOT))[back]
-    edges = np.cumsum([0, *map(len, lists)])
-    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "body": pa.array([_pack(code[a:b].astype(np.uint8)) for a, b in zip(edges, edges[1:])], pa.binary())})
+
+    def run(asked: pa.Table) -> pa.Table:
+        lists, counts = [], []
+        for body in asked["body"]:
+            planes, count = _unpack(body.as_py(), np.uint8, np.uint8)
+            wide = np.zeros((len(count), 8), np.uint8)
+            wide[:, :6] = planes.reshape(6, -1).T
+            lists.append(np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64))
+            counts.append(count)
+        hashes = np.concatenate(lists)
+        unique, back = np.unique(hashes, return_inverse=True)
+        total = np.bincount(back, np.concatenate(counts))
+        code = ((total > 1).astype(np.uint8) + (total >= hot))[back]
+        edges = np.cumsum([0, *map(len, lists)])
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "body": pa.array([_pack(code[a:b].astype(np.uint8)) for a, b in zip(edges, edges[1:])], pa.binary())})
+
+    return run
 
 
 def _copies(found: DataFrame) -> DataFrame:
@@ -382,12 +386,12 @@ def _texts(chunk: pa.Table, found: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _covered(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _covered(found: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     """The chunks, and what is found repeated in each: strings with earlier matches, and whole copies."""
     buckets = max(8, found.select("chunk").count() // CHUNKS_A_BUCKET)
     copies = staged(_copies(found), "whole-copies").withColumn("bucket", F.lit(None).cast("int")).withColumn("body", F.lit(None).cast("binary"))
     plain = found.select("chunk", "doc_ids", "sizes", "text")
-    asked = _ask(plain, buckets).groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, body binary")
+    asked = _ask(plain, buckets).groupBy("bucket").applyInArrow(_answer(hot), "chunk long, bucket int, body binary")
     answers = asked.withColumn("ordinals", F.lit(None).cast("array<int>")).unionByName(copies)
     sent = plain.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send(buckets), _SENT)
     spread = F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(F.col("bucket"))  # what is settled needs no meeting place
@@ -395,21 +399,21 @@ def _covered(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain, matched.withColumn("ordinals", F.lit(None).cast("array<int>")).unionByName(copies.select("chunk", "body", "ordinals"))
 
 
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Rows that repeat an id are not earlier than each other, so they take
     nothing from one another. An empty table gives no rows.
     """
-    plain, cover = _covered(staged(chunks(documents, key, text, chunk_bytes), "text-chunks"))
+    plain, cover = _covered(staged(chunks(documents, key, text, chunk_bytes), "text-chunks"), hot)
     return plain.groupBy("chunk").cogroup(cover.groupBy("chunk")).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
     """All columns of documents, the text without its repeated strings; rows of which only white space is left go."""
     carry = tuple(c for c in documents.columns if c != text)
     found = staged(chunks(documents, key, text, chunk_bytes, carry), "text-chunks")
-    _, cover = _covered(found)
+    _, cover = _covered(found, hot)
     schema = ", ".join([*[f"rest{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)], "n_removed long", "left string"])
     rows = found.select("chunk", "doc_ids", "sizes", "text", "rest").groupBy("chunk").cogroup(cover.groupBy("chunk")).applyInArrow(_texts, schema)
     rows = rows.filter((F.col("n_removed") == 0) | F.col("left").rlike(r"\S"))
