@@ -39,7 +39,7 @@ from .tables import staged
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a chunk; chunks for each bucket; documents from which a hash is spread over buckets; windows sorted at once.
-CHUNK, CHUNKS_A_BUCKET, HOT, AT_ONCE = 8 << 20, 2, 5000, 1 << 20
+CHUNK, CHUNKS_A_BUCKET, HOT, AT_ONCE = 2 << 20, 8, 5000, 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD = np.random.default_rng(11).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNKS = "chunk long, doc_ids binary, sizes binary, digests binary, text binary, rest binary"
@@ -116,7 +116,7 @@ class Chunk:
             return none.astype(np.uint64), none, none, none
         hashes, span = gram_hashes(self.data), LENGTH - GRAM + 1
         starts = np.arange(len(self.data) - LENGTH + 1)
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[: len(starts)]
+        doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[: len(starts)]
         inside = starts + LENGTH <= self.ends[doc]
         least = _slide(hashes, span, np.minimum)
         # Consecutive strings with one and the same least hash form a stretch; it is cut where a document ends or span strings are full.
@@ -267,6 +267,7 @@ def _send(buckets: int):
             order = np.lexsort((owner, np.ascontiguousarray(rows).view(f"S{wide + 1}").ravel())) if len(rows) else np.zeros(0, np.int64)
             rows, start, count, owner = rows[order], start[order], count[order], owner[order]
             bucket = np.concatenate([_bucket(hashes[whole], buckets), np.full(len(single), -1)])[order]
+            part = np.concatenate([hashes[whole], np.zeros(len(single), np.uint64)]).astype(np.uint16)[order]
             fresh = np.ones(len(rows), bool)
             fresh[1:] = (rows[1:] != rows[:-1]).any(1)
             group = np.cumsum(fresh) - 1
@@ -275,16 +276,17 @@ def _send(buckets: int):
             out.append((-1, row["chunk"], _pack(start[~mine], count[~mine])))
             uses = np.bincount(group[mine], minlength=len(heads))
             places = start[mine]
-            bucket = bucket[heads]
+            bucket, part = bucket[heads], part[heads]
             lone = bucket < 0
             if lone.any():
                 strings = np.ascontiguousarray(rows[heads[lone], :LENGTH])
-                bucket[lone] = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=6).digest(), "little") % buckets for x in strings]
+                own = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in strings], np.uint64)
+                bucket[lone], part[lone] = (own >> np.uint64(16)) % np.uint64(buckets), own.astype(np.uint16)
             ends = np.cumsum(uses)
             for b in np.unique(bucket):
                 some = np.flatnonzero(bucket == b)
                 where = np.repeat((ends - uses)[some], uses[some]) + np.arange(uses[some].sum()) - np.repeat(np.cumsum(uses[some]) - uses[some], uses[some])
-                out.append((int(b), row["chunk"], _pack(rows[heads[some]].ravel(), owner[heads[some]], uses[some], places[where])))
+                out.append((int(b), row["chunk"], _pack(rows[heads[some]].ravel(), owner[heads[some]], uses[some], places[where], part[some])))
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()), "body": pa.array(cols[2], pa.binary())})
 
@@ -315,29 +317,38 @@ def earlier(strings: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def _match(sent: pa.Table) -> pa.Table:
-    """Strings with an earlier match, as (start, number) of neighbouring strings, for each chunk."""
+    """Strings with an earlier match, as (start, number) of neighbouring strings, for each chunk.
+
+    Equal strings have equal parts, so a bucket is sorted part by part where it is large.
+    """
     if sent["bucket"][0].as_py() < 0:
         return sent.select(["chunk", "body"])
     wide = 2 * LENGTH - GRAM
-    rows, owner, uses, places, origin = [], [], [], [], []
+    lists: list[list[np.ndarray]] = []
     names = sent["chunk"].to_pylist()
     for i, body in enumerate(sent["body"]):
-        r, o, u, p = _unpack(body.as_py(), np.uint8, np.int64, np.int64, np.int64)
-        rows.append(r.reshape(-1, wide + 1)), owner.append(o), uses.append(u), places.append(p), origin.append(np.full(len(u), i))
-    rows, owner, uses, places, origin = map(np.concatenate, (rows, owner, uses, places, origin))
-    count = rows[:, wide].astype(np.int64)
-    item = np.repeat(np.arange(len(rows)), count)
-    offset = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-    strings = np.lib.stride_tricks.sliding_window_view(rows[:, :wide], LENGTH, 1)
-    found = earlier(strings[item, offset], owner[item])
-    first = found & ((offset == 0) | ~np.concatenate([[False], found[:-1]]))
-    last = found & ((offset == count[item] - 1) | ~np.concatenate([found[1:], [False]]))
-    at = item[first]
-    number = offset[last] - offset[first] + 1
+        r, o, u, p, t = _unpack(body.as_py(), np.uint8, np.int64, np.int64, np.int64, np.uint16)
+        lists.append([r.reshape(-1, wide + 1), o, u, p, t, np.full(len(u), i)])
+    rows, owner, uses, places, part, origin = map(np.concatenate, zip(*lists))
     begin = np.cumsum(uses) - uses
-    each = np.repeat(np.arange(len(at)), uses[at])
-    place = places[np.repeat(begin[at], uses[at]) + np.arange(len(each)) - np.repeat(np.cumsum(uses[at]) - uses[at], uses[at])]
-    start, number, source = place + offset[first][each], number[each], origin[at][each]
+    slices = max(1, int(rows[:, wide].sum(dtype=np.int64)) // AT_ONCE)
+    starts, numbers, sources = [], [], []
+    for k in range(slices):
+        some = np.flatnonzero(part % slices == k)
+        count = rows[some, wide].astype(np.int64)
+        item = np.repeat(np.arange(len(some)), count)
+        offset = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        strings = np.lib.stride_tricks.sliding_window_view(rows[some, :wide], LENGTH, 1)
+        found = earlier(strings[item, offset], owner[some][item])
+        first = found & ((offset == 0) | ~np.concatenate([[False], found[:-1]]))
+        last = found & ((offset == count[item] - 1) | ~np.concatenate([found[1:], [False]]))
+        at = some[item[first]]
+        each = np.repeat(np.arange(len(at)), uses[at])
+        place = places[np.repeat(begin[at], uses[at]) + np.arange(len(each)) - np.repeat(np.cumsum(uses[at]) - uses[at], uses[at])]
+        starts.append(place + offset[first][each])
+        numbers.append((offset[last] - offset[first] + 1)[each])
+        sources.append(origin[at][each])
+    start, number, source = map(np.concatenate, (starts, numbers, sources))
     order = np.argsort(source, kind="stable")
     edges = np.searchsorted(source[order], np.arange(len(names) + 1))
     bodies = [_pack(start[order[a:b]], number[order[a:b]]) for a, b in zip(edges, edges[1:])]
