@@ -39,7 +39,7 @@ from .tables import staged
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a chunk; chunks for each bucket; documents from which a hash is spread over buckets; windows sorted at once.
-CHUNK, CHUNKS_A_BUCKET, HOT, AT_ONCE = 2 << 20, 8, 5000, 1 << 20
+CHUNK, CHUNKS_A_BUCKET, HOT, AT_ONCE = 2 << 20, 4, 5000, 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD = np.random.default_rng(11).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNKS = "chunk long, doc_ids binary, sizes binary, digests binary, text binary, rest binary"
@@ -330,6 +330,7 @@ def _match(sent: pa.Table) -> pa.Table:
         r, o, u, p, t = _unpack(body.as_py(), np.uint8, np.int64, np.int64, np.int64, np.uint16)
         lists.append([r.reshape(-1, wide + 1), o, u, p, t, np.full(len(u), i)])
     rows, owner, uses, places, part, origin = map(np.concatenate, zip(*lists))
+    del lists
     begin = np.cumsum(uses) - uses
     slices = max(1, int(rows[:, wide].sum(dtype=np.int64)) // AT_ONCE)
     starts, numbers, sources = [], [], []
