@@ -173,11 +173,11 @@ def normalise_to_safe(x0: Column, y0: Column, x1: Column, y1: Column, w: Column,
     uh = F.lit(1.0) - safe["top"] - safe["bottom"]
 
     def pos(v, size, edge, room):
-        return rnd4(F.greatest(F.lit(0.0), F.least(F.lit(0.99), (v / size - edge) / room)))
+        return rnd4(F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.try_divide(F.try_divide(v, size) - edge, room))))
 
     x, y = pos(x0, w, safe["left"], uw), pos(y0, h, safe["top"], uh)
-    bw = F.least(rnd4((x1 - x0) / w / uw), rnd4(F.lit(1.0) - x))
-    bh = F.least(rnd4((y1 - y0) / h / uh), rnd4(F.lit(1.0) - y))
+    bw = F.least(rnd4(F.try_divide(F.try_divide(x1 - x0, w), uw)), rnd4(F.lit(1.0) - x))
+    bh = F.least(rnd4(F.try_divide(F.try_divide(y1 - y0, h), uh)), rnd4(F.lit(1.0) - y))
     ok = (w > 0) & (h > 0) & (uw > 0) & (uh > 0) & (bw > 0) & (bh > 0)
     return F.when(ok, F.struct(x.alias("x"), y.alias("y"), bw.alias("width"), bh.alias("height")))
 

@@ -45,8 +45,8 @@ def generic_name(name: Column) -> Column:
 def shape_class(x: Column, y: Column, w: Column, h: Column, cw: Column, ch: Column, opaque: Column) -> Column:
     """Place-based class; ``corner`` marks a logo candidate (only the first becomes one)."""
     share = (w * h) / F.greatest(F.lit(1), cw * ch).cast("double")
-    cx, cy = (x + w / 2) / cw, (y + h / 2) / ch
-    aspect, tall = w / F.greatest(F.lit(1), h), h / ch
+    cx, cy = F.try_divide(x + w / 2, cw), F.try_divide(y + h / 2, ch)
+    aspect, tall = w / F.greatest(F.lit(1), h), F.try_divide(h, ch)
     corner = (share < 0.05) & ((cy < 0.22) | (cy > 0.85)) & ((cx < 0.32) | (cx > 0.68))
     return (
         F.when((share >= 0.92) & (opaque >= 0.85), "background")

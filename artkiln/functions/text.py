@@ -139,8 +139,8 @@ def clean_document(c: Column, limit: int) -> Column:
     return F.substring(strip_ws(lines), 1, limit)
 
 
-def labelled_value(c: Column, labels: list[str], limit: int = 500) -> Column:
-    """First ``label: value`` line; earlier labels win; empty when none."""
+def labelled_value(c: Column, labels: list[str], limit: int | None = None) -> Column:
+    """First ``label: value`` line, its first ``limit`` characters if one is given; earlier labels win; empty when none."""
     import re
 
     found = [

@@ -20,12 +20,13 @@ def _entries(h: Column, ch: Column, text: Column) -> list[Column]:
     digit = rlike(text, r"\d")
     before = rlike(text, K.ART_BEFORE)
     price = digit & (rlike(text, K.ART_MONEY) | before | rlike(text, K.ART_ONLY_FIGURE))
-    low = (F.col("y0") / ch > 0.88) & (h / ch < 0.035)
+    high = F.try_divide(h, ch)
+    low = (F.try_divide(F.col("y0"), ch) > 0.88) & (high < 0.035)
     by_order, tall, short = F.lit(0), -h, h
     rules = {
         "logo": (F.col("role") == "brand", by_order),
         "legal": (rlike(text, K.ART_LEGAL) | low, short),
-        "validity": ((h / ch <= 0.05) & rlike(text, K.ART_VALIDITY), by_order),
+        "validity": ((high <= 0.05) & rlike(text, K.ART_VALIDITY), by_order),
         "discount": (rlike(text, K.ART_PERCENT), by_order),
         "installment": (rlike(text, K.ART_INSTALLMENT), by_order),
         "previous_price": (price & before, tall), "price": (price, tall),

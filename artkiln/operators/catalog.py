@@ -51,9 +51,8 @@ def row_formats(rows: DataFrame, keys: list[str], default: str = K.DEFAULT_FORMA
     """Distinct resolved formats of each row in order of first use."""
     tokens = F.when(F.size("formatos") > 0, F.col("formatos")).otherwise(F.array(F.lit(default)))
     long = rows.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
-    # Few spellings are in use: each is resolved once and joined back.
-    known = resolve_formats(long.select("token").distinct())
-    good = long.join(known.where(F.col("rule").isNull()).drop("rule"), "token")
+    # The catalogue is fixed and small, so tokens are resolved in place and the rows are read once.
+    good = resolve_formats(long).where(F.col("rule").isNull())
     return best_per_group(good, [*keys, "format_id"], [F.col("pos")], [*keys, "format_id", "pos", "width", "height", "safe"])
 
 

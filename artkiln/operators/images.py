@@ -25,7 +25,7 @@ def grey() -> Column:
     return F.floor((F.col("r") * 19595 + F.col("g") * 38470 + F.col("b") * 7471 + 0x8000) / 65536).cast("int")
 
 
-def palette(pixels: DataFrame, keys: list[str], k: int = 6, shift: int = 4, most: int = 50) -> DataFrame:
+def palette(pixels: DataFrame, keys: list[str], k: int = 6, shift: int = 4) -> DataFrame:
     """Most frequent colour bins, near-white, near-black and greys dropped, first ``k``."""
     half = (1 << shift) >> 1
 
@@ -33,11 +33,10 @@ def palette(pixels: DataFrame, keys: list[str], k: int = 6, shift: int = 4, most
         return F.expr(f"(({c} >> {shift}) << {shift}) + {half}")
 
     counts = pixels.groupBy(*keys, *[binned(c).alias(c) for c in "rgb"]).agg(F.count(F.lit(1)).alias("n"))
-    top = top_per_group(counts, keys, [F.col("n").desc(), F.col("r"), F.col("g"), F.col("b")], most, "_m")
     spread = F.greatest("r", "g", "b") - F.least("r", "g", "b")
     light = (F.col("r") + F.col("g") + F.col("b")) / 3
     plain = (light > 244) | (light < 14) | ((spread < 12) & (light > 40) & (light < 225))
-    kept = top_per_group(top.where(~plain), keys, [F.col("_m")], k)
+    kept = top_per_group(counts.where(~plain), keys, [F.col("n").desc(), F.col("r"), F.col("g"), F.col("b")], k)
     return kept.select(*keys, "rn", C.rgb_to_hex(rgb()).alias("colour"), "n")
 
 

@@ -29,13 +29,35 @@ def expired_projects(touches: DataFrame, now: Column, hours: int, keep: int) ->
 
 
 def learned_rules(log: DataFrame, client: str, k: int = 80) -> DataFrame:
-    """Rules of a client in the order they were first learned; the last ``k`` stay.
+    """Rules of a client in the order they were learned (``client, rule, ord``); the last ``k`` stay.
 
-    A rule pushed out of the log could be learned again later; as long as a
-    client has at most ``k`` distinct rules, or none repeats, that cannot matter.
+    A rule that the log holds is not learned again; one that was pushed out is.
+    So each client's log is replayed in order: rows come sorted within their
+    partition and only ``k`` rules of one client are held at a time.
     """
-    first = log.groupBy(client, "rule").agg(F.min("ord").alias("ord"))
-    return top_per_group(first, [client], [F.col("ord").desc()], k, "_r").drop("_r")
+    def replay(batches):
+        import pandas as pd
+
+        name, kept = None, {}
+
+        def out():
+            return pd.DataFrame({client: [name] * len(kept), "rule": list(kept), "ord": list(kept.values())})
+
+        for batch in batches:
+            for c, rule, at in zip(batch[client], batch["rule"], batch["ord"]):
+                if c != name:
+                    if kept:
+                        yield out()
+                    name, kept = c, {}
+                if rule not in kept:
+                    kept[rule] = at
+                    if len(kept) > k:
+                        del kept[next(iter(kept))]
+        if kept:
+            yield out()
+
+    rows = log.select(client, "rule", "ord").repartition(client).sortWithinPartitions(client, "ord")
+    return rows.mapInPandas(replay, rows.schema)
 
 
 def client_profiles(clients: DataFrame, campaigns: DataFrame, templates: DataFrame, memory: DataFrame, rules: DataFrame, client: str) -> DataFrame:
@@ -114,7 +136,7 @@ def progress(done: Column, total: Column) -> Column:
 
 def latest_jobs(changes: DataFrame) -> DataFrame:
     """Latest state per task; a finished task stays finished when redelivered."""
-    done = F.max_by(F.struct("state", "progress", "ts"), F.when(F.col("state") == "COMPLETED", F.col("ts")))
+    done = F.max_by(F.struct("state", "progress", "ts"), F.when(F.col("state") == "COMPLETED", F.struct("ts", "event_id")))
     last = F.max_by(F.struct("state", "progress", "ts"), F.struct("ts", "event_id"))
     return changes.groupBy("task_id").agg(F.coalesce(done, last).alias("s")).select("task_id", "s.state", "s.progress", "s.ts")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import list_cell, slug, stem
+from ..session import staged
 from .matrix import product_count
 
 GRAMS = (3, 6, 12)
@@ -66,12 +67,12 @@ def _tiny(keys_left: DataFrame, marks: DataFrame, scope: list[str]) -> DataFrame
 
 def _key_hits(toks: DataFrame, assets: DataFrame, scope: list[str]) -> DataFrame:
     """Photos of each distinct token key: exact ones, substring ones where no exact one exists."""
-    marks = markers(assets, scope)
+    marks = staged(markers(assets, scope), "photo-names")
     names = marks.select(*scope, "marker").distinct()
-    distinct = toks.select(*scope, "key", "stem_key").distinct()
+    distinct = staged(toks.select(*scope, "key", "stem_key").distinct(), "token-keys")
     wanted = distinct.select(*scope, "key", "stem_key", F.explode(F.array_distinct(F.array("key", "stem_key"))).alias("marker"))
-    exact = wanted.where(F.col("marker") != "").join(names, [*scope, "marker"]).select(*scope, "key", "stem_key", "marker")
-    rest = distinct.join(exact.select(*scope, "key", "stem_key").distinct(), [*scope, "key", "stem_key"], "left_anti")
+    exact = staged(wanted.where(F.col("marker") != "").join(names, [*scope, "marker"]).select(*scope, "key", "stem_key", "marker"), "exact-hits")
+    rest = staged(distinct.join(exact.select(*scope, "key", "stem_key").distinct(), [*scope, "key", "stem_key"], "left_anti"), "open-keys")
     open_keys = rest.where(F.length("key") >= 3).select(*scope, "key").distinct()
     fuzzy = _fuzzy_pairs(open_keys, names, scope).join(rest, [*scope, "key"]).select(*scope, "key", "stem_key", "marker")
     return exact.unionByName(fuzzy).join(marks, [*scope, "marker"]).select(*scope, "key", "stem_key", "asset_id").distinct()
@@ -92,7 +93,8 @@ def token_hits(toks: DataFrame, assets: DataFrame, keys: list[str], scope: list[
     per_key = _key_hits(toks, assets, scope).groupBy(*scope, "key", "stem_key").agg(
         F.count(F.lit(1)).alias("photos"), F.min("asset_id").alias("asset_id"))
     extra = [c for c in scope if c not in keys]
-    return toks.join(per_key, [*scope, "key", "stem_key"]).select(*keys, *extra, "pos", "token", "photos", "asset_id")
+    hits = toks.join(per_key, [*scope, "key", "stem_key"]).select(*keys, *extra, "pos", "token", "photos", "asset_id")
+    return staged(hits, "token-hits")
 
 
 def ambiguous(hits: DataFrame, keys: list[str]) -> DataFrame:

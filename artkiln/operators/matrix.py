@@ -44,8 +44,10 @@ def header_errors(columns: DataFrame) -> DataFrame:
 
 def separator_score(first_lines: Column, separator: str) -> Column:
     """``(known headers, lines as wide as the header, width)`` of one separator."""
-    sep = F.lit({"\t": "\t", ",": ",", ";": ";"}[separator])
-    rows = F.transform(first_lines, lambda line: F.split(line, sep))
+    # A separator counts only outside quotes: an even number of quotes follows it.
+    outside = F.lit(separator + '(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    quoted = lambda line: F.transform(F.split(line, outside, F.lit(-1)), lambda c: F.regexp_replace(c, '^"|"$', ""))
+    rows = F.transform(first_lines, lambda line: F.when(F.contains(line, F.lit('"')), quoted(line)).otherwise(F.split(line, F.lit(separator), F.lit(-1))))
     head = F.element_at(rows, 1)
     known = F.size(F.filter(head, lambda c: canonical(c).isNotNull()))
     same = F.size(F.filter(F.slice(rows, 2, 5), lambda r: F.size(r) == F.size(head)))
@@ -213,7 +215,7 @@ def pick_sheet(cells: DataFrame) -> DataFrame:
     The header is the first of the first 20 rows with a known column name; the
     sheet with most known names wins, the earlier one on a tie.
     """
-    rows = cells.where(F.col("row") <= 20_001).groupBy("workbook", "sheet_ord", "row").agg(
+    rows = cells.groupBy("workbook", "sheet_ord", "row").agg(
         F.count_if(canonical(F.col("value")).isNotNull()).alias("known"))
     first = rows.groupBy("workbook", "sheet_ord").agg(
         F.min(F.when((F.col("known") > 0) & (F.col("row") <= 20), F.col("row"))).alias("hit"), F.min("row").alias("top"))

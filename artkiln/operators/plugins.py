@@ -13,26 +13,34 @@ from ..schemas import DETECTION, TEXT_REGION
 def score_with(variants: DataFrame, predictor: Callable | None = None, columns: list[str] | None = None) -> DataFrame:
     """Add ``model, composition_score, predicted_performance``.
 
-    ``predictor(pandas.DataFrame) -> pandas.Series`` runs on Arrow batches. A
-    failing batch keeps the rule score and no prediction. Without a predictor
-    the rule score stands alone.
+    ``predictor(pandas.DataFrame) -> pandas.Series`` runs on Arrow batches. Where
+    a batch fails, its rows are tried one by one: only those that fail by
+    themselves keep the rule score alone, with the reason in
+    ``prediction_error``. Without a predictor no row has a prediction.
     """
-    base = variants.withColumn("composition_score", F.col("score"))
+    base = variants.withColumn("composition_score", F.col("score")).withColumn("available", F.lit(predictor is not None))
     if predictor is None:
-        return base.withColumn("model", F.lit("heuristic")).withColumn("predicted_performance", F.lit(None).cast("double"))
+        return base.withColumn("model", F.lit("heuristic")).withColumn("predicted_performance", F.lit(None).cast("double")).withColumn("prediction_error", F.lit(None).cast("string"))
     name = getattr(predictor, "name", getattr(predictor, "__name__", "custom"))
     cols = columns or ["score"]
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("value double, error string")
     def run(frame):
         import pandas as pd
 
         try:
-            return pd.Series(predictor(frame)).astype("float64")
+            return pd.DataFrame({"value": pd.Series(predictor(frame)).astype("float64").to_numpy(), "error": [None] * len(frame)})
         except Exception:  # noqa: BLE001 - a scorer must not stop the batch
-            return pd.Series([None] * len(frame), dtype="float64")
-
-    return base.withColumn("model", F.lit(name)).withColumn("predicted_performance", run(F.struct(*cols)))
+            rows = []
+            for i in range(len(frame)):
+                try:
+                    rows.append((float(pd.Series(predictor(frame.iloc[i : i + 1])).iloc[0]), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((None, f"{type(e).__name__}: {e}"))
+            return pd.DataFrame(rows, columns=["value", "error"])
+
+    return base.withColumn("model", F.lit(name)).withColumn("_p", run(F.struct(*cols))).select(
+        "*", F.col("_p.value").alias("predicted_performance"), F.col("_p.error").alias("prediction_error")).drop("_p")
 
 
 def detect_with(images: DataFrame, detector: Callable) -> DataFrame:

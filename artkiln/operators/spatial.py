@@ -106,13 +106,17 @@ def union_coverage(boxes: DataFrame, keys: list[str], grid: int = 64) -> DataFra
     def cut(v):
         return F.greatest(F.lit(0), F.least(g, v.cast("int")))
 
-    x0, y0 = cut(F.col("x") / F.col("canvas_w") * grid), cut(F.col("y") / F.col("canvas_h") * grid)
-    x1 = F.greatest(x0 + 1, F.least(g, ((F.col("x") + F.col("width")) / F.col("canvas_w") * grid).cast("int")))
-    y1 = F.greatest(y0 + 1, F.least(g, ((F.col("y") + F.col("height")) / F.col("canvas_h") * grid).cast("int")))
+    def share(v, size):
+        return F.coalesce(F.try_divide(v, F.col(size)), F.lit(0.0)) * grid
+
+    x0, y0 = cut(share(F.col("x"), "canvas_w")), cut(share(F.col("y"), "canvas_h"))
+    x1 = F.greatest(x0 + 1, F.least(g, share(F.col("x") + F.col("width"), "canvas_w").cast("int")))
+    y1 = F.greatest(y0 + 1, F.least(g, share(F.col("y") + F.col("height"), "canvas_h").cast("int")))
+    blank = (F.col("canvas_w") <= 0) | (F.col("canvas_h") <= 0)
     n = F.least(x1, g) - x0
     ones = F.when(F.col("_n") >= 64, F.lit(-1).cast("bigint")).otherwise(F.expr("shiftleft(1L, _n)") - F.lit(1).cast("bigint"))
-    d = boxes.select(*keys, x0.alias("_x0"), n.alias("_n"), F.explode(F.sequence(y0, y1 - 1)).alias("_row"))
-    d = d.where((F.col("_row") < grid) & (F.col("_n") > 0)).withColumn("_m", ones)
+    d = boxes.select(*keys, x0.alias("_x0"), F.when(blank, 0).otherwise(n).alias("_n"), F.explode(F.sequence(y0, y1 - 1)).alias("_row"))
+    d = d.where((F.col("_row") < grid) & ((F.col("_n") > 0) | (F.col("_row") == 0))).withColumn("_m", F.when(F.col("_n") > 0, ones).otherwise(F.lit(0).cast("bigint")))
     rows = d.groupBy(*keys, "_row").agg(F.bit_or(F.expr("shiftleft(_m, _x0)")).alias("_m"))
     return rows.groupBy(*keys).agg((F.sum(F.bit_count("_m")) / (grid * grid)).alias("fill"))
 
@@ -122,10 +126,11 @@ def dead_bands(boxes: DataFrame, keys: list[str]) -> DataFrame:
     b = boxes.groupBy(*keys).agg(
         F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("width")).alias("x1"),
         F.max(F.col("y") + F.col("height")).alias("y1"), F.max("canvas_w").alias("cw"), F.max("canvas_h").alias("ch"))
-    z = F.lit(0)
-    return b.select(
-        *keys, (F.greatest(z, F.col("y0")) / F.col("ch")).alias("top"), (F.greatest(z, F.col("ch") - F.col("y1")) / F.col("ch")).alias("bottom"),
-        (F.greatest(z, F.col("x0")) / F.col("cw")).alias("left"), (F.greatest(z, F.col("cw") - F.col("x1")) / F.col("cw")).alias("right"))
+    def share(v, size):
+        return F.coalesce(F.try_divide(F.greatest(F.lit(0), v), F.col(size)), F.lit(0.0))
+
+    return b.select(*keys, share(F.col("y0"), "ch").alias("top"), share(F.col("ch") - F.col("y1"), "ch").alias("bottom"),
+                    share(F.col("x0"), "cw").alias("left"), share(F.col("cw") - F.col("x1"), "cw").alias("right"))
 
 
 def text_share(boxes: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -279,7 +284,10 @@ def union_box(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 def reading_axis(items: DataFrame, keys: list[str]) -> DataFrame:
     """``x`` or ``y``: by canvas shape, else by the larger spread of centres."""
-    cx, cy = (F.col("x") + F.col("width") / 2) / F.col("canvas_w"), (F.col("y") + F.col("height") / 2) / F.col("canvas_h")
+    def centre(at, size, canvas):
+        return F.coalesce(F.try_divide(F.col(at) + F.col(size) / 2, F.col(canvas)), F.lit(0.0))
+
+    cx, cy = centre("x", "width", "canvas_w"), centre("y", "height", "canvas_h")
     a = items.groupBy(*keys).agg(
         F.max("canvas_w").alias("w"), F.max("canvas_h").alias("h"),
         (F.max(cx) - F.min(cx)).alias("sx"), (F.max(cy) - F.min(cy)).alias("sy"))

@@ -31,9 +31,9 @@ def _(t: Tables):
     return t.bind("sources").select("source_id", F.array_join(F.array_sort(r), ",").alias("roles"))
 
 
-@query("labelled_values", "FN-14", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim(regexp_replace(left(replace(text, chr(10), ' '), 40), '\\s+', ' ', 'g')) WHEN 1 THEN 'dos partes' ELSE '' END AS value FROM documents""")
+@query("labelled_values", "FN-14", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim(regexp_replace(replace(text, chr(10), ' '), '\\s+', ' ', 'g')) WHEN 1 THEN 'dos partes' ELSE '' END AS value FROM documents""")
 def _(t: Tables):
-    head = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40)
+    head = F.replace("text", F.lit("\n"), F.lit(" "))
     body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("intro\n  OBJETIVO : "), head)).when(F.col("doc_id") % 3 == 1, "x\nMeta - dos   partes\notra").otherwise("sin etiqueta")
     return t.documents.select("doc_id", X.labelled_value(body, ["objetivo", "meta"]).alias("value"))
 

@@ -28,7 +28,10 @@ def _(t: Tables):
     return C.idle_sessions(t.bind("touches"), "project_id").select("project_id", "start", "end", "touches")
 
 
-@query("learned_rules", "WIN-12", """SELECT user_id AS client, rule, ord FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) AS rk FROM (SELECT user_id, event_type || CAST(floor(value / 2) AS BIGINT) AS rule, min(event_id) AS ord FROM events GROUP BY ALL)) WHERE rk <= 10""")
+@query("learned_rules", "WIN-12", """WITH RECURSIVE e AS (SELECT user_id AS client, event_type || CAST(floor(value / 2) AS BIGINT) AS rule, event_id AS ord, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+ log AS (SELECT client, n, [{'rule': rule, 'ord': ord}] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT e.client, e.n, CASE WHEN len(list_filter(kept, lambda x: x.rule = e.rule)) > 0 THEN kept ELSE list_append(kept, {'rule': e.rule, 'ord': e.ord})[-10:] END FROM log JOIN e ON e.client = log.client AND e.n = log.n + 1)
+ SELECT client, x.rule AS rule, x.ord AS ord FROM (SELECT client, unnest(kept) AS x FROM log WHERE n = (SELECT max(n) FROM e WHERE e.client = log.client))""")
 def _(t: Tables):
     log = t.events.select(F.col("user_id").alias("client"), F.concat("event_type", F.floor(F.col("value") / 2).cast("string")).alias("rule"), F.col("event_id").alias("ord"))
     return C.learned_rules(log, "client", 10)
@@ -56,19 +59,19 @@ def _(t: Tables):
     return C.unseen_content(u.where("ord % 5 <> 0"), u.where("ord % 5 = 0"), ["campaign"])
 
 
-@query("name_triage", "JOI-22", ctes("assets") + """, u AS (SELECT client_id, ord, CASE WHEN ord % 2 = 0 THEN upper(filename) ELSE 'n' || filename END AS filename, 'h' || (ord % 3) AS sha256 FROM assets WHERE ord % 3 = 0), k AS (SELECT client_id, lower(filename) AS n, arg_max('h' || (ord % 2), ord) AS sha FROM assets GROUP BY ALL)
+@query("name_triage", "JOI-22", ctes("assets") + """, u AS (SELECT client_id, ord, CASE WHEN ord % 2 = 0 THEN upper(filename) ELSE 'n' || filename END AS filename, 'h' || (ord % 3) AS sha256 FROM assets), k AS (SELECT client_id, lower(filename) AS n, arg_max('h' || (ord % 2), ord) AS sha FROM assets GROUP BY ALL)
  SELECT u.client_id, ord, CASE WHEN sha IS NULL THEN 'new' WHEN sha = sha256 THEN 'keep' ELSE 'conflict' END AS action FROM u LEFT JOIN k ON k.client_id = u.client_id AND k.n = lower(u.filename)""")
 def _(t: Tables):
     a = t.bind("assets")
-    u = a.where("ord % 3 = 0").select("client_id", "ord", F.when(F.col("ord") % 2 == 0, F.upper("filename")).otherwise(F.concat(F.lit("n"), F.col("filename"))).alias("filename"), F.concat(F.lit("h"), (F.col("ord") % 3).cast("string")).alias("sha256"))
+    u = a.select("client_id", "ord", F.when(F.col("ord") % 2 == 0, F.upper("filename")).otherwise(F.concat(F.lit("n"), F.col("filename"))).alias("filename"), F.concat(F.lit("h"), (F.col("ord") % 3).cast("string")).alias("sha256"))
     return C.triage_names(u, a.withColumn("sha256", F.concat(F.lit("h"), (F.col("ord") % 2).cast("string"))), ["client_id"]).select("client_id", "ord", "action")
 
 
-@query("selected_assets", "JOI-23 AGG-32", ctes("assets") + """, s AS (SELECT 'c' || (p_partkey % 25) AS client_id, CASE WHEN p_partkey % 9 = 0 THEN 'zz' ELSE 'a' || (p_partkey - p_partkey % 2 * 25) END AS asset_id, p_partkey AS pos FROM part WHERE p_partkey >= 25), o AS (SELECT client_id, asset_id, min(pos) AS pos FROM s GROUP BY ALL),
+@query("selected_assets", "JOI-23 AGG-32", ctes("assets") + """, s AS (SELECT 'c' || (p_partkey % 25) AS client_id, CASE WHEN p_partkey % 9 = 0 THEN 'zz' ELSE 'a' || (p_partkey - p_partkey % 2 * 25) END AS asset_id, p_partkey AS pos FROM part), o AS (SELECT client_id, asset_id, min(pos) AS pos FROM s GROUP BY ALL),
  j AS (SELECT o.*, filename FROM o LEFT JOIN assets a USING (client_id, asset_id)) SELECT client_id, asset_id, pos, CASE WHEN filename IS NULL THEN 'missing' WHEN count(*) OVER (PARTITION BY client_id, lower(filename)) > 1 THEN 'same_name' END AS rule FROM j""")
 def _(t: Tables):
     k = F.col("p_partkey")
-    s = t.part.where("p_partkey >= 25").select(F.concat(F.lit("c"), (k % 25).cast("string")).alias("client_id"), F.when(k % 9 == 0, "zz").otherwise(F.concat(F.lit("a"), (k - k % 2 * 25).cast("string"))).alias("asset_id"), k.alias("pos"))
+    s = t.part.select(F.concat(F.lit("c"), (k % 25).cast("string")).alias("client_id"), F.when(k % 9 == 0, "zz").otherwise(F.concat(F.lit("a"), (k - k % 2 * 25).cast("string"))).alias("asset_id"), k.alias("pos"))
     return C.selected_assets(s, t.bind("assets"), ["client_id"]).select("client_id", "asset_id", "pos", "rule")
 
 
@@ -192,9 +195,12 @@ def _(t: Tables):
     return d.select(F.col("project_id").alias("project"), F.size("variants").cast("bigint").alias("variants"), listing.alias("listing"))
 
 
-@query("variant_scores_plugin", "UDF-01", """SELECT o_orderkey AS variant_id, CAST(o_custkey % 101 AS INT) AS score, CAST(o_custkey % 101 / 100 AS DOUBLE) AS predicted_performance, 'half' AS model FROM orders""")
+@query("variant_scores_plugin", "UDF-01", """SELECT o_orderkey AS variant_id, CAST(o_custkey % 101 AS INT) AS score, CASE WHEN o_custkey % 101 <> 50 THEN CAST(o_custkey % 101 / 100 AS DOUBLE) END AS predicted_performance,
+  CASE WHEN o_custkey % 101 = 50 THEN 'ValueError: fifty' END AS prediction_error, 'half' AS model, true AS available FROM orders""")
 def _(t: Tables):
     def half(frame):
+        if (frame["score"] == 50).any():
+            raise ValueError("fifty")
         return frame["score"] / 100
 
     v = t.orders.select(F.col("o_orderkey").alias("variant_id"), (F.col("o_custkey") % 101).cast("int").alias("score"))

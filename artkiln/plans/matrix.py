@@ -13,7 +13,7 @@ from ..operators import templates as T
 from ..sources import files as S
 from ..sources import matrix_files as MF
 from ..sources import sinks as O
-from .base import Tables, big, ctes, dlist, dslug, dstem, query, resolve_sql
+from .base import Tables, big, ctes, dlist, dslug, dstem, once, query, resolve_sql
 
 HEADERS = tuple(K.HEADER_ALIASES)
 
@@ -26,8 +26,14 @@ def typed(t: Tables):
     return M.split_errors(typed_all(t))[0]
 
 
+typed_once = once(typed)
+
+
 def expanded(t: Tables):
-    return M.expand_rows(typed(t), ["client_id", "matrix_id"])
+    return M.expand_rows(typed_once(t), ["client_id", "matrix_id"])
+
+
+expanded_once = once(expanded)
 
 
 def nested_templates(t: Tables):
@@ -191,20 +197,20 @@ _EXPROWS = f", erows AS (SELECT * REPLACE (CAST(row_number AS INT) AS row_number
 
 @query("template_selection", "JOI-05 JOI-06", _EXP + _EXPROWS + f"SELECT client_id, matrix_id, row_number, candidate_id, score FROM ({selection_sql('rows')})")
 def _(t: Tables):
-    return T.select_templates(expanded(t), nested_templates(t), ["client_id"]).select("client_id", "matrix_id", "row_number", "candidate_id", "score")
+    return T.select_templates(expanded_once(t), nested_templates(t), ["client_id"]).select("client_id", "matrix_id", "row_number", "candidate_id", "score")
 
 
 @query("template_scores", "JOI-05", _EXP + _EXPROWS + f"""SELECT client_id, candidate_id, score, count(*) AS rows FROM (SELECT r.client_id, c.candidate_id, {_score_cases()[1]} AS score
   FROM rows r JOIN caps c USING (client_id) WHERE (coalesce(plantilla, '') = '' OR lower(plantilla) IN (lower(c.name), lower(c.candidate_id)))
   AND products BETWEEN c.range_min AND c.top AND c.cap >= products AND {_score_cases()[0]}) GROUP BY ALL""")
 def _(t: Tables):
-    return T.scores(expanded(t), nested_templates(t), ["client_id"]).groupBy("client_id", "candidate_id", "score").agg(F.sum("rows").alias("rows"))
+    return T.scores(expanded_once(t), nested_templates(t), ["client_id"]).groupBy("client_id", "candidate_id", "score").agg(F.sum("rows").alias("rows"))
 
 
 def _pieces(t: Tables):
     """Rows with template x formats x proposals."""
     keys = ["client_id", "matrix_id", "row_number"]
-    rows = T.select_templates(expanded(t), nested_templates(t), ["client_id"]).where(F.col("candidate_id").isNotNull())
+    rows = T.select_templates(expanded_once(t), nested_templates(t), ["client_id"]).where(F.col("candidate_id").isNotNull())
     formats = C.row_formats(rows.select(*keys, "formatos", "producto", "candidate_id", "template_name", "cantidad_propuestas"),
                             [*keys, "producto", "candidate_id", "template_name", "cantidad_propuestas"])
     return formats.select("*", F.explode_outer(F.sequence(F.lit(1), F.col("cantidad_propuestas"))).alias("proposal"))
@@ -306,11 +312,20 @@ def _(t: Tables):
     return t.part.select("p_partkey", M.column_index(ref).alias("idx"))
 
 
-@query("matrix_encoding", "SRC-03", """SELECT doc_id, left(text, 60) AS head FROM documents""")
+@query("matrix_encoding", "SRC-03", """SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN '€ 99 – ' || regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') WHEN doc_id % 5 = 4 THEN NULL ELSE text END AS text FROM documents""")
+def _(t: Tables):
+    k, plain = F.col("doc_id") % 5, F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "UTF-8")
+    content = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))).when(
+        k == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(
+        k == 3, F.concat(F.unhex(F.lit("80203939209620")), plain)).otherwise(F.concat(F.unhex(F.lit("8180")), plain))
+    return t.documents.select("doc_id", MF.decoded(content).alias("text"))
+
+
+@query("matrix_quoted_separator", "SRC-02", ctes("orderlines") + "SELECT k AS matrix_id, CASE WHEN k % 2 = 0 THEN ',' ELSE ';' END AS separator FROM orderlines")
 def _(t: Tables):
-    content = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))).otherwise(
-        F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
-    return t.documents.select("doc_id", F.substring(MF.decoded(content), 1, 60).alias("head"))
+    head = F.when(F.col("k") % 2 == 0, '"Notas; varias",titular,"SKU"').otherwise('SKU;"headline";"notas, ""varias"", count"')
+    line = F.when(F.col("k") % 2 == 0, F.concat(F.lit('"a; b; c",'), "names", F.lit(',"uno, dos"'))).otherwise(F.concat(F.lit('x,y;"uno; dos";'), "names"))
+    return t.bind("orderlines").select(F.col("k").alias("matrix_id"), M.infer_separator(F.array(head, line, line)).alias("separator"))
 
 
 @query("source_dispatch", "SRC-07 SRC-11", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'workbook' WHEN 1 THEN 'csv' WHEN 2 THEN 'csv' WHEN 3 THEN 'csv' END AS kind,
@@ -341,37 +356,37 @@ _K3 = ["client_id", "matrix_id", "row_number"]
 
 @query("product_matches", "JOI-01", _MATCH + "SELECT client_id, matrix_id, row_number, asset_id, CAST(pos - 1 AS INT) AS pos FROM found")
 def _(t: Tables):
-    return P.matches(typed(t), t.bind("assets"), _K3, ["client_id"])
+    return P.matches(typed_once(t), t.bind("assets"), _K3, ["client_id"])
 
 
 @query("ambiguous_tokens", "JOI-02", _MATCH + "SELECT client_id, matrix_id, row_number, CAST(pos - 1 AS INT) AS pos, token, photos FROM pt WHERE photos > 1")
 def _(t: Tables):
-    return P.ambiguous(P.token_hits(P.tokens(typed(t), _K3), t.bind("assets"), _K3, ["client_id"]), _K3)
+    return P.ambiguous(P.token_hits(P.tokens(typed_once(t), _K3), t.bind("assets"), _K3, ["client_id"]), _K3)
 
 
 @query("asset_usage", "JOI-03", _MATCH + """SELECT a.client_id, a.asset_id, count(DISTINCT CASE WHEN c.row_number IS NOT NULL THEN c.matrix_id || '/' || c.row_number END) AS rows FROM assets a LEFT JOIN cand c ON c.client_id = a.client_id AND c.asset_id = a.asset_id GROUP BY ALL""")
 def _(t: Tables):
-    return P.rows_of_assets(typed(t), t.bind("assets"), _K3, ["client_id"])
+    return P.rows_of_assets(typed_once(t), t.bind("assets"), _K3, ["client_id"])
 
 
 @query("missing_products", "JOI-04 TOP-08", _MATCH + """SELECT t.client_id, t.matrix_id, t.row_number, CAST(products AS INT) AS expected, coalesce(f.n, 0) AS found FROM typed t LEFT JOIN (SELECT client_id, matrix_id, row_number, count(*) AS n FROM found GROUP BY ALL) f
  USING (client_id, matrix_id, row_number) WHERE coalesce(f.n, 0) < products""")
 def _(t: Tables):
-    return P.missing(typed(t), t.bind("assets"), _K3, ["client_id"])
+    return P.missing(typed_once(t), t.bind("assets"), _K3, ["client_id"])
 
 
 @query("row_readiness", "PRJ-18", _MATCH + """SELECT t.client_id, t.matrix_id, t.row_number, CAST(products AS INT) AS expected, coalesce(f.n, 0) AS found, coalesce(a.n, 0) AS unclear,
   coalesce(f.n, 0) >= products AND coalesce(a.n, 0) = 0 AS ready FROM typed t LEFT JOIN (SELECT client_id, matrix_id, row_number, count(*) AS n FROM found GROUP BY ALL) f USING (client_id, matrix_id, row_number)
  LEFT JOIN (SELECT client_id, matrix_id, row_number, count(*) AS n FROM pt WHERE photos > 1 GROUP BY ALL) a USING (client_id, matrix_id, row_number)""")
 def _(t: Tables):
-    return P.readiness(typed(t), t.bind("assets"), _K3, ["client_id"])
+    return P.readiness(typed_once(t), t.bind("assets"), _K3, ["client_id"])
 
 
 @query("render_budgets", "AGG-05", _MATCH + """SELECT client_id, matrix_id, row_number, products, largest, CAST(pixels AS BIGINT) AS pixels, CASE WHEN products > 2 THEN 'too_many_products' WHEN largest > 5000000 THEN 'photo_too_large' WHEN pixels > 6000000 THEN 'too_many_pixels' END AS rule FROM (
  SELECT f.client_id, matrix_id, row_number, count(*) AS products, max(width::BIGINT * height) AS largest, sum(width::BIGINT * height) AS pixels FROM found f JOIN assets a ON a.client_id = f.client_id AND a.asset_id = f.asset_id GROUP BY ALL)""")
 def _(t: Tables):
     a = t.bind("assets")
-    m = P.matches(typed(t), a, _K3, ["client_id"]).join(a.select("client_id", "asset_id", "width", "height"), ["client_id", "asset_id"])
+    m = P.matches(typed_once(t), a, _K3, ["client_id"]).join(a.select("client_id", "asset_id", "width", "height"), ["client_id", "asset_id"])
     return P.render_budget(m, _K3, (2, 5_000_000, 6_000_000))
 
 
@@ -381,5 +396,5 @@ def _(t: Tables):
     "st(f)", "trim(regexp_replace(" + dstem("f") + ", '[_-]+', ' ', 'g'))"))
 def _(t: Tables):
     files = X.list_cell(F.col("imagen"))
-    rows = typed(t).where((F.coalesce("imagen", F.lit("")) != "") & (F.size(F.array_distinct(files)) == F.size(files)))
+    rows = typed_once(t).where((F.coalesce("imagen", F.lit("")) != "") & (F.size(F.array_distinct(files)) == F.size(files)))
     return M.chosen_products(rows, F.reverse(files)).select("client_id", "matrix_id", "row_number", "imagen", "producto")

@@ -28,7 +28,7 @@ def boxes(t: Tables):
 
 
 @query("palettes", "AGG-21", _PIX + """, b AS (SELECT image_id, (r >> 4 << 4) + 8 AS r, (g >> 4 << 4) + 8 AS g, (b >> 4 << 4) + 8 AS b, count(*) AS n FROM pix GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS m FROM b),
- k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY m) AS rn FROM m WHERE m <= 50 AND NOT ((r + g + b) / 3 > 244 OR (r + g + b) / 3 < 14 OR (greatest(r, g, b) - least(r, g, b) < 12 AND (r + g + b) / 3 > 40 AND (r + g + b) / 3 < 225)))
+ k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY m) AS rn FROM m WHERE NOT ((r + g + b) / 3 > 244 OR (r + g + b) / 3 < 14 OR (greatest(r, g, b) - least(r, g, b) < 12 AND (r + g + b) / 3 > 40 AND (r + g + b) / 3 < 225)))
  SELECT image_id, CAST(rn AS INT) AS rn, printf('#%02X%02X%02X', r, g, b) AS colour, n FROM k WHERE rn <= 6""")
 def _(t: Tables):
     return I.palette(pixels(t), ["image_id"])

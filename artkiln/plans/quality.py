@@ -351,12 +351,12 @@ def _(t: Tables):
     return P.propagate_roles(l, roles, PJ).select("project_id", "ord", "role")
 
 
-@query("override_actions", "JOI-34", ctes("layers") + """, w AS (SELECT project_id, CASE WHEN ln = 5 THEN layer_id || 'x' ELSE layer_id END AS layer_id, CASE WHEN pk % 3 = 0 THEN ' ' WHEN pk % 3 = 1 THEN ' Texto 3' ELSE 'nuevo' END AS new_text FROM layers WHERE ln IN (3, 5)),
+@query("override_actions", "JOI-34", ctes("layers") + """, w AS (SELECT project_id, CASE WHEN ln = 5 THEN layer_id || 'x' ELSE layer_id END AS layer_id, CASE WHEN pk % 3 = 0 THEN ' ' WHEN pk % 3 = 1 THEN ' Texto 3' ELSE 'nuevo' END AS new_text FROM layers),
  v AS (SELECT * FROM w WHERE trim(new_text) <> '') SELECT coalesce(l.project_id, v.project_id) AS project_id, coalesce(l.layer_id, v.layer_id) AS layer_id, CASE WHEN l.layer_id IS NULL THEN 'unknown' WHEN v.layer_id IS NULL THEN 'restore' ELSE 'apply' END AS action, new_text
  FROM layers l FULL JOIN v ON v.project_id = l.project_id AND v.layer_id = l.layer_id WHERE l.layer_id IS NULL OR (v.layer_id IS NULL AND l.pk % 4 = 0) OR (v.layer_id IS NOT NULL AND coalesce(l.content, '') <> trim(new_text))""")
 def _(t: Tables):
     l = t.bind("layers")
-    w = l.where(F.col("ln").isin(3, 5)).select("project_id", F.when(F.col("ln") == 5, F.concat("layer_id", F.lit("x"))).otherwise(F.col("layer_id")).alias("layer_id"),
+    w = l.select("project_id", F.when(F.col("ln") == 5, F.concat("layer_id", F.lit("x"))).otherwise(F.col("layer_id")).alias("layer_id"),
                                                F.when(F.col("pk") % 3 == 0, " ").when(F.col("pk") % 3 == 1, " Texto 3").otherwise("nuevo").alias("new_text"))
     cur = l.select("project_id", "layer_id", F.coalesce("content", F.lit("")).alias("current"), (F.col("pk") % 4 == 0).alias("rewritten"))
     return P.override_actions(cur, w, PJ)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..operators import templates as T
 from .base import Tables, ctes, query
-from .matrix import _EXP, _EXPROWS, _REQ, expanded, nested_templates, selection_sql, typed
+from .matrix import _EXP, _EXPROWS, _REQ, expanded_once, nested_templates, selection_sql, typed
 
 K3 = ["client_id", "matrix_id", "row_number"]
 _FILL = """, fillable AS (SELECT client_id, candidate_id, array_to_string(list_sort(list_distinct(list(f) FILTER (f IS NOT NULL))), ',') AS fillable FROM (SELECT client_id, candidate_id, CASE WHEN NOT generate_if_missing THEN NULL WHEN key IN ('headline', 'title', 'titular') THEN 'titular'
@@ -28,7 +28,7 @@ _HOME = f""", homes AS (SELECT DISTINCT b.client_id, s.key FROM template_base b
 
 @query("fields_without_slot", "JOI-08", _EXP + _EXPROWS + _HOME + "SELECT * FROM hl")
 def _(t: Tables):
-    return T.fields_without_slot(expanded(t), nested_templates(t), K3, ["client_id"]).select(*K3, "field")
+    return T.fields_without_slot(expanded_once(t), nested_templates(t), K3, ["client_id"]).select(*K3, "field")
 
 
 _PLAN = _EXP + _EXPROWS + _HOME + _FILL + f""", free AS (SELECT * REPLACE ('' AS plantilla) FROM rows WHERE coalesce(plantilla, '') <> ''), sug AS ({selection_sql('free')}), sel AS ({selection_sql('rows')}),
@@ -42,7 +42,7 @@ _PLAN = _EXP + _EXPROWS + _HOME + _FILL + f""", free AS (SELECT * REPLACE ('' AS
 
 
 def _plans(t: Tables):
-    return T.plan_rows(expanded(t), nested_templates(t), K3, ["client_id"])
+    return T.plan_rows(expanded_once(t), nested_templates(t), K3, ["client_id"])
 
 
 @query("row_plans", "JOI-09 JOI-10", _PLAN + "SELECT client_id, matrix_id, row_number, products, template, status, reason, suggested, blocking, fillable FROM plan")
@@ -66,7 +66,7 @@ _SEL = _EXP + _EXPROWS + f", sel AS ({selection_sql('rows')})"
  FROM sel s JOIN ks USING (client_id, candidate_id) JOIN fillable f USING (client_id, candidate_id)""")
 def _(t: Tables):
     tp = nested_templates(t)
-    rows = T.select_templates(expanded(t), tp, ["client_id"]).join(tp.select("client_id", "candidate_id", "slots"), ["client_id", "candidate_id"])
+    rows = T.select_templates(expanded_once(t), tp, ["client_id"]).join(tp.select("client_id", "candidate_id", "slots"), ["client_id", "candidate_id"])
     brief = rows.withColumns({"primary_message": F.lit("Mensaje"), "objective": F.lit("Objetivo"), "creative_concept": F.lit("Concepto"),
                               "legal_requirements": F.array(F.lit(" Uno "), F.lit("Conservar los legales del arte"), F.lit(""), F.lit("Dos"))})
     return T.drawn_values(brief).select(*K3, "headline", "price", "drawn_cta", "drawn_legal")
@@ -107,24 +107,24 @@ def _(t: Tables):
 
 @query("client_memory", "JOI-19", """WITH m AS (SELECT o_custkey AS client, o_orderpriority AS category, arg_max(o_orderkey, o_orderdate * 1) AS k FROM (SELECT o_custkey, o_orderpriority, o_orderkey, epoch_us(o_orderdate) + o_orderkey AS o_orderdate FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL)
  SELECT c_custkey AS client, p.category, CASE WHEN k % 3 = 0 OR k IS NULL THEN 'propia' ELSE 'capas ' || k END AS layout_intent, CAST(CASE WHEN k IS NULL THEN 1 ELSE 1 + k % 4 END AS INT) AS range_min, 'c' || k AS learned_from
- FROM customer CROSS JOIN (VALUES ('1-URGENT'), ('5-LOW')) AS p(category) LEFT JOIN m ON m.client = c_custkey AND m.category = p.category""")
+ FROM customer CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) AS p(category) LEFT JOIN m ON m.client = c_custkey AND m.category = p.category""")
 def _(t: Tables):
     k = F.col("o_orderkey")
     mem = t.orders.where(F.col("o_orderstatus") == "F").select(
         F.col("o_custkey").alias("client"), F.col("o_orderpriority").alias("category"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("capas "), k.cast("string"))).alias("layout_intent"), F.lit("r").alias("rationale"),
         (F.lit(1) + k % 4).cast("int").alias("range_min"), F.lit(9).alias("range_max"), F.concat(F.lit("c"), k.cast("string")).alias("candidate_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k).alias("approved_at"))
-    props = t.customer.select(F.col("c_custkey").alias("client"), F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"))).alias("category"), F.lit("propia").alias("layout_intent"), F.lit("").alias("rationale"),
+    props = t.customer.select(F.col("c_custkey").alias("client"), F.explode(F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])).alias("category"), F.lit("propia").alias("layout_intent"), F.lit("").alias("rationale"),
                               F.lit(1).alias("range_min"), F.lit(1).alias("range_max"), F.lit("proposed").alias("status"), F.lit(False).alias("approved"))
     return T.with_memory(props, mem, ["client"]).select("client", "category", "layout_intent", "range_min", "learned_from")
 
 
 @query("placement_overlay", "JOI-20", """WITH s AS (SELECT l_suppkey AS campaign, CASE l_linenumber % 3 WHEN 0 THEN 'square' WHEN 1 THEN 'story' ELSE 'portrait' END AS aspect, l_orderkey * 10 + l_linenumber AS ord, 'b' || l_partkey AS boxes,
-  CASE l_partkey % 40 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS rk FROM lineitem WHERE l_orderkey % 7 = 0), m AS (SELECT campaign, aspect, arg_min(boxes, (rk, ord, boxes)) AS boxes FROM s GROUP BY ALL), v AS (SELECT campaign, min(rk) = 0 AS vec FROM s GROUP BY ALL),
+  CASE l_partkey % 40 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS rk FROM lineitem), m AS (SELECT campaign, aspect, arg_min(boxes, (rk, ord, boxes)) AS boxes FROM s GROUP BY ALL), v AS (SELECT campaign, min(rk) = 0 AS vec FROM s GROUP BY ALL),
  c AS (SELECT s_suppkey AS campaign, 'own' || s_suppkey AS boxes, 'story' AS aspect FROM supplier)
  SELECT coalesce(c.campaign, m.campaign) AS campaign, coalesce(c.aspect, m.aspect) AS aspect, CASE WHEN vec THEN coalesce(m.boxes, c.boxes) ELSE coalesce(c.boxes, m.boxes) END AS boxes FROM c FULL JOIN m USING (campaign, aspect) LEFT JOIN v ON v.campaign = coalesce(c.campaign, m.campaign)""")
 def _(t: Tables):
     o = F.col("l_partkey") % 40
-    s = t.lineitem.where(F.col("l_orderkey") % 7 == 0).select(
+    s = t.lineitem.select(
         F.col("l_suppkey").alias("campaign"), F.when(F.col("l_linenumber") % 3 == 0, "square").when(F.col("l_linenumber") % 3 == 1, "story").otherwise("portrait").alias("aspect"),
         F.concat((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).cast("bigint").alias("o0"), F.concat(F.lit("b"), F.col("l_partkey").cast("string")).alias("boxes"),
         F.when(o == 0, "vector").when(o.isin(1, 2), "psd").otherwise("ocr").alias("origin"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,29 +24,28 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def plan_plainly(spark: SparkSession) -> SparkSession:
-    """Plan wide rule expressions without constraint inference.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
 
-    Rows of a matrix carry dozens of long expressions over the same few
-    columns. Inferring constraints for them doubles with every alias and can
-    take minutes of planning while it only adds null checks on keys that are
-    never null. Explicit filters are pushed down as before.
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The rows of df, computed once: written as a table to the shared folder and read back.
+
+    For rows that a query uses several times. Later steps are planned from the
+    files, so neither their plans nor a lost executor repeat the work.
     """
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    return spark
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names.
-
-    The cluster's ``spark.checkpoint.dir`` is used when it is set. Only a
-    session without one (a local test) falls back to a temporary folder.
-    """
+    """Reliable checkpoint in the folder that the session names."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="artkiln-ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

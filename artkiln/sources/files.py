@@ -13,13 +13,13 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^file:(//)?", ""), "^" + root.rstrip("/") + "/", "")
 
 
-def inventory(files: DataFrame, depth: int = 3, most: int = 200) -> DataFrame:
-    """Usable files of a drop folder (``rel, length``): no dot files, depth 3, known extension, first 200."""
+def inventory(files: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+    """Usable files of a drop folder (``rel, length``): no dot files, depth 3, known extension; the first `most`, if given."""
     name = F.regexp_extract("rel", r"([^/]+)$", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     ok = ~F.startswith(name, F.lit(".")) & (F.size(F.split("rel", "/")) <= depth) & ext.isin(*K.DROP_EXTENSIONS)
     shown = files.where(ok).select("rel", name.alias("name"), ext.alias("extension"), F.bround(F.col("length") / (1024 * 1024), 1).alias("size_mb"))
-    return shown.orderBy("rel").limit(most)
+    return shown if most is None else shown.orderBy("rel").limit(most)
 
 
 def list_folder(spark: SparkSession, root: str, **kw) -> DataFrame:
@@ -78,11 +78,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", plain_text(F.col("content")).alias("text"))
 
 
-def read_records(spark: SparkSession, path: str, schema: str, newest: str | None = None) -> DataFrame:
-    """JSON records with a fixed schema; corrupt ones are left out, newest first."""
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON records with a fixed schema; corrupt ones are left out. Their order is the reader's to choose."""
     df = spark.read.schema(f"{schema}, _bad STRING").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").json(path)
-    good = df.where(F.col("_bad").isNull()).drop("_bad")
-    return good.orderBy(F.col(newest).desc()) if newest else good
+    return df.where(F.col("_bad").isNull()).drop("_bad")
 
 
 def read_partitioned(spark: SparkSession, path: str, schema: str, states: list[str] | None = None) -> DataFrame:

@@ -8,45 +8,37 @@ from pyspark.sql import functions as F
 from ..operators.lifecycle import latest_jobs
 
 
-def upsert_latest(path: str):
-    """``foreachBatch`` sink that keeps the latest state per task in a versioned table.
+def job_states(changes: DataFrame) -> DataFrame:
+    """Latest state per task of a changelog stream, held in Spark's state store; written in update or complete mode.
 
-    A batch reads the newest version below its own number and writes its own
-    folder, so a batch that is run again gives the same table.
+    Changes are ordered by time and event id, wherever the borders of batches
+    fall, so the answer is that of the batch operator.
     """
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in _versions(spark, path) if v < epoch]
-        changes = batch.select("task_id", "state", "progress", "ts", "event_id")
-        if older:
-            known = spark.read.parquet(f"{path}/v={max(older)}").withColumn("event_id", F.lit(-1).cast("bigint"))
-            changes = changes.unionByName(known.select(*changes.columns))
-        latest_jobs(changes).write.mode("overwrite").parquet(f"{path}/v={epoch}")
-
-    return write
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = []
-    for s in fs.listStatus(root):
-        name = s.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            done.append(int(name[2:]))
-    return done
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={max(_versions(spark, path))}")
-
-
-def once_per_task(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """A redelivered task passes once."""
-    return jobs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["task_id"])
+    return latest_jobs(changes)
+
+
+def deliveries(events: DataFrame) -> DataFrame:
+    """Each delivery (state ``PENDING``) of a task with ``run``: false once the task is COMPLETED.
+
+    A task that failed or is still open runs again. The state is one flag a
+    task; it does not expire, for a redelivery may come at any time.
+    """
+    def step(key, batches, state):
+        import pandas as pd
+
+        done = state.get[0] if state.exists else False
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for at, event_id, kind in zip(rows["ts"], rows["event_id"], rows["state"]):
+            if kind == "PENDING":
+                out.append((key[0], event_id, at, not done))
+            elif kind == "COMPLETED":
+                done = True
+        state.update((done,))
+        yield pd.DataFrame(out, columns=["task_id", "event_id", "ts", "run"])
+
+    return events.select("task_id", "event_id", "ts", "state").groupBy("task_id").applyInPandasWithState(
+        step, "task_id STRING, event_id BIGINT, ts TIMESTAMP, run BOOLEAN", "done BOOLEAN", "append", "NoTimeout")
 
 
 def once_per_content(uploads: DataFrame, delay: str = "1 hour") -> DataFrame:
