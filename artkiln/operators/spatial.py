@@ -8,7 +8,7 @@ that holds the top-left corner of the common area, hence exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -17,7 +17,6 @@ from .skew import bucketed_before, ordered_list, with_group
 
 PER_CELL = 48
 MAX_GRID = 64
-FOLD_LIMIT = 256
 
 
 def _extent(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,113 +141,106 @@ def text_share(boxes: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame
     return j.withColumn("text_share", share).drop("_in")
 
 
-def _covers(kind: str, a: G.Box, b: G.Box) -> Column:
-    return G.iou(a, b) if kind == "iou" else G.overlap_of_first(a, b)
+class _Kept:
+    """Kept boxes of one group, found through grid cells of about their own size.
 
+    A box of size class k (longest side up to 2**k) lies in at most four cells
+    of the grid of that class, so one that asks looks at few cells of each
+    class, however many boxes are kept and however large one of them is.
+    """
+
+    def __init__(self) -> None:
+        self.cells: dict[int, dict[tuple[int, int], list[tuple]]] = {}
+
+    @staticmethod
+    def _span(b: tuple, size: int) -> tuple[range, range]:
+        return range(int(b[0] // size), int((b[0] + b[2]) // size) + 1), range(int(b[1] // size), int((b[1] + b[3]) // size) + 1)
+
+    def add(self, b: tuple) -> None:
+        k = max(0, int(max(b[2], b[3], 1)) - 1).bit_length()
+        xs, ys = self._span(b, 1 << k)
+        grid = self.cells.setdefault(k, {})
+        for cx in xs:
+            for cy in ys:
+                grid.setdefault((cx, cy), []).append(b)
+
+    def covers(self, b: tuple, share: float, iou: bool) -> bool:
+        area = max(1, b[2] * b[3])
+        for k, grid in self.cells.items():
+            xs, ys = self._span(b, 1 << k)
+            found = (grid.get((cx, cy), ()) for cx in xs for cy in ys) if len(xs) * len(ys) <= len(grid) else (v for (cx, cy), v in grid.items() if cx in xs and cy in ys)
+            for boxes in found:
+                for o in boxes:
+                    w, h = min(b[0] + b[2], o[0] + o[2]) - max(b[0], o[0]), min(b[1] + b[3], o[1] + o[3]) - max(b[1], o[1])
+                    if w > 0 and h > 0 and w * h > share * (b[2] * b[3] + o[2] * o[3] - w * h if iou else area):
+                        return True
+        return False
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each group whole within a partition and its rows in order, to be read as a stream."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
-def greedy_keep(boxes: DataFrame, keys: list[str], rank: list[Column], share: float, kind: str = "contained",
-                fold_limit: int = FOLD_LIMIT) -> DataFrame:
+
+def greedy_keep(boxes: DataFrame, keys: list[str], rank: list[Column], share: float, kind: str = "contained") -> DataFrame:
     """Keep boxes in rank order; drop one that an already kept box covers by more than ``share``.
 
-    Small groups are folded in one pass. Groups above ``fold_limit`` are settled
-    in rounds over their conflicting pairs only: a box is kept once everything
-    ranked before it that conflicts is dropped. Both give the same answer.
+    What is kept depends on what was kept before it, so each group is read once
+    in rank order. Only its kept boxes are held, in grid cells.
     """
-    pos = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank)], F.col("ord").alias("ord"))
-    ranked = boxes.withColumn("_pos", pos)
-    sizes = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > fold_limit).select(*keys)
-    small = _fold_keep(ranked.join(sizes.where(F.col("_n") <= fold_limit).select(*keys), keys, "left_semi"), keys, share, kind)
-    if hot.isEmpty():
-        return boxes.join(small, [*keys, "ord"], "left_semi")
-    large = _rounds_keep(ranked.join(hot, keys, "left_semi"), keys, share, kind)
-    return boxes.join(small.unionByName(large), [*keys, "ord"], "left_semi")
-
-
-def _fold_keep(ranked: DataFrame, keys: list[str], share: float, kind: str) -> DataFrame:
-    item = F.struct("_pos", "ord", "x", "y", "width", "height")
-    arr = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("a"))
-    kind_of = "array<struct<x:double,y:double,width:double,height:double,ord:bigint>>"
-
-    def slim(v):
-        return F.struct(*[v[c].cast("double").alias(c) for c in ("x", "y", "width", "height")], v["ord"].cast("bigint").alias("ord"))
-
-    def b(v):
-        return (v["x"], v["y"], v["width"], v["height"])
-
-    kept = F.aggregate(
-        F.transform("a", slim), F.array().cast(kind_of),
-        lambda acc, v: F.when(F.exists(acc, lambda k: _covers(kind, b(v), b(k)) > share), acc).otherwise(F.concat(acc, F.array(v))))
-    return arr.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.ord").alias("ord"))
-
-
-def _rounds_keep(ranked: DataFrame, keys: list[str], share: float, kind: str) -> DataFrame:
-    from ..session import cut_lineage
-
-    slim = ranked.select(*keys, "ord", "_pos", "x", "y", "width", "height")
-    p = box_pairs(slim, slim, keys).where(F.col("b__pos") < F.col("a__pos"))
-    edges = cut_lineage(p.where(_covers(kind, box("a_"), box("b_")) > share).select(
-        *keys, F.col("a_ord").alias("ord"), F.col("b_ord").alias("before")))
-    open_ = slim.select(*keys, F.col("ord").cast("bigint").alias("ord"))
-    kept = None
-    while True:
-        waiting = edges.join(open_, [*keys, "ord"], "left_semi")
-        free = open_.join(waiting.select(*keys, "ord").distinct(), [*keys, "ord"], "left_anti")
-        free = cut_lineage(free)
-        if free.isEmpty():
-            break
-        kept = free if kept is None else cut_lineage(kept.unionByName(free))
-        beaten = edges.join(free.withColumnRenamed("ord", "before"), [*keys, "before"], "left_semi").select(*keys, "ord").distinct()
-        open_ = cut_lineage(
-            open_.join(free, [*keys, "ord"], "left_anti").join(beaten, [*keys, "ord"], "left_anti"))
-        gone = edges.join(open_, [*keys, "ord"], "left_semi")
-        edges = cut_lineage(gone.join(open_.withColumnRenamed("ord", "before"), [*keys, "before"], "left_semi"))
-    return kept if kept is not None else slim.select(*keys, F.col("ord").cast("bigint").alias("ord")).limit(0)
-
-
-def axis_clusters(items: DataFrame, keys: list[str], block: float = 256.0) -> DataFrame:
+    ranked = boxes.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(rank)])
+    names, schema = boxes.columns, boxes.schema
+
+    def run(batches):
+        import pandas as pd
+
+        group, kept = None, _Kept()
+        for batch in batches:
+            chosen = []
+            for row in zip(*[batch[k] for k in keys], *[batch[c].astype(float) for c in ("x", "y", "width", "height")]):
+                key, b = row[:-4], row[-4:]
+                if key != group:
+                    group, kept = key, _Kept()
+                ok = not kept.covers(b, share, kind == "iou")
+                if ok:
+                    kept.add(b)
+                chosen.append(ok)
+            yield batch.loc[pd.Series(chosen, index=batch.index, dtype=bool), names]
+
+    return _in_order(ranked, keys, [*[f"_o{i}" for i in range(len(rank))], "ord"]).mapInPandas(run, schema)
+
+
+def axis_clusters(items: DataFrame, keys: list[str]) -> DataFrame:
     """Cluster boxes along their group's ``axis``; adds ``cluster`` (0, 1, ...).
 
     Boxes come by start. One joins the last cluster when it overlaps any of its
-    members by half of the shorter one. A box that starts after everything
-    before it has ended always opens a cluster, so the groups are first cut
-    there and only the pieces are folded.
+    members by half of the shorter one, else it opens the next. A group is read
+    once in that order, and only members that have not ended yet are held.
     """
     along = F.col("axis") == "x"
     start = F.when(along, F.col("x")).otherwise(F.col("y")).cast("double")
     size = F.when(along, F.col("width")).otherwise(F.col("height")).cast("double")
     minor = F.when(along, F.col("y") + F.col("height") / 2).otherwise(F.col("x") + F.col("width") / 2).cast("double")
-    d = items.withColumn("_s", start).withColumn("_e", start + size).withColumn("_m", minor)
-    order = [F.col("_s"), F.col("_m"), F.col("ord")]
-    bucket = F.floor(F.col("_s") / block)
-    d = bucketed_before(d, keys, bucket, order, {"_reach": ("max", F.col("_e"))})
-    d = d.withColumn("_cut", F.when(F.col("_reach").isNull() | (F.col("_s") >= F.col("_reach")), 1).otherwise(0))
-    d = bucketed_before(d, keys, bucket, order, {"_cuts": ("sum", F.col("_cut"))})
-    d = d.withColumn("_island", F.coalesce("_cuts", F.lit(0)) + F.col("_cut"))
-    pieces = d.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct("_s", "_m", "ord", "_e"))).alias("a"))
-    state = "struct<n:int,last:array<struct<s:double,e:double>>,out:array<struct<ord:bigint,c:int>>>"
-
-    def joins(v, m):
-        common = F.least(v["_e"], m["e"]) - F.greatest(v["_s"], m["s"])
-        shorter = F.least(v["_e"] - v["_s"], m["e"] - m["s"])
-        return (common > 0) & (shorter > 0) & (common / shorter >= K.GROUP_OVERLAP)
-
-    def step(acc, v):
-        hit = F.exists(acc["last"], lambda m: joins(v, m))
-        n = F.when(hit, acc["n"]).otherwise(acc["n"] + 1)
-        me = F.array(F.struct(v["_s"].alias("s"), v["_e"].alias("e")))
-        return F.struct(
-            n.alias("n"), F.when(hit, F.concat(acc["last"], me)).otherwise(me).alias("last"),
-            F.concat(acc["out"], F.array(F.struct(v["ord"].cast("bigint").alias("ord"), n.alias("c")))).alias("out"))
-
-    init = F.struct(F.lit(-1).alias("n"), F.array().alias("last"), F.array().alias("out")).cast(state)
-    folded = pieces.select(*keys, "_island", F.aggregate("a", init, step).alias("f"))
-    # Number the clusters of the islands one after the other; there is one row per island here.
-    w = Window.partitionBy(*keys).orderBy("_island").rowsBetween(Window.unboundedPreceding, -1)
-    counts = folded.select(*keys, "_island", F.coalesce(F.sum(F.col("f.n") + 1).over(w), F.lit(0)).alias("_base"), F.col("f.out").alias("o"))
-    flat = counts.select(*keys, "_base", F.explode("o").alias("o")).select(
-        *keys, F.col("o.ord").alias("ord"), (F.col("_base") + F.col("o.c")).cast("int").alias("cluster"))
-    return items.withColumn("ord", F.col("ord").cast("bigint")).join(flat, [*keys, "ord"])
+    rows = items.withColumn("ord", F.col("ord").cast("bigint")).select("*", start.alias("_s"), (start + size).alias("_e"), minor.alias("_m"))
+    names = [c for c in rows.columns if c not in ("_s", "_e", "_m")]
+
+    def run(batches):
+        group, number, live = None, -1, []
+        for batch in batches:
+            out = []
+            for row in zip(*[batch[k] for k in keys], batch["_s"], batch["_e"]):
+                key, s, e = row[:-2], row[-2], row[-1]
+                if key != group:
+                    group, number, live = key, -1, []
+                live = [m for m in live if m[1] > s]
+                if not any((min(e, m[1]) - max(s, m[0])) >= K.GROUP_OVERLAP * min(e - s, m[1] - m[0]) > 0 for m in live):
+                    number, live = number + 1, []
+                live.append((s, e))
+                out.append(number)
+            yield batch[names].assign(cluster=out)
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names], "cluster int"])
+    return _in_order(rows, keys, ["_s", "_m", "ord"]).mapInPandas(run, schema)
 
 
 def free_band(occupied: DataFrame, keys: list[str], block: int = 512) -> DataFrame:

@@ -103,3 +103,13 @@ def _(t: Tables):
                     F.round(C.saturation(F.col("c")), 6).alias("saturation"), C.readable_text(F.col("c"), F.lit("")).alias("ink"))
 
 
+
+
+@query("plate_inks", "FN-21", """WITH c AS (SELECT p_partkey, p_partkey % 256 AS r, (p_partkey * 7) % 256 AS g, (p_size * 5) % 256 AS b FROM part),
+ l AS (SELECT p_partkey, """ + " + ".join(f"{k} * CASE WHEN {c} / 255 <= 0.03928 THEN {c} / 255 / 12.92 ELSE power(({c} / 255 + 0.055) / 1.055, 2.4) END" for k, c in ((0.2126, "r"), (0.7152, "g"), (0.0722, "b"))) + """ AS lum FROM c),
+ k AS (SELECT *, 1.05 / (lum + 0.05) AS cw, (lum + 0.05) / (0.2126 * power((17 / 255 + 0.055) / 1.055, 2.4) + 0.7152 * power((19 / 255 + 0.055) / 1.055, 2.4) + 0.0722 * power((34 / 255 + 0.055) / 1.055, 2.4) + 0.05) AS cd FROM l)
+ SELECT p_partkey, CASE WHEN cw >= 3 THEN '#FFFFFF' WHEN greatest(cd, 1 / cd) >= 3 THEN '#111322' WHEN cw >= greatest(cd, 1 / cd) THEN '#FFFFFF' ELSE '#111322' END AS ink FROM k""")
+def _(t: Tables):
+    k = F.col("p_partkey")
+    c = C.rgb(k % 256, (k * 7) % 256, (F.col("p_size") * 5) % 256)
+    return t.part.select("p_partkey", C.rgb_to_hex(C.ink_for(c, F.lit(""))).alias("ink"))

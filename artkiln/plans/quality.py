@@ -169,7 +169,14 @@ def _(t: Tables):
     return Q.harmonise_products(p.select("variant_id", "ord", "x", "y", "width", "height", "height_cm", "slot_y"), V)
 
 
-@query("redistributed_gaps", "WIN-14")
+@query("redistributed_gaps", "WIN-14", ctes("placements") + """, hole AS (SELECT variant_id, min_by({'x': x, 'y': y, 'w': width, 'h': height}, ord) AS h FROM placements WHERE ln = 3 GROUP BY ALL),
+ c AS (SELECT p.*, h, lag(y + height) OVER (PARTITION BY variant_id ORDER BY y, x, ord) AS prev FROM (SELECT p.*, h, least(h.x + h.w, x + width) - greatest(h.x, x) AS common FROM placements p JOIN hole USING (variant_id) WHERE ln <> 3) p
+  WHERE common > 0 AND common / greatest(1, least(h.w, width)) >= 0.25),
+ g AS (SELECT *, CASE WHEN prev IS NULL THEN 0.0 ELSE greatest(1.0, y - prev - CASE WHEN h.y >= prev - 1 AND h.y + h.h <= y + 1 THEN h.h ELSE 0 END) END AS w FROM c),
+ t AS (SELECT *, count(*) OVER v AS n, min(y) OVER v AS top, sum(height) OVER v AS heights, sum(w) OVER v AS total, last_value(y + height) OVER (PARTITION BY variant_id ORDER BY y, x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS bottom,
+  coalesce(sum(height) OVER (PARTITION BY variant_id ORDER BY y, x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hs, sum(w) OVER (PARTITION BY variant_id ORDER BY y, x, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ws
+  FROM g WINDOW v AS (PARTITION BY variant_id))
+ SELECT variant_id, ord, y AS old_y, CAST(round_even(CAST(top + hs + (bottom - top - heights) * ws / total AS DOUBLE), 0) AS INT) AS new_y FROM t WHERE n >= 2 AND bottom - top - heights > 0""")
 def _(t: Tables):
     p = t.bind("placements").withColumn("pinned", F.lit(True))
     holes = p.where(F.col("ln") == 3).groupBy("variant_id").agg(F.min_by(F.struct("x", "y", "width", "height"), "ord").alias("h")).select("variant_id", "h.*")
@@ -188,7 +195,23 @@ def _(t: Tables):
     return S2.reading_axis(t.bind("placements"), V)
 
 
-@query("axis_clusters", "WIN-16")
+_CL = """SELECT p.variant_id AS image_id, ord, CAST(CASE WHEN axis = 'x' THEN x ELSE y END AS DOUBLE) AS s0, CAST(CASE WHEN axis = 'x' THEN x + width ELSE y + height END AS DOUBLE) AS e0, CASE WHEN axis = 'x' THEN y + height / 2 ELSE x + width / 2 END AS m FROM placements p JOIN
+ (SELECT variant_id, CASE WHEN w / h >= 1.8 THEN 'x' WHEN w / h <= 0.6 THEN 'y' WHEN sx >= sy THEN 'x' ELSE 'y' END AS axis FROM (SELECT variant_id, max(canvas_w) AS w, max(canvas_h) AS h,
+ max((x + width / 2) / canvas_w) - min((x + width / 2) / canvas_w) AS sx, max((y + height / 2) / canvas_h) - min((y + height / 2) / canvas_h) AS sy FROM placements GROUP BY ALL)) a USING (variant_id)"""
+_CL_HIT = "len(list_filter(st, lambda k: k.c = list_max(list_transform(st, lambda z: z.c)) AND least(s.e0, k.e0) - greatest(s.s0, k.s0) > 0 AND (least(s.e0, k.e0) - greatest(s.s0, k.s0)) / least(s.e0 - s.s0, k.e0 - k.s0) >= 0.5)) > 0"
+
+
+def _steps(source: str, order: str, init: str, step: str, out: str) -> str:
+    """A fold over the boxes of each image in order, for the check engine."""
+    return f""", src AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS n FROM ({source})),
+ f AS (SELECT image_id, n, {init} AS st FROM src WHERE n = 1 UNION ALL SELECT s.image_id, s.n, {step} FROM f JOIN src s ON s.image_id = f.image_id AND s.n = f.n + 1),
+ fin AS (SELECT f.image_id, st FROM f JOIN (SELECT image_id, max(n) AS n FROM src GROUP BY ALL) USING (image_id, n)) {out}"""
+
+
+@query("axis_clusters", "WIN-16", (ctes("placements") + _steps(
+    _CL, "s0, m, ord", "[{'ord': ord, 's0': s0, 'e0': e0, 'c': 0}]",
+    "list_append(st, {'ord': s.ord, 's0': s.s0, 'e0': s.e0, 'c': list_max(list_transform(st, lambda z: z.c)) + CASE WHEN " + _CL_HIT + " THEN 0 ELSE 1 END})",
+    "SELECT image_id AS variant_id, k.ord, k.c AS cluster FROM (SELECT image_id, unnest(st) AS k FROM fin)")).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t: Tables):
     p = t.bind("placements")
     return S2.axis_clusters(p.join(S2.reading_axis(p, V), V).select("variant_id", "ord", "axis", "x", "y", "width", "height"), V).select("variant_id", "ord", "cluster")
@@ -211,14 +234,26 @@ def _(t: Tables):
         "image_id", "ord", F.round("text_share", 6).alias("text_share"))
 
 
-@query("containment_suppression", "JOI-26")
+def _keep_sql(source: str, order: str, cond: str) -> str:
+    box = "{'ord': %sord, 'x': %sx, 'y': %sy, 'width': %swidth, 'height': %sheight}"
+    step = f"CASE WHEN len(list_filter(st, lambda k: {cond})) > 0 THEN st ELSE list_append(st, {box % (('s.',) * 5)}) END"
+    sql = ctes("placements") + _steps(source, order, f"[{box % (('',) * 5)}]", step, "SELECT image_id, k.ord, k.x, k.y, k.width, k.height FROM (SELECT image_id, unnest(st) AS k FROM fin)")
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_IN = "greatest(0, least(s.x + s.width, k.x + k.width) - greatest(s.x, k.x))::BIGINT * greatest(0, least(s.y + s.height, k.y + k.height) - greatest(s.y, k.y))"
+
+
+@query("containment_suppression", "JOI-26", _keep_sql("SELECT variant_id AS image_id, ord, x, y, width, height FROM placements WHERE type = 'image' AND width >= 20 AND height >= 20",
+                                                      "-width::BIGINT * height, ord", f"{_IN} > 0.6 * greatest(1, s.width::BIGINT * s.height)"))
 def _(t: Tables):
     p = t.bind("placements").where((F.col("type") == "image") & (F.col("width") >= 20) & (F.col("height") >= 20)).withColumnRenamed("variant_id", "image_id")
     area = -F.col("width").cast("bigint") * F.col("height")
     return S2.greedy_keep(p.select("image_id", "ord", "x", "y", "width", "height"), ["image_id"], [area], 0.6)
 
 
-@query("iou_deduplication", "JOI-25")
+@query("iou_deduplication", "JOI-25", _keep_sql("SELECT variant_id AS image_id, ord, CAST(floor(x / 200) AS INT) AS x, CAST(floor(y / 200) AS INT) AS y, 2 AS width, 2 AS height FROM placements",
+                                                "ord", f"{_IN} > 0.7 * (s.width * s.height + k.width * k.height - {_IN})"))
 def _(t: Tables):
     p = t.bind("placements").withColumnRenamed("variant_id", "image_id").select("image_id", "ord", F.floor(F.col("x") / 200).cast("int").alias("x"), F.floor(F.col("y") / 200).cast("int").alias("y"), F.lit(2).alias("width"), F.lit(2).alias("height"))
     return S2.greedy_keep(p, ["image_id"], [F.col("ord")], 0.7, "iou")
@@ -385,7 +420,12 @@ def _(t: Tables):
     return P.runs(rows, ["art"]).select("art", "start", "stop")
 
 
-@query("paragraph_blocks", "WIN-18")
+@query("paragraph_blocks", "WIN-18", """WITH l AS (SELECT l_suppkey AS art, l_orderkey AS ord, CAST(l_orderkey * 12 AS INT) AS top, CAST(l_orderkey * 12 + 9 + l_partkey % 3 AS INT) AS bottom, CAST(80 + l_partkey % 25 AS INT) AS span, CAST(l_partkey % 5 * 10 AS INT) AS c, CAST(10 + l_partkey % 3 AS INT) AS h FROM lineitem),
+ p AS (SELECT *, lag(bottom) OVER w AS pb, lag(h) OVER w AS ph, lag(c) OVER w AS pc FROM l WINDOW w AS (PARTITION BY art ORDER BY top, ord, bottom, span)),
+ b AS (SELECT *, CAST(sum(CASE WHEN ph IS NULL OR top - pb - 1 > greatest(ph, h) * 0.9 OR greatest(ph, h) / greatest(1, least(ph, h)) > 1.3 OR sqrt(3 * (pc - c) * (pc - c)) > 70 THEN 1 ELSE 0 END) OVER (PARTITION BY art ORDER BY top, ord, bottom, span ROWS UNBOUNDED PRECEDING) AS INT) AS block FROM p),
+ g AS (SELECT art, block, count(*) AS lines, max(h) AS hi, min(h) AS lo, max(span) AS wide, max((top, ord)) AS ending FROM b GROUP BY ALL),
+ r AS (SELECT b.art, b.block, min(span / wide) AS fill FROM b JOIN g USING (art, block) WHERE (top, ord) < ending GROUP BY ALL)
+ SELECT art, block, lines, lines < 2 OR (hi <= lo * 1.15 AND coalesce(fill >= 0.85, true)) AS is_paragraph FROM g LEFT JOIN r USING (art, block)""")
 def _(t: Tables):
     l = t.lineitem.select(F.col("l_suppkey").alias("art"), F.col("l_orderkey").alias("ord"), (F.col("l_orderkey") * 12).cast("int").alias("top"), (F.col("l_orderkey") * 12 + 9 + F.col("l_partkey") % 3).cast("int").alias("bottom"),
                           (F.lit(80) + F.col("l_partkey") % 25).cast("int").alias("span"), *[(F.col("l_partkey") % 5 * 10).cast("int").alias(c) for c in "rgb"])
@@ -511,3 +551,78 @@ def _(t: Tables):
     zone = G.inside_canvas((F.lit(0.7), F.lit(0.5), F.col("width") / 1080, F.col("height") / 1080), K.MIN_PRODUCT_ZONE)
     return t.bind("placements").select("variant_id", "ord", G.clamp_into_margin(G.box(), w, h, F.lit(40)).alias("b"), G.safe_bounds(w, h, safe).alias("s"), zone.alias("z")).select(
         "variant_id", "ord", "b.*", F.col("s.y0").alias("safe_top"), F.col("s.x1").alias("safe_right"), F.col("z.width").alias("zone_width"))
+
+
+# --------------------------------------------------- rules without a query of their own above
+@query("combo_aspects", "AGG-35", ctes("placements") + """, i AS (SELECT variant_id, width / height AS a, row_number() OVER (PARTITION BY variant_id ORDER BY ord) - 1 AS i FROM placements WHERE category = 'product' AND width > 0 AND height > 0)
+ SELECT variant_id, round(sum(CASE WHEN i = 0 THEN a ELSE a * greatest(0.5, 0.8 - 0.08 * floor((i - 1) / 2)) * 0.82 END), 6) AS aspect FROM i GROUP BY ALL""")
+def _(t: Tables):
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("ord", "width", "height"))), lambda s: s.dropFields("ord"))
+    return t.bind("placements").where(F.col("category") == "product").groupBy("variant_id").agg(sizes.alias("sizes")).select(
+        "variant_id", F.round(G.combo_aspect(F.col("sizes")), 6).alias("aspect"))
+
+
+@query("picker_formats", "TOP-07", ctes("formats") + _ARTS + f"""SELECT art_id, format_id, CAST(rn AS INT) AS rn FROM (SELECT art_id, f.id AS format_id, row_number() OVER (PARTITION BY art_id ORDER BY {_COV} < 0.45, f.recommended DESC, f.ord) AS rn FROM arts a CROSS JOIN formats f) WHERE rn <= 5""")
+def _(t: Tables):
+    from ..operators.skew import top_per_group
+
+    d = C.art_formats(_arts(t), "layers").withColumnsRenamed({"needs_split": "crowded", "format_ord": "ord"})
+    return top_per_group(d, ["art_id"], C.picker_order(), 5).select("art_id", "format_id", "rn")
+
+
+@query("first_reports", "TOP-08", ctes("orderlines") + """SELECT k, array_to_string(n[1:2], ',') AS shown, CAST(greatest(0, len(n) - 2) AS INT) AS more FROM (SELECT k, string_split(names, '|') AS n FROM orderlines)""")
+def _(t: Tables):
+    from ..operators.lifecycle import first_few
+
+    shown, more = first_few(F.split("names", r"\|"), 2)
+    return t.bind("orderlines").select("k", F.array_join(shown, ",").alias("shown"), more.cast("int").alias("more"))
+
+
+@query("capped_warnings", "SET-06", ctes("placements") + """, w AS (SELECT variant_id, list(category ORDER BY ord) AS w FROM placements GROUP BY ALL)
+ SELECT variant_id, array_to_string(list_filter(w, lambda v, i: list_position(w, v) = i)[1:3], ',') AS warnings FROM w""")
+def _(t: Tables):
+    from ..operators.lifecycle import distinct_warnings
+    from ..operators.skew import ordered_list
+
+    w = t.bind("placements").groupBy("variant_id").agg(ordered_list(F.col("category"), F.col("ord")).alias("w"))
+    return w.select("variant_id", F.array_join(distinct_warnings(F.col("w"), 3), ",").alias("warnings"))
+
+
+@query("layer_measures", "FN-07", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN 90.0 WHEN 2 THEN 58.0 WHEN 3 THEN 30.0 END AS height_cm,
+ CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'cafetera' ELSE 'producto' END WHEN 1 THEN 'cocina de 20"' WHEN 2 THEN 'cilindro de gas' WHEN 3 THEN 'microondas' END AS family FROM part""")
+def _(t: Tables):
+    k = F.col("p_partkey") % 5
+    stored = F.when(k == 0, F.col("p_size").cast("double")).when(k == 1, 0.0)
+    family = F.when(F.col("p_partkey") % 2 == 0, "cafetera").otherwise("")
+    file = F.when(k <= 1, "cocina-indurama-4q-20p-croma.png").otherwise("producto.png")
+    name = F.when(k == 2, "Cilindro de gas 15kg").when(k == 3, "Capa 15").otherwise("")
+    source = F.when(k.isin(2, 3), "horno microondas 20 litros.png").otherwise("aspiradora.png")
+    return t.part.select("p_partkey", S.measure_layer(stored, family, file, name, source).alias("m")).select("p_partkey", "m.height_cm", "m.family")
+
+
+@query("plate_reads", "PRJ-25", ctes("placements") + """SELECT variant_id, ord, left(name, 200) AS text, CAST(round_even((x - 50) * 0.5, 0) AS INT) AS x0, CAST(round_even((y - 40) * 0.5, 0) AS INT) AS y0, CAST(round_even((x + width - 50) * 0.5, 0) AS INT) AS x1,
+ CAST(round_even((y + height - 40) * 0.5, 0) AS INT) AS y1, CAST(round_even(font_size * 0.5, 1) AS DOUBLE) AS size, 1.0::DOUBLE AS confidence FROM placements WHERE type = 'text'""")
+def _(t: Tables):
+    from ..operators import documents as D
+
+    p = t.bind("placements")
+    frame = p.select("variant_id").distinct().select("variant_id", F.lit(50).alias("fx0"), F.lit(40).alias("fy0"), F.lit(0.5).alias("scale"))
+    texts = p.where(F.col("type") == "text").select("variant_id", "ord", F.col("name").alias("text"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"), F.col("font_size").cast("double").alias("size"))
+    return D.scaled_reads(texts, frame, V)
+
+
+_SAFE = "least(0.99::DOUBLE, greatest(0::DOUBLE, (%s / %s - 0.05::DOUBLE) / (1::DOUBLE - 0.05::DOUBLE - 0.05::DOUBLE)))"
+
+
+@query("safe_coordinates", "FN-23", ctes("placements") + f""", n AS (SELECT *, round_even({_SAFE % ('x', 'canvas_w')}, 4) AS sx, round_even({_SAFE % ('y', 'canvas_h')}, 4) AS sy FROM placements),
+ b AS (SELECT *, least(round_even(width / canvas_w / (1::DOUBLE - 0.05::DOUBLE - 0.05::DOUBLE), 4), round_even(1::DOUBLE - sx, 4)) AS sw, least(round_even(height / canvas_h / (1::DOUBLE - 0.05::DOUBLE - 0.05::DOUBLE), 4), round_even(1::DOUBLE - sy, 4)) AS sh FROM n)
+ SELECT variant_id, ord, CAST(sx AS DOUBLE) AS x, CAST(sy AS DOUBLE) AS y, CAST(sw AS DOUBLE) AS width, CAST(sh AS DOUBLE) AS height FROM b WHERE sw > 0 AND sh > 0
+ UNION ALL SELECT variant_id, -ord, NULL, NULL, NULL, NULL FROM placements WHERE ln = 1""")
+def _(t: Tables):
+    """Boxes in safe coordinates; a canvas without width has none."""
+    p = t.bind("placements")
+    both = p.select("variant_id", "ord", "x", "y", "width", "height", "canvas_w", "canvas_h").unionByName(
+        p.where("ln = 1").select("variant_id", (-F.col("ord")).alias("ord"), "x", "y", "width", "height", F.lit(0).alias("canvas_w"), "canvas_h"))
+    safe = F.struct(*[F.lit(0.05).alias(n) for n in ("left", "top", "right", "bottom")])
+    s = G.normalise_to_safe(F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height"), F.col("canvas_w"), F.col("canvas_h"), safe)
+    return both.select("variant_id", "ord", s.alias("s")).where((F.col("ord") < 0) | F.col("s").isNotNull()).select("variant_id", "ord", *[F.col(f"s.{c}").alias(c) for c in ("x", "y", "width", "height")])

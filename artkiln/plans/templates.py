@@ -9,6 +9,7 @@ from ..operators import documents as D
 from ..operators import templates as T
 from .base import Tables, ctes, query
 from .matrix import _EXP, _EXPROWS, _REQ, expanded_once, nested_templates, selection_sql, typed
+from .quality import _IN, _steps
 
 K3 = ["client_id", "matrix_id", "row_number"]
 _FILL = """, fillable AS (SELECT client_id, candidate_id, array_to_string(list_sort(list_distinct(list(f) FILTER (f IS NOT NULL))), ',') AS fillable FROM (SELECT client_id, candidate_id, CASE WHEN NOT generate_if_missing THEN NULL WHEN key IN ('headline', 'title', 'titular') THEN 'titular'
@@ -217,7 +218,15 @@ def _pages(t: Tables):
     return pages, images
 
 
-@query("document_pieces", "WIN-19")
+_FIT = """SELECT doc || '/' || page AS image_id, doc, page, ord, xref, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(width AS INT) AS width, CAST(height AS INT) AS height FROM (SELECT *, CASE WHEN doc % 4 = 0 THEN 300 ELSE 900 END AS ph FROM im)
+ WHERE NOT alpha AND xref > 0 AND x + width <= 1200 AND y + height <= ph AND width * height / (1200 * ph) BETWEEN 0.10 AND 0.85 AND width / height BETWEEN 0.45 AND 2.3"""
+_PIECE = "{'doc': %sdoc, 'page': %spage, 'ord': %sord, 'xref': %sxref, 'x': %sx, 'y': %sy, 'width': %swidth, 'height': %sheight}"
+
+
+@query("document_pieces", "WIN-19", (_P + _steps(
+    _FIT, "ord", f"[{_PIECE % (('',) * 8)}]", f"CASE WHEN len(list_filter(st, lambda k: {_IN} > 0.5 * greatest(1, s.width * s.height))) > 0 THEN st ELSE list_append(st, {_PIECE % (('s.',) * 8)}) END",
+    """SELECT k.doc, k.page, k.ord, k.xref, k.x, k.y, k.width, k.height, 'frame' AS kind FROM (SELECT unnest(st) AS k FROM fin)
+ UNION ALL SELECT doc, page, 0, 0, 0, 0, 1200, CASE WHEN doc % 4 = 0 THEN 300 ELSE 900 END, 'page' FROM pg WHERE doc % 4 <> 0 AND doc NOT IN (SELECT doc FROM src) AND (doc, page) IN (SELECT doc, page FROM im)""")).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t: Tables):
     pages, images = _pages(t)
     return D.frames_or_pages(pages, images, ["doc"])

@@ -43,7 +43,7 @@ def test_box_pairs_find_every_pair_once(spark, n):
 @pytest.mark.parametrize("limit", [1000, 5])
 def test_greedy_suppression_folded_and_in_rounds(spark, limit):
     rows = boxes(2, 60, "a", 400) + boxes(3, 40, "b", 300)
-    got = {(r.g, r.ord) for r in SP.greedy_keep(spark.createDataFrame(rows, BOX), ["g"], [-F.col("width").cast("bigint") * F.col("height")], 0.6, fold_limit=limit).collect()}
+    got = {(r.g, r.ord) for r in SP.greedy_keep(spark.createDataFrame(rows, BOX), ["g"], [-F.col("width").cast("bigint") * F.col("height")], 0.6).collect()}
     want = set()
     for g in "ab":
         kept = []
