@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geometry as G
-from ..functions.text import decompose, let, rlike
+from ..functions.text import decompose, rlike
 from .skew import top_per_group
 from .spatial import free_band
 
@@ -52,8 +52,10 @@ def assign_slots(reads: DataFrame, keys: list[str]) -> DataFrame:
     """
     live = usable_reads(reads)
     h = F.col("y1") - F.col("y0")
-    text = decompose(F.col("text"))
-    d = live.select(*keys, "ord", "x0", "y0", "x1", "y1", "canvas_h", F.explode(let(text, lambda v: F.array_compact(F.array(*_entries(h, F.col("canvas_h"), v))))).alias("e"))
+    # Plain columns over a plain text: the patterns are compiled once, and only lines with marks are decomposed.
+    plain = F.when(rlike(F.col("text"), r"[^\x00-\x7F]"), decompose(F.col("text"))).otherwise(F.col("text"))
+    marked = live.withColumn("_text", plain)
+    d = marked.select(*keys, "ord", "x0", "y0", "x1", "y1", "canvas_h", F.explode(F.array_compact(F.array(*_entries(h, F.col("canvas_h"), F.col("_text"))))).alias("e"))
     few = top_per_group(d.select(*keys, "e.slot", "e.rank", "ord", "x0", "y0", "x1", "y1"), [*keys, "slot"], [F.col("rank"), F.col("ord")], len(_CHAIN) + 1)
     item = F.struct("slot", "rn", F.col("ord").cast("bigint").alias("ord"), "x0", "y0", "x1", "y1")
     packed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("a"))

@@ -440,17 +440,52 @@ def _(t: Tables):
     return S2.free_band(t.bind("reads").select("art_id", "canvas_w", "canvas_h", "y0", "y1"), ["art_id"])
 
 
-@query("art_slots", "FN-08")
+def _slots_sql() -> str:
+    """Slots in chain order, each with its best line that no slot before it took, for the check engine."""
+    def m(pattern):
+        return f"regexp_matches(t, '{pattern}')"
+
+    price = f"({m(chr(92) + 'd')} AND ({m(K.ART_MONEY)} OR {m(K.ART_BEFORE)} OR {m(K.ART_ONLY_FIGURE)}))"
+    rules = {"logo": ("role = 'brand'", "0"), "legal": (f"{m(K.ART_LEGAL)} OR (y0 / canvas_h > 0.88 AND h / canvas_h < 0.035)", "h"), "validity": (f"h / canvas_h <= 0.05 AND {m(K.ART_VALIDITY)}", "0"),
+             "discount": (m(K.ART_PERCENT), "0"), "installment": (m(K.ART_INSTALLMENT), "0"), "previous_price": (f"{price} AND {m(K.ART_BEFORE)}", "-h"), "price": (price, "-h"),
+             "cta": (f"{m(K.ART_CTA)} AND length(t) <= 40", "0"), "headline": ("true", "-h")}
+    out = ctes("reads") + f""", live AS (SELECT *, replace(text, 'é', 'e' || chr(769)) AS t, y1 - y0 AS h FROM reads WHERE confidence >= {K.ART_MIN_CONFIDENCE} AND x1 > x0 AND y1 > y0 AND (x1 - x0)::BIGINT * (y1 - y0) <= canvas_w::BIGINT * canvas_h * {K.ART_MAX_FIELD}),
+ s0 AS (SELECT art_id, '' AS slot, ord FROM live WHERE false)"""
+    for i, (slot, (cond, rank)) in enumerate(rules.items()):
+        out += f""", s{i + 1} AS (SELECT * FROM s{i} UNION ALL SELECT art_id, '{slot}', arg_min(ord, ({rank}, ord)) FROM live l WHERE ({cond}) AND NOT EXISTS (SELECT 1 FROM s{i} u WHERE u.art_id = l.art_id AND u.ord = l.ord) GROUP BY art_id)"""
+    return out + f""", flat AS (SELECT s.art_id, s.slot, s.ord, x0, y0, x1, y1 FROM s{len(rules)} s JOIN live USING (art_id, ord)),
+ sub AS (SELECT l.art_id, arg_min(l.ord, (l.y0, l.ord)) AS ord FROM live l JOIN flat f ON f.art_id = l.art_id AND f.slot = 'headline' WHERE l.y0 >= f.y1 AND l.y0 - f.y1 < l.canvas_h * 0.10 AND NOT EXISTS (SELECT 1 FROM flat u WHERE u.art_id = l.art_id AND u.ord = l.ord) GROUP BY l.art_id),
+ slots AS (SELECT * FROM flat UNION ALL SELECT art_id, 'subheadline', ord, x0, y0, x1, y1 FROM sub JOIN live USING (art_id, ord))
+"""
+
+
+@query("art_slots", "FN-08", _slots_sql() + "SELECT * FROM slots")
 def _(t: Tables):
     return A.assign_slots(t.bind("reads"), ["art_id"])
 
 
-@query("art_slot_colours", "FN-09")
+@query("art_slot_colours", "FN-09", _slots_sql() + """, last AS (SELECT art_id, x0, y0, x1, y1, arg_max(color, ord) AS color FROM reads GROUP BY ALL)
+ SELECT art_id, slot, upper(color) AS color FROM slots JOIN last USING (art_id, x0, y0, x1, y1) WHERE regexp_matches(color, '^#[0-9a-fA-F]{6}$')""")
 def _(t: Tables):
     return A.slot_colours(t.bind("reads"), ["art_id"])
 
 
-@query("art_placements", "FN-23")
+_UW = "(1::DOUBLE - %s::DOUBLE - %s::DOUBLE)"
+
+
+def _safe_sql() -> str:
+    left, top, right, bottom = K.DEFAULT_SAFE
+    uw, uh = _UW % (left, right), _UW % (top, bottom)
+    return f""", n AS (SELECT *, round_even(greatest(0::DOUBLE, least(0.99::DOUBLE, (x0 / canvas_w - {left}::DOUBLE) / {uw})), 4) AS x, round_even(greatest(0::DOUBLE, least(0.99::DOUBLE, (y0 / canvas_h - {top}::DOUBLE) / {uh})), 4) AS y FROM every),
+ b AS (SELECT *, least(round_even((x1 - x0) / canvas_w / {uw}, 4), round_even(1::DOUBLE - x, 4)) AS width, least(round_even((y1 - y0) / canvas_h / {uh}, 4), round_even(1::DOUBLE - y, 4)) AS height FROM n)"""
+
+
+@query("art_placements", "FN-23", _slots_sql() + """, sp AS (SELECT DISTINCT art_id, canvas_h AS h, greatest(0, y0) AS a, least(canvas_h, y1) AS e FROM reads WHERE x1 > x0 AND y1 > y0 AND greatest(0, y0) < least(canvas_h, y1)),
+ gp AS (SELECT art_id, h, coalesce(max(e) OVER (PARTITION BY art_id ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g0, a AS g1 FROM sp UNION ALL SELECT art_id, h, max(e), h FROM sp GROUP BY art_id, h),
+ bp AS (SELECT *, row_number() OVER (PARTITION BY art_id ORDER BY g1 - g0 DESC, g0) AS rk FROM gp WHERE g1 > g0),
+ band AS (SELECT art_id, 'product' AS slot, CAST(trunc(1080 * 0.06) AS INT) AS x0, CAST(g0 + trunc((g1 - g0) * 0.06) AS INT) AS y0, CAST(trunc(1080 * 0.94) AS INT) AS x1, CAST(g1 - trunc((g1 - g0) * 0.06) AS INT) AS y1 FROM bp WHERE rk = 1 AND g1 - g0 >= h * """ + str(K.MIN_PRODUCT_BAND) + """),
+ every AS (SELECT e.*, canvas_w, canvas_h FROM (SELECT art_id, slot, x0, y0, x1, y1 FROM slots UNION ALL SELECT * FROM band WHERE y1 > y0) e JOIN (SELECT DISTINCT art_id, canvas_w, canvas_h FROM reads) USING (art_id))""" + _safe_sql() + """
+ SELECT art_id, CASE WHEN canvas_h = 1350 THEN 'portrait' ELSE 'square' END AS aspect, slot, x, y, width, height FROM b WHERE width > 0 AND height > 0""")
 def _(t: Tables):
     safe = F.struct(*[F.lit(v).alias(n) for n, v in zip(("left", "top", "right", "bottom"), K.DEFAULT_SAFE)])
     return A.art_placements(t.bind("reads"), ["art_id"], safe)
