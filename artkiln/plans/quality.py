@@ -103,7 +103,7 @@ def _variants(t: Tables):
     return t.bind("placements").select("variant_id").distinct().select(
         "variant_id", F.when(k % 4 == 0, 900).otherwise(1080).alias("source_w"), F.when(k % 4 == 1, 1080).otherwise(660).alias("source_h"), (k % 5 == 0).alias("from_psd"),
         F.when(k % 6 == 0, 2).otherwise(0).alias("rewritten"), (k % 12 == 0).alias("has_font"), cats.alias("project_categories"),
-        F.when(k % 10 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("extra_warnings"))
+        F.when(k % 10 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).when(k % 10 == 5, F.array(F.lit("Falta el texto legal en la variante."), F.lit("c"))).otherwise(F.array().cast("array<string>")).alias("extra_warnings"))
 
 
 _SCORE = _OVER + _FILL + _BANDS + _METRICS + _CONF + """, vs AS (SELECT variant_id, CASE WHEN variant_id % 4 = 0 THEN 900 ELSE 1080 END AS sw, CASE WHEN variant_id % 4 = 1 THEN 1080 ELSE 660 END AS sh FROM placements GROUP BY ALL),
@@ -117,7 +117,7 @@ _SCORE = _OVER + _FILL + _BANDS + _METRICS + _CONF + """, vs AS (SELECT variant_
   + CASE WHEN text_elements = 0 AND k % 5 <> 0 THEN 12 ELSE 0 END + CASE WHEN k % 6 = 0 AND k % 12 <> 0 THEN 8 ELSE 0 END
   + CASE WHEN k % 2 = 0 THEN CASE WHEN NOT list_contains(present, 'logo') THEN 6 ELSE 0 END + CASE WHEN NOT list_contains(present, 'cta') THEN 6 ELSE 0 END ELSE CASE WHEN NOT list_contains(present, 'legal') THEN 6 ELSE 0 END END
   + distorted_layers * 15 + CASE WHEN content = 0 THEN 0 WHEN f < 0.12 THEN 30 WHEN f < 0.34 AND NOT (native AND all_pinned) THEN CAST(round_even(4 + 14 * least(1.0, (0.34 - f) / (0.34 - 0.12)), 0) AS INT) WHEN f >= 0.34 AND f > 0.95 THEN 6 ELSE 0 END
-  + CASE WHEN letterbox THEN 20 ELSE 0 END + CASE WHEN nc > 0 THEN 22 + 8 * (nc - 1) ELSE 0 END + CASE WHEN k % 10 = 0 THEN 4 ELSE 0 END AS p FROM lb)
+  + CASE WHEN letterbox THEN 20 ELSE 0 END + CASE WHEN nc > 0 THEN 22 + 8 * (nc - 1) ELSE 0 END + CASE WHEN k % 10 = 0 THEN 4 WHEN k % 10 = 5 THEN CASE WHEN list_contains(present, 'legal') THEN 4 ELSE 2 END ELSE 0 END AS p FROM lb)
 """
 
 
@@ -144,10 +144,44 @@ def _(t: Tables):
     return m.select("variant_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("quality_warnings", "AGG-08 SET-06")
-def _(t: Tables):
-    p = t.bind("placements")
-    return Q.report_warnings(Q.placement_warnings(p, V), V).select("variant_id", F.array_join("warnings", "\n").alias("warnings"))
+def _pct(c: str) -> str:
+    return f"CAST(CAST(round_even({c} * 100, 0) AS INT) AS VARCHAR)"
+
+
+_FLAGGED = f"""SELECT *, type = 'text' AND font_size / canvas_h < CASE WHEN category = 'headline' THEN 0.022 ELSE 0.008 END AS f_small, coalesce(type = 'text' AND contrast < 4.5, false) AS f_low,
+ NOT (pinned AND {_BLEED}) AND (x < 0 OR y < 0 OR x + width > canvas_w OR y + height > canvas_h) AS f_out, NOT pinned AND least(x, y, canvas_w - (x + width), canvas_h - (y + height)) < round_even(least(canvas_w, canvas_h) * 0.035, 0) * 0.6 AS f_tight,
+ type = 'image' AND preserve_aspect AND NOT stretch AND layer_h > 0 AND height > 0 AND abs(want - width / height) / greatest(want, 0.0001) > greatest(0.02, 1.5 / greatest(1, least(width, height))) AS f_dist
+ FROM (SELECT *, CASE WHEN rotation <> 0 AND NOT pixel_critical THEN (layer_w * abs(cos(radians(rotation))) + layer_h * abs(sin(radians(rotation)))) / (layer_w * abs(sin(radians(rotation))) + layer_h * abs(cos(radians(rotation)))) ELSE layer_w / layer_h END AS want FROM placements)"""
+_PIECE_SQL = {
+    "small_product": "products > 0 AND cover < 0.06", "large_product": "products > 0 AND cover > 0.68", "small_logo": "logo < 0.055", "text_in_image": "text_elements = 0 AND k % 5 = 0", "no_text": "text_elements = 0 AND k % 5 <> 0",
+    "logo": "k % 2 = 0 AND NOT list_contains(present, 'logo')", "cta": "k % 2 = 0 AND NOT list_contains(present, 'cta')", "legal": "k % 2 = 1 AND NOT list_contains(present, 'legal')", "crowded": "content > 0 AND f >= 0.34 AND f > 0.95"}
+_WARN = _SCORE + f""", fl AS ({_FLAGGED}), wr AS (
+ SELECT variant_id, 10 AS s, ord AS a, 0::BIGINT AS b, concat('''', name, ''' sale del lienzo.') AS text FROM fl WHERE f_out
+ UNION ALL SELECT variant_id, 30, ord, 0, concat('''', name, ''' está demasiado cerca del margen.') FROM fl WHERE f_tight AND category IN ('cta', 'logo')
+ UNION ALL SELECT variant_id, 60, ord, 0, concat('''', name, ''' puede ser ilegible (', font_size, 'px en ', canvas_h, 'px).') FROM fl WHERE f_small
+ UNION ALL SELECT variant_id, 60, ord, 1, concat('Contraste insuficiente en ''', name, ''' (', CAST(round_even(contrast, 1) AS DOUBLE), ':1, mínimo 4.5:1).') FROM fl WHERE f_low
+ UNION ALL SELECT variant_id, 90, ord, 0, concat('''', name, ''' cambió su relación de aspecto (revisar renderer).') FROM fl WHERE f_dist
+ UNION ALL SELECT o.variant_id, 20, a_ord, b_ord, CASE WHEN ratio > greatest(0.45, threshold) THEN concat('Solapamiento fuerte entre ''', x.name, ''' y ''', y.name, '''.') ELSE concat('El producto invade ''', CASE WHEN x.category = 'product' THEN y.name ELSE x.name END, '''.') END
+  FROM ov o JOIN placements x ON x.variant_id = o.variant_id AND x.ord = a_ord JOIN placements y ON y.variant_id = o.variant_id AND y.ord = b_ord WHERE ratio > greatest(0.45, threshold) OR threshold = 0.08
+ UNION ALL SELECT variant_id, 1, a_ord, b_ord, concat('Proporción irreal: ''', big, ''' sale ', CAST(round_even(d, 1) AS DOUBLE), '× el alto de ''', small, ''' y por tamaño real le toca ', CAST(round_even(e, 1) AS DOUBLE), '×.') FROM (
+  SELECT c.variant_id, a_ord, b_ord, CASE WHEN a.height / b.height > a.ratio / b.ratio THEN a.name ELSE b.name END AS big, CASE WHEN a.height / b.height > a.ratio / b.ratio THEN b.name ELSE a.name END AS small,
+   CASE WHEN a.height / b.height > a.ratio / b.ratio THEN a.height / b.height ELSE 1 / (a.height / b.height) END AS d, CASE WHEN a.height / b.height > a.ratio / b.ratio THEN a.ratio / b.ratio ELSE 1 / (a.ratio / b.ratio) END AS e
+  FROM cf c JOIN pr a ON a.variant_id = c.variant_id AND a.ord = a_ord JOIN pr b ON b.variant_id = c.variant_id AND b.ord = b_ord)
+ UNION ALL SELECT variant_id, 2, 0, 0, 'El arte flota en una franja del lienzo: el ' || {_pct("greatest(t + b, l + r)")} || '% queda como relleno vacío arriba y abajo (o a los lados). Este formato necesita repartir el diseño, no solo encogerlo.' FROM pen WHERE letterbox
+ UNION ALL SELECT variant_id, 3, 0, 0, 'La pieza es casi todo fondo: el contenido cubre el ' || {_pct("f")} || '% del lienzo. Este formato no se puede sacar de este arte.' FROM pen WHERE content > 0 AND f < 0.12
+ UNION ALL SELECT variant_id, 70, 0, 0, 'La composición solo tiene ' || elements || ' elemento(s): falta contenido (producto, texto y logo).' FROM pen WHERE elements < 3
+ UNION ALL SELECT variant_id, 72, 0, 0, '2 texto(s) reescrito(s) con la tipografía del sistema y no con la de marca: suba el .ttf/.otf y se recalculan solos.' FROM pen WHERE k % 6 = 0 AND k % 12 <> 0
+ UNION ALL SELECT variant_id, 100, 0, 0, 'La composición tiene demasiado espacio vacío: el contenido cubre el ' || {_pct("f")} || '% del lienzo.' FROM pen WHERE content > 0 AND f >= 0.12 AND f < 0.34 AND NOT (native AND all_pinned)
+ {" ".join(f"UNION ALL SELECT variant_id, {n}, 0, 0, '{text}' FROM pen WHERE {_PIECE_SQL[key]}" for key, (n, text) in Q.PIECE_TEXTS.items())}
+ UNION ALL SELECT variant_id, 110, CAST(i AS BIGINT), 0, (['a', 'b', 'a'])[i] FROM pen, unnest(range(1, 4)) AS u(i) WHERE k % 10 = 0
+ UNION ALL SELECT variant_id, 110, CAST(i AS BIGINT), 0, (['Falta el texto legal en la variante.', 'c'])[i] FROM pen, unnest(range(1, 3)) AS u(i) WHERE k % 10 = 5),
+ wd AS (SELECT variant_id, text, min((s, a, b)) AS place FROM wr GROUP BY ALL), wk AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY place, text) AS rn FROM wd)
+ SELECT variant_id, string_agg(text, chr(10) ORDER BY rn) AS warnings FROM wk WHERE rn <= 10 GROUP BY ALL"""
+
+
+@query("quality_warnings", "AGG-08 SET-06", ctes("placements") + _WARN)
+def _(t: Tables):
+    return Q.quality_warnings(t.bind("placements"), _variants(t), V).select("variant_id", F.array_join("warnings", "\n").alias("warnings"))
 
 
 @query("best_attempts", "WIN-13 PRJ-20", """WITH a AS (SELECT l_orderkey AS variant_id, l_linenumber AS attempt, CAST(max(l_quantity) AS INT) AS score, CAST(min(l_suppkey) % 3 AS INT) AS defects FROM lineitem GROUP BY ALL),
