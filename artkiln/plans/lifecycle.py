@@ -152,7 +152,7 @@ def _(t: Tables):
     return t.part.select("p_partkey", magic.alias("magic"), F.array_join(S.image_rejects(real, magic, F.col("p_size") * 10, F.col("p_size") * 10, 100, 160000), ",").alias("reasons"))
 
 
-@query("drop_folder_inventory", "SRC-08 STR-04", ctes("assets") + """SELECT filename AS name, regexp_extract(lower(filename), '\\.([^.]+)$', 1) AS extension, client_id || '/' || asset_id || '/' || filename AS rel, CAST(round_even(size_bytes / 1048576, 1) AS DOUBLE) AS size_mb FROM assets ORDER BY rel LIMIT 200""")
+@query("drop_folder_inventory", "SRC-08 STR-04", ctes("assets") + """SELECT filename AS name, regexp_extract(lower(filename), '\\.([^.]+)$', 1) AS extension, client_id || '/' || asset_id || '/' || filename AS rel, CAST(round_even(size_bytes / 1048576, 1) AS DOUBLE) AS size_mb FROM assets""")
 def _(t: Tables):
     a = t.bind("assets")
     good = a.select(F.concat_ws("/", "client_id", "asset_id", "filename").alias("rel"), F.col("size_bytes").alias("length"))

@@ -34,7 +34,14 @@ def _(t: Tables):
     return I.palette(pixels(t), ["image_id"])
 
 
-@query("brand_colours", "AGG-22")
+_LUM = " + ".join(f"{k} * CASE WHEN {c} / 255 <= 0.03928 THEN {c} / 255 / 12.92 ELSE power(({c} / 255 + 0.055) / 1.055, 2.4) END" for k, c in ((0.2126, "r"), (0.7152, "g"), (0.0722, "b")))
+
+
+@query("brand_colours", "AGG-22", _PIX + f""", bn AS (SELECT image_id, r >> 5 AS br, g >> 5 AS bg, b >> 5 AS bb, count(*) AS n, CAST(round_even(avg(r), 0) AS INT) AS r, CAST(round_even(avg(g), 0) AS INT) AS g, CAST(round_even(avg(b), 0) AS INT) AS b FROM pix GROUP BY image_id, r >> 5, g >> 5, b >> 5),
+ dm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, br, bg, bb) AS rn FROM bn) WHERE rn <= 5),
+ cl AS (SELECT image_id, rn, printf('#%02X%02X%02X', r, g, b) AS hex, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END AS s, {_LUM} AS l FROM dm),
+ br AS (SELECT image_id, CASE WHEN max(s) >= 0.22 THEN arg_max(hex, (s, -rn)) ELSE arg_min(hex, rn) END AS brand FROM cl GROUP BY ALL)
+ SELECT image_id, any_value(brand) AS brand, coalesce(arg_min(hex, (l, rn)) FILTER (hex <> brand), arg_min(hex, (l, rn))) AS support FROM cl JOIN br USING (image_id) GROUP BY image_id""")
 def _(t: Tables):
     return I.brand_and_support(I.dominant_bins(pixels(t), ["image_id"]), ["image_id"])
 
