@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .tables import staged, texts
-from .units import groups
+from .units import forget, groups
 
 #: Retained values, those with inverted lists, and those a document must have besides hot ones to be found by them.
 SKETCH, LOW, ENOUGH = 64, 24, 12
@@ -85,6 +85,7 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, print (digest of the whole set), low (smallest values) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at, group in groups(batch, "text"):
                 sets = shingle_sets(group, words)
@@ -98,6 +99,7 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
 
 def _estimates(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
     """Pairs whose union sketch has enough values of both."""
+    forget()
     for batch in batches:
         keep = []
         for x, y in zip(batch["sa"], batch["sb"]):
@@ -112,6 +114,7 @@ def _estimates(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.R
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         keep = []
         for x, y in zip(batch["xa"], batch["xb"]):
@@ -125,6 +128,7 @@ def _forest(percent: int):
     """Links of the documents of two blocks, as (document, smallest document that it reaches there)."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         ids = table["rep"].to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -141,7 +145,10 @@ def _forest(percent: int):
             held = np.zeros((len(sets), width), np.float32)
             held[row[some], column[some] - at] = 1
             both += held @ held.T
-        near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        short = sizes.astype(np.float32)  # whole numbers below 2 ** 24, so exact
+        both *= 100 + percent
+        near = both >= percent * (short[:, None] + short)
+        del both
         seen, out = np.zeros(len(ids), bool), []
         for i in np.argsort(ids, kind="stable"):
             if not seen[i]:

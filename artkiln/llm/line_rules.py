@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import staged
+from .units import forget
 
 #: Production limits.
 LEAST_TEXTS, HOST_SHARE, LEFT_SHARE = 20, 0.05, 0.25
@@ -65,6 +66,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base counts of each text, and its distinct normalised lines with their words."""
     import hashlib
 
+    forget()
     schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("text_key", pa.binary()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                         ("lines", pa.list_(pa.struct([("line_key", pa.int64()), ("words", pa.int32())])))])
     for batch in batches:

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import staged, texts
-from .units import Memory, cut, groups
+from .units import Memory, cut, groups, remembered
 
 SEQUENCE, END_ID = 2048, 0
 #: Steps of the projected gradient.
 FIT_STEPS = 300
+#: Words remembered besides the units made of them.
+WORDS = 300_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -49,7 +51,7 @@ class ByteTokenizer:
         self.tokenizer = Tokenizer.from_file(file)
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.first, self.later = Memory(lambda units: self._units("", units)), Memory(lambda units: self._units(" ", units))
-        self.words: dict[str, bytes] = {}
+        self.words = remembered()
 
     def _apart(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
@@ -81,7 +83,7 @@ class ByteTokenizer:
                 if tail:
                     parts.append(tail)
             made.append(parts)
-        if len(self.words) > self.later.bound:
+        if len(self.words) > WORDS:
             self.words.clear()
         self.words["\n"] = self.line_end.to_bytes(4, "little")
         missing = list(set().union(*[p for p in made if p]).difference(self.words))

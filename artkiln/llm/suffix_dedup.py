@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import staged
+from .units import forget
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a chunk; chunks for each bucket; documents from which a hash is spread over buckets; windows sorted at once.
@@ -65,6 +66,7 @@ def chunks(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
     """Texts in the order they are read, packed up to `size` bytes, with the columns to carry along; a null text is empty, a null id the largest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part, made = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         raw: list[bytes] = []

@@ -20,11 +20,26 @@ def cut(text: str) -> list[str]:
     return _GAP.split(text) if _BESIDE.search(text) else text.split(" ")
 
 
+_KNOWN: list[dict] = []
+
+
+def remembered() -> dict[str, bytes]:
+    """A new table of encoded units of this worker."""
+    _KNOWN.append({})
+    return _KNOWN[-1]
+
+
+def forget() -> None:
+    """Empties all tables: a worker serves many stages, and those without a tokenizer need the room."""
+    for known in _KNOWN:
+        known.clear()
+
+
 class Memory:
     """encoded(unit) for many units, kept up to a bound; past it, all is forgotten and learned anew."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], bound: int = 1_000_000) -> None:
-        self.encode, self.bound, self.known = encode, bound, {}
+        self.encode, self.bound, self.known = encode, bound, remembered()
 
     def join(self, lists: list[list[str]]) -> list[bytes]:
         """The encoded units of each list, one after the other."""
