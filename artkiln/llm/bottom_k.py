@@ -31,7 +31,7 @@ from .units import forget, groups
 #: Retained values, those with inverted lists, and those a document must have besides hot ones to be found by them.
 SKETCH, LOW, ENOUGH = 64, 24, 12
 #: Classes from which a value is hot; hot values a document is listed under; documents of a block.
-HOT, HOT_VALUES, BLOCK = 40, 8, 800
+HOT, HOT_VALUES, BLOCK = 40, 8, 500
 LEAST_ESTIMATE = 0.55
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(23).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,9 +145,7 @@ def _forest(percent: int):
             held = np.zeros((len(sets), width), np.float32)
             held[row[some], column[some] - at] = 1
             both += held @ held.T
-        short = sizes.astype(np.float32)  # whole numbers below 2 ** 24, so exact
-        both *= 100 + percent
-        near = both >= percent * (short[:, None] + short)
+        near = both.astype(np.int64) * (100 + percent) >= percent * (sizes[:, None] + sizes)
         del both
         seen, out = np.zeros(len(ids), bool), []
         for i in np.argsort(ids, kind="stable"):
