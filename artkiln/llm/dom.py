@@ -38,16 +38,16 @@ STEPS, RATE, DECAY = 300, 0.5, 0.0001
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "mark", "words", "linked", "below", "below_linked")
+    __slots__ = ("tag", "parent", "inside", "names", "mark", "words", "linked", "below", "below_linked")
 
-    def __init__(self, tag: str, parent: int, names: tuple[str, ...], mark: str | None) -> None:
-        self.tag, self.parent, self.names, self.mark = tag, parent, names, mark
+    def __init__(self, tag: str, parent: int, inside: str, names: tuple[str, ...], mark: str | None) -> None:
+        self.tag, self.parent, self.inside, self.names, self.mark = tag, parent, inside, names, mark
         self.words = self.linked = self.below = self.below_linked = 0
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes, parents first, and the text in page order as (node, raw text); (node, "") where a block begins or ends."""
-    nodes, flow = [Node("", -1, (), None)], []
+    nodes, flow = [Node("", -1, "", (), None)], []
     stack: list[tuple[str, int]] = [("", 0)]  # open elements, inline ones with the node they stand in
     links, at, n = 0, 0, len(html)
 
@@ -113,7 +113,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 else:
                     names += [w.lower() for w in _WORD.findall(value)]
             parent = stack[-1][1]
-            nodes.append(Node(tag, parent, tuple(dict.fromkeys(names)), mark))
+            nodes.append(Node(tag, parent, nodes[parent].tag, tuple(dict.fromkeys(names)), mark))
             flow.append((len(nodes) - 1, ""))
             if tag in VOID:
                 flow.append((parent, ""))
@@ -135,7 +135,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
 def clues(node: Node) -> list[str]:
     """Features of a node."""
     share = node.below_linked / node.below if node.below else 0
-    return ["any", f"tag {node.tag}", f"length {min(4, int(math.log2(node.words + 1) / 1.6))}", f"links {0 if share < 0.2 else 1 if share < 0.6 else 2}", *[f"name {w}" for w in node.names]]
+    return ["any", f"tag {node.tag}", f"{node.tag} in {node.inside}", f"length {min(4, int(math.log2(node.words + 1) / 1.6))}", f"links {0 if share < 0.2 else 1 if share < 0.6 else 2}", *[f"name {w}" for w in node.names]]
 
 
 class Model:
