@@ -4,6 +4,7 @@ Two kinds of rules. Within a text: its words, symbols, repeated lines and
 repeated 8-word windows. Across texts: every line is normalised and hashed,
 the distinct documents of a host that hold it are counted, lines above the
 limit are removed, and a document that they leave depleted is rejected.
+``judge`` gives the verdicts, ``select_kept`` the texts without those lines.
 
 "Distinct documents" are distinct texts, so copies of one text, which are the
 business of deduplication, do not make its lines frequent. A line is frequent
@@ -15,6 +16,7 @@ than ``left_share`` of its words stand outside removed lines.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,10 +64,15 @@ def repeated_words(words: list) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
+def line_keys(raw: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    """Every line of a text with the key of its normalised form and its words; blank lines have no key."""
+    for line in raw.split(b"\n"):
+        parts = line.lower().split()
+        yield line, int.from_bytes(hashlib.blake2b(b" ".join(parts), digest_size=8).digest(), "little", signed=True) if parts else None, len(parts)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base counts of each text, and its distinct normalised lines with their words."""
-    import hashlib
-
     forget()
     schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("text_key", pa.binary()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                         ("lines", pa.list_(pa.struct([("line_key", pa.int64()), ("words", pa.int32())])))])
@@ -75,12 +82,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_py()
             words = raw.split()  # bytes split on space and 0x09 to 0x0D only
             joined = b"".join(words)
-            lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-            found: dict[int, int] = {}
-            for line in lines:
-                parts = line.lower().split()
-                key = int.from_bytes(hashlib.blake2b(b" ".join(parts), digest_size=8).digest(), "little", signed=True)
-                found[key] = found.get(key, 0) + len(parts)
+            lines, found = [], {}
+            for line, key, n in line_keys(raw):
+                if key is not None:
+                    lines.append(line)
+                    found[key] = found.get(key, 0) + n
             rows["doc_id"].append(doc_id)
             rows["host"].append(host)
             rows["text_key"].append(hashlib.md5(raw).digest())
@@ -116,31 +122,56 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
+def removed_lines(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHARE) -> DataFrame:
+    """k1, k2, k3 (doc_id, text_key, host), gone (words) and gone_keys of the lines that rows lose: frequent in their host and first in another document."""
+    line = measured.select("doc_id", "text_key", "host", F.explode("lines").alias("line")).select("doc_id", "text_key", "host", "line.*")
+    found = line.join(frequent_lines(measured, least, share), ["host", "line_key"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    gone = found.groupBy("doc_id", "text_key", "host", "line_key").agg(F.max("words").alias("words"))
+    return gone.groupBy(F.col("doc_id").alias("k1"), F.col("text_key").alias("k2"), F.col("host").alias("k3")).agg(F.sum("words").alias("gone"), F.collect_list("line_key").alias("gone_keys"))
+
+
 def judge_keys(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """doc_id, text_key, host, base counts, words_left (outside removed lines), base_failed and kept, one row per row of measured.
+    """doc_id, text_key, host, base counts, words_left (outside removed lines), base_failed, kept and gone_keys (of its removed lines), one row per row of measured.
 
     A row is known by doc_id and text_key, so rows that repeat whole get the
     same verdict each. A text without words fails the base rules.
     """
-    line = measured.select("doc_id", "text_key", "host", F.explode("lines").alias("line")).select("doc_id", "text_key", "host", "line.*")
-    found = line.join(frequent_lines(measured, least, share), ["host", "line_key"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    gone = found.groupBy("doc_id", "text_key", "host", "line_key").agg(F.max("words").alias("words"))
-    gone = gone.groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("gone")).select(
-        F.col("doc_id").alias("k1"), F.col("text_key").alias("k2"), F.col("host").alias("k3"), "gone")
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
-    joined = measured.drop("lines").join(gone, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")) & (F.col("host") == F.col("k3")), "left")
+    joined = measured.drop("lines").join(removed_lines(measured, least, share), F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")) & (F.col("host") == F.col("k3")), "left")
     return joined.select(
         "doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left.alias("words_left"), base_failed().alias("base_failed"),
-        (~base_failed() & (left >= left_share * F.col("n_words"))).alias("kept"))
+        (~base_failed() & (left >= left_share * F.col("n_words"))).alias("kept"), "gone_keys")
 
 
 def judge(measured: DataFrame, **limits) -> DataFrame:
     """Base counts and verdict of every row of measured, as judge_keys gives them, without the keys."""
-    return judge_keys(staged(measured, "line-measures"), **limits).drop("text_key", "host")
+    return judge_keys(staged(measured, "line-measures"), **limits).drop("text_key", "host", "gone_keys")
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has lost the lines of gone_keys; its other lines, blank ones too, stay byte for byte."""
+    forget()
+    for batch in batches:
+        texts = batch["text"]
+        if batch["gone_keys"].null_count < len(batch):
+            changed = []
+            for text, keys in zip(texts.cast(pa.binary()), batch["gone_keys"]):
+                raw, gone = text.as_py(), set(keys.as_py() or ())
+                changed.append(b"\n".join(line for line, k, _ in line_keys(raw) if k not in gone) if gone else raw)
+            texts = pa.array(changed, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch["row"], texts], names=["row", "text"])
 
 
-def select_kept(documents: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of documents that the rules keep, with all their columns."""
-    verdict = judge_keys(staged(measure(documents, key, host, text), "line-measures")).filter(~F.col("kept")).select("doc_id", "text_key", "host").distinct()
-    rows = documents.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("t"), F.coalesce(F.col(host), F.lit("")).alias("h"))
-    return rows.join(verdict, F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_key")) & (F.col("h") == F.col("host")), "left_anti").select("row.*")
+def select_kept(documents: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The rows of documents that the rules keep, with all their columns, their texts without the lines removed from them.
+
+    A text that loses no line stays as it is.
+    """
+    verdict = judge_keys(staged(measure(documents, key, host, text), "line-measures"), **limits).filter(~F.col("kept") | F.col("gone_keys").isNotNull())
+    verdict = verdict.groupBy(F.col("doc_id").alias("v1"), F.col("text_key").alias("v2"), F.col("host").alias("v3")).agg(F.first("kept").alias("kept"), F.first("gone_keys").alias("gone_keys"))
+    rows = documents.select(F.struct(*[c for c in documents.columns if c != text]).alias("row"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("k"),
+                            F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("t"), F.coalesce(F.col(host), F.lit("")).alias("h"))
+    kept = rows.join(verdict, F.col("k").eqNullSafe(F.col("v1")) & (F.col("t") == F.col("v2")) & (F.col("h") == F.col("v3")), "left").filter(F.coalesce("kept", F.lit(True)))
+    fields = kept.select("row", "text", "gone_keys")
+    cut = fields.mapInArrow(_without, fields.select("row", "text").schema)
+    return cut.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns])

@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by lines frequent in their source."""
-    return line_rules.select_kept(docs)
+    """Documents that pass the base rules and are not depleted by lines frequent in their source; texts without those lines, and their lengths."""
+    return line_rules.select_kept(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,32 @@ def test_copies_of_a_text_do_not_make_its_lines_frequent(spark):
     text = " ".join(f"word{k}" for k in range(60))
     df = spark.createDataFrame([(i, text, "s", "x", "h", 1, 2) for i in range(200)], DOCS)
     assert line_rules.select_kept(df).count() == 200
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    rng = random.Random(11)
+    foot = [" ".join(f"foot{j}w{k}" for k in range(6)) for j in range(3)]
+    rows = []
+    for i in range(90):
+        lines = [" ".join(f"own{i}x{j}y{k}" for k in range(9)) for j in range(5)] + ["", "  "]
+        lines += [rng.choice([f, f.upper(), "  " + f.replace(" ", " \t ")]) for f in foot if rng.random() < 0.6]
+        rng.shuffle(lines)
+        rows.append((i * 7 % 90, "\n".join(lines), rng.choice(["a", "a", "b", "c", None])))
+    rows += [rows[5], (None, rows[8][1], "a"), (200, None, "a")]
+
+    def norm(line):
+        return " ".join(line.lower().split())
+
+    holders, texts = {}, {}
+    for i, t, s in rows:
+        texts.setdefault(s, set()).add(t)
+        for line in (t or "").split("\n"):
+            holders.setdefault((s, norm(line)), []).append((i, t))
+    often = {k: min(i for i, _ in v if i is not None) for k, v in holders.items() if k[1] and len({t for _, t in v}) >= 20 and len({t for _, t in v}) > 0.05 * len(texts[k[0]])}
+    want = [(i, "\n".join(x for x in t.split("\n") if often.get((s, norm(x)), i) == i), s) for i, t, s in rows if t]
+    assert any(w[1] != t for w, (_, t, _) in zip(want, rows)) and any(w[1] == t for w, (_, t, _) in zip(want, rows))
+    df = spark.createDataFrame([(i, t, s, "x", "h", 1, 2) for i, t, s in rows], DOCS)
+    got = line_rules.select_kept(df)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert got.columns == df.columns and {(r.kept, r.host, r.print, r.value) for r in got.collect()} == {("x", "h", 1, 2)}
+    assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=order) == sorted(want, key=order)
