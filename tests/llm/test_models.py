@@ -66,6 +66,18 @@ def brute_marginals(model, nodes):
     return [x / total for x in of]
 
 
+def test_quotes_open_values_after_equals_signs_only():
+    def read(page):
+        nodes, flow = dom.parse(page)
+        return [v.tag for v in nodes[1:]], [x for _, x in flow if x.strip()]
+
+    assert read("<p title=don't>It's here, a long paragraph.</p>") == (["p"], ["It's here, a long paragraph."])
+    assert read("""<p><img alt=5"><p>After "it".</p>""") == (["p", "p"], ['After "it".'])
+    assert read("""<p title = "a > b" class='c > d' id=x=">">text</p>""") == (["p"], ['">text'])
+    assert read("""<p title="a > b" class='c > d'>text</p>""") == (["p"], ["text"])
+    assert read("""<p "' title=a>It's "so"</p>""") == (["p"], ["""It's "so\""""])
+
+
 def test_marginals_are_exact():
     model = dom.trained()
     for html in ("<div class=ad><p>x y z<ul><li>a<li>b</ul></div><article><p>hello there<div>x</div></article>", "<p>a<p>b", ""):
