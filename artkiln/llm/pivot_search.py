@@ -27,15 +27,16 @@ from .tables import staged
 SAMPLE, PIVOTS = 2048, 32
 #: Queries and candidates of a block, and candidate blocks of a group.
 QUERY_BLOCK, BLOCK, GROUP = 2048, 1024, 8
-#: Larger whole components could leave a long with their products; such vectors take no part.
+#: Vectors with a whole component of this size or more are wide: kept as doubles, never pivots, and met apart from the others.
 LARGEST = 1 << 24
 
 
 def whole_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """vec_id and v, the floor of scale times each component; vectors with null or non-finite components are left out."""
+    """vec_id and v, the floor of scale times each component as a double, which holds it exactly; vectors with null or non-finite components, before or after scaling, are left out."""
     v = F.col(vector)
-    whole = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST))
+    scaled = lambda x: F.lit(scale) * x.cast("double")
+    whole = F.transform(v, lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) < float("inf")))
     return vectors.filter(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), whole.alias("v"))
 
 
@@ -50,8 +51,8 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def pivot_table(vectors: DataFrame, sample: int = SAMPLE, count: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Pivots of each dimension found in a bounded sample, the origin among them."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    """Pivots of each dimension found in a bounded sample of the vectors that are not wide, the origin among them."""
+    rows = vectors.filter(F.forall("v", lambda x: F.abs(x) < LARGEST)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     by: dict[int, list] = {}
     for (v,) in rows:
         by.setdefault(len(v), []).append(v)
@@ -64,44 +65,57 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def blocks(vectors: DataFrame, pivots: dict[int, np.ndarray], rows: int) -> DataFrame:
-    """block (dim, ids, values, distances, number): up to `rows` vectors of one dimension with their pivot distances."""
+    """block (dim, wide, ids, values, distances, number): up to `rows` vectors of one dimension, all wide or none, with their pivot distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
         made = 0
 
-        def closed(dim: int) -> pa.RecordBatch:
+        def closed(dim: int, wide: bool) -> pa.RecordBatch:
             nonlocal made
-            ids, values = held.pop(dim)
-            x = np.array(values, np.int32).reshape(-1, dim)
+            ids, values = held.pop((dim, wide))
+            x = np.array(values, float if wide else np.int32).reshape(-1, dim)
             table = _distances(x.astype(float), pivots.get(dim, np.zeros((1, dim))))
             made += 1
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "v": pa.array([x.tobytes()], pa.binary()),
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "wide": pa.array([wide]), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "v": pa.array([x.tobytes()], pa.binary()),
                                                "distances": pa.array([table.tobytes()], pa.binary()), "number": pa.array([made], pa.int32())})
 
         for batch in batches:
             for vec_id, v in zip(batch["vec_id"].to_pylist(), batch["v"]):
                 value = v.values.to_numpy(zero_copy_only=False)
-                ids, values = held.setdefault(len(value), ([], []))
+                kind = len(value), bool(np.abs(value).max() >= LARGEST)
+                ids, values = held.setdefault(kind, ([], []))
                 ids.append(vec_id)
                 values.append(value)
                 if len(ids) == rows:
-                    yield closed(len(value))
-        for dim in list(held):
-            yield closed(dim)
+                    yield closed(*kind)
+        for kind in list(held):
+            yield closed(*kind)
 
-    return vectors.mapInArrow(run, "dim int, ids binary, v binary, distances binary, number int")
+    return vectors.mapInArrow(run, "dim int, wide boolean, ids binary, v binary, distances binary, number int")
 
 
-def _unpacked(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _unpacked(table: pa.Table) -> Iterator[tuple[tuple[int, bool], np.ndarray, np.ndarray, np.ndarray]]:
     for row in table.to_pylist():
         ids = np.frombuffer(row["ids"], np.int64)
-        yield row["dim"], ids, np.frombuffer(row["v"], np.int32).reshape(len(ids), -1), np.frombuffer(row["distances"], float).reshape(len(ids), -1)
+        yield (row["dim"], row["wide"]), ids, np.frombuffer(row["v"], float if row["wide"] else np.int32).reshape(len(ids), -1), np.frombuffer(row["distances"], float).reshape(len(ids), -1)
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, k: int, step: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, candidate ids, scores) of the k best candidates of each query; ties to the smaller id."""
-    exact = float if int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1] < 1 << 53 else np.int64
+    """(query ids, candidate ids, scores) of the k best candidates of each query; ties to the smaller id.
+
+    Scores are exact: doubles below 2**53, longs where the product fits one,
+    else Python integers, for which every candidate is evaluated.
+    """
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
+    if most >= 1 << 63:
+        whole = [[int(c) for c in v] for v in x]
+        for query, vector in zip(q_ids, q):
+            v = [int(c) for c in vector]
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), int(i)) for i, w in zip(ids, whole) if i != query)[:k]
+            yield np.full(len(scored), query), np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], object)
+        return
+    exact = float if most < 1 << 53 else np.int64
     order = np.argsort(ids, kind="stable")
     ids, x, dx = ids[order], x[order], np.ascontiguousarray(dx[order].T)
     qv, xv = q.astype(exact), x.astype(exact)
@@ -138,12 +152,20 @@ def search(q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, ids: np.ndarray, x:
             yield np.full(len(best), query), best_ids, best
 
 
+def sort_key(score: int) -> bytes:
+    """Bytes that order as the whole numbers do."""
+    size = (abs(score).bit_length() + 7) // 8
+    body = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x01" + body if score >= 0 else b"\x00" + bytes(255 - b for b in body)
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query row with the rows of another id.
 
     Vectors meet those of their own length only. Rows that repeat an id are
     candidates each; as a query such an id counts once, with its least vector.
-    No queries or no candidates give no rows.
+    No queries or no candidates give no rows. Ranks are exact for all finite
+    vectors; a score that no long holds is null.
     """
     clean = staged(whole_vectors(vectors, key, vector, scale), "vectors")
     pivots = pivot_table(clean)
@@ -158,14 +180,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vect
     def meet(left_: pa.Table, right_: pa.Table) -> pa.Table:
         out = []
         found = list(_unpacked(right_))
-        for dim, q_ids, q, dq in _unpacked(left_):
-            same = [(i, x, d) for n, i, x, d in found if n == dim]
-            if same:
-                ids, x, dx = (np.concatenate(c) for c in zip(*same))
+        for kind, q_ids, q, dq in _unpacked(left_):
+            for other in {n for n, *_ in found if n[0] == kind[0]}:
+                ids, x, dx = (np.concatenate(c) for c in zip(*[(i, x, d) for n, i, x, d in found if n == other]))
                 out += search(q_ids, q, dq, ids, x, dx, k)
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+        scores = [int(v) for v in cols[2]]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array([v if -(1 << 63) <= v < 1 << 63 else None for v in scores], pa.int64()),
+                         "place": pa.array([sort_key(v) for v in scores], pa.binary())})
 
-    met = left.groupBy("lane", "group").cogroup(right.groupBy("lane", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = left.groupBy("lane", "group").cogroup(right.groupBy("lane", "group")).applyInArrow(meet, "query_id long, vec_id long, score long, place binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """Classifier, page model, pieces and search."""
 
+import math
 import random
 import zlib
 
@@ -156,3 +157,22 @@ def test_search_is_that_of_all_pairs(spark, monkeypatch):
     got = pivot_search.top_k(df, F.col("vec_id") % 5 == 0, 5).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert pivot_search.top_k(df.limit(0), F.col("vec_id") % 5 == 0, 5).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[1.0, 7e4, 1e6], [1.0, 7e4, 3e9, 1e20, 3e38]])
+def test_search_keeps_vectors_of_any_finite_size(spark, sizes):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) * sizes[i % len(sizes)] for _ in range(4)]) for i in range(48)] + [(60, [65536.0, 0.0, 0.0, 0.0]), (61, [-sizes[-1]] * 4), (62, [0.5] * 4), (65, [float("inf")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in df.collect() if r.vec_id != 65]
+    want = set()
+    for q, v in whole:
+        if q % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:5]
+            want |= {(q, k + 1, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for k, (s, i) in enumerate(best)}
+    got = pivot_search.top_k(df, F.col("vec_id") % 5 == 0, 5).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {r.query_id for r in got} >= {0, 5, 60}
+    assert any((r.score is None) if sizes[-1] > 1e9 else (r.score > 1 << 53) for r in got)
+    keys = [-(1 << 90), -(1 << 64), -257, -256, -1, 0, 1, 255, 256, 1 << 64, 1 << 90]
+    assert sorted(keys, key=pivot_search.sort_key) == keys
