@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, dom, line_rules, packing, passages, pieces, pivot_search, sharding, suffix_dedup, warc
+from . import bottom_k, dom, line_rules, merkle, packing, passages, pieces, pivot_search, sharding, suffix_dedup, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,41 @@ FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of near copies of every document, on three words and a similarity of 0.85."""
     return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+#: crc32 of the decimal id, bit by bit, for the SQL.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), range(0, 8 * length(k))), lambda c, i:
+    CASE WHEN i % 8 = 0 THEN xor(xor(c, ascii(substr(k, CAST(i // 8 + 1 AS INTEGER), 1))) >> 1, CASE WHEN xor(c, ascii(substr(k, CAST(i // 8 + 1 AS INTEGER), 1))) & 1 = 1 THEN 3988292384 ELSE 0 END)
+         ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the binary trees over leaves (tree, pos, h), a node alone at the end of a level hashed anew."""
+    return f"""{name} AS (SELECT tree, 0 AS lvl, pos, h FROM {leaves} UNION ALL
+      SELECT tree, lvl + 1, pos // 2, sha256(h || coalesce(nxt, '')) FROM (SELECT *, lead(h) OVER (PARTITION BY tree ORDER BY pos) AS nxt, count(*) OVER (PARTITION BY tree) AS c FROM {name}) WHERE pos % 2 = 0 AND c > 1),
+ {name}_top AS (SELECT tree, max(lvl) AS top FROM {name} GROUP BY 1),
+ {name}_way AS (SELECT l.tree, l.pos, string_agg(s.h, '' ORDER BY n.lvl) AS proof, list(CASE WHEN n.lvl = t.top THEN 'T' || n.h WHEN s.h IS NULL THEN 'N' WHEN s.pos < n.pos THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY n.lvl) AS way
+   FROM {leaves} l JOIN {name} n ON n.tree = l.tree AND n.pos = l.pos >> n.lvl JOIN {name}_top t ON t.tree = l.tree LEFT JOIN {name} s ON s.tree = n.tree AND s.lvl = n.lvl AND s.pos = xor(n.pos, 1) GROUP BY l.tree, l.pos)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_FOLD = "list_reduce(list_prepend({start}, {way}), lambda a, x: CASE x[1] WHEN 'T' THEN a WHEN 'N' THEN sha256(a) WHEN 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END)"
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT *, coalesce('=' || lang, '') AS tree, {_field('doc_id')} || {_field('source')} || {_field('lang')} AS head, CAST(doc_id AS VARCHAR) AS k FROM documents),
+ e AS (SELECT doc_id, tree, sha256(head || {_field('n_chars')} || {_field('text')}) AS leaf, sha256(head || {_field("CASE WHEN " + _CRC32 + " % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} || {_field('text')}) AS tried FROM d),
+ l AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM e),
+ {_tree('t', 'l')},
+ g AS (SELECT t.tree AS grp, '' AS tree, row_number() OVER (ORDER BY t.tree) - 1 AS pos, h FROM t JOIN t_top ON t.tree = t_top.tree AND lvl = top),
+ {_tree('u', 'g')},
+ r AS (SELECT h AS root FROM u JOIN u_top ON lvl = top),
+ f AS (SELECT l.doc_id, l.leaf, g.h AS subroot, root, sha256(coalesce(t_way.proof, '') || coalesce(u_way.proof, '')) AS proof_sha256, {_FOLD.format(start='l.tried', way='t_way.way')} AS half, u_way.way AS way2
+       FROM l JOIN t_way ON t_way.tree = l.tree AND t_way.pos = l.pos JOIN g ON g.grp = l.tree JOIN u_way ON u_way.pos = g.pos CROSS JOIN r)
+SELECT doc_id, leaf, subroot, root, proof_sha256, {_FOLD.format(start='half', way='way2')} AS folded_root, {_FOLD.format(start='half', way='way2')} = root AS verified FROM f""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document, trees by language."""
+    return merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")))
