@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, dom, line_rules, merkle, packing, passages, pieces, pivot_search, sharding, suffix_dedup, warc
+from . import bottom_k, dom, line_rules, merkle, packing, passages, phrases, pieces, pivot_search, sharding, suffix_dedup, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +192,22 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, {_FOLD.format(start='half', wa
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and folded root of every document, trees by language."""
     return merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")))
+
+
+@query("op12_phrase_collocations", f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+ f AS (SELECT lang, CAST(k AS INTEGER) AS k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+ c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE k > 1),
+ cuts AS (SELECT c.lang, c.k, c.phrase, c.a, cut, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+          FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[cut + 1:], ' ')),
+ best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ longer AS (SELECT DISTINCT c.lang, array_to_string(p[i:i + m - 1], ' ') AS phrase, c.a FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) c),
+ kept AS (SELECT b.* FROM best b LEFT JOIN (SELECT lang, phrase, max(a) AS most FROM longer GROUP BY 1, 2) m USING (lang, phrase) WHERE NOT (100 * coalesce(most, 0) >= {phrases.DROP_PERCENT} * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= {phrases.TOP}""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
