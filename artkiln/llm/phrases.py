@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import staged
-from .units import forget, slices
+from .units import distinct_runs, forget, slices
 
 #: Production parameters: least count, phrases a language, percent of a longer phrase's count that drops one, longest phrase.
 LEAST, TOP, DROP_PERCENT, LONGEST, SCALE = 30, 2000, 80, 4, 2_000_000
@@ -62,24 +62,16 @@ class Words:
         offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
         data = _LOWER[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
         offsets = offsets - offsets[0]
-        kind, n = _KIND[data], len(data)
+        kind = _KIND[data]
         inside = kind == 0
-        head = np.zeros(n + 1, bool)  # the first byte of a text
-        head[offsets[:-1]] = True
-        starts = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | head[:n]))
-        ends = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | head[1 : n + 1])) + 1
-        edges = np.empty(2 * len(starts) + 1, np.int32)  # words and what stands between them, by turns
-        edges[0:-1:2], edges[1::2], edges[-1] = starts, ends, n
-        both = pa.Array.from_buffers(pa.binary(), 2 * len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data.tobytes())])
-        words = both.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
-        self.words, self.at = words.dictionary, words.indices.to_numpy()
+        self.words, self.at, starts = distinct_runs(data, inside, offsets[:-1])
         doc = np.searchsorted(offsets, starts, side="right") - 1
         names = langs.dictionary_encode()
         self.langs = names.dictionary.to_pylist()
         self.lang = names.indices.to_numpy()[doc]
         breaks = np.concatenate([[0], np.cumsum(kind == _BREAK)])
         self.next = np.zeros(len(starts), bool)
-        self.next[:-1] = (doc[1:] == doc[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
+        self.next[:-1] = (doc[1:] == doc[:-1]) & (breaks[starts[1:]] == breaks[starts[:-1]])  # a word holds no break
 
     def hashes(self) -> np.ndarray:
         """Of each word with its language."""

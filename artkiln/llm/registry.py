@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottom_k, dom, line_rules, merkle, packing, passages, phrases, pieces, pivot_search, sharding, suffix_dedup, warc
+from . import bottom_k, dom, lattice, line_rules, merkle, packing, passages, phrases, pieces, pivot_search, sharding, suffix_dedup, warc
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,3 +211,9 @@ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of every language."""
     return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lattice_scores")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice score of every document."""
+    return lattice.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space with no white space beside it: the space starts a unit.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -64,3 +66,27 @@ def groups(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[
             at, held, chars = i + 1, [], 0
     if held:
         yield at, held
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `size` bytes of text, a longer text alone."""
+    ends = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def distinct_runs(data: np.ndarray, inside: np.ndarray, heads: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct runs of bytes that are inside, and of each run its number among them and its start; heads (of texts) part runs, too."""
+    n = len(data)
+    head = np.zeros(n + 1, bool)
+    head[heads] = True
+    starts = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | head[:n]))
+    ends = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | head[1 : n + 1])) + 1
+    edges = np.empty(2 * len(starts) + 1, np.int32)  # runs and what stands between them, by turns
+    edges[0:-1:2], edges[1::2], edges[-1] = starts, ends, n
+    both = pa.Array.from_buffers(pa.binary(), 2 * len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data.tobytes())])
+    runs = both.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
+    return runs.dictionary, runs.indices.to_numpy(), starts
