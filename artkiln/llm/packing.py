@@ -11,9 +11,9 @@ cut them plus the counts of the tasks before it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,81 +22,132 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import staged, texts
-from .units import Memory, cut, groups, remembered
+from .units import remembered, slices
 
 SEQUENCE, END_ID = 2048, 0
 #: Steps of the projected gradient.
 FIT_STEPS = 300
-#: Words remembered besides the units made of them.
-WORDS = 300_000
+#: Distinct units remembered by a worker, and bytes of text encoded at once.
+UNITS, GROUP = 1_000_000, 4 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-#: Units that are words with punctuation, one or several on lines of their own: their parts are words of the pre-tokenizer.
-_WORDS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: Kinds of bytes: white space, ASCII letter, other printable ASCII sign, and first byte of a character that may be white space.
+_WHITE, _LETTER, _SIGN, _RISKY = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(9, 14), *range(28, 33)]] = _WHITE
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _SIGN
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = _RISKY
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Marks bytes of UTF-8 text before which the pre-tokenizer always starts a new word, whatever surrounds them.
+
+    A space between two characters that are no white space, a line end after
+    such a character, a character after a lone line end, and a sign after a
+    letter. Where a neighbour may be white space beyond ASCII, no mark is set.
+    """
+    n = len(data)
+    padded = np.zeros(n + 5, np.uint8)  # four bytes before and one after
+    padded[4 : n + 4] = data
+    kind = _KIND[padded]
+    at = lambda k: padded[4 + k : n + 4 + k]  # noqa: E731  the byte k places on
+    of = lambda k: kind[4 + k : n + 4 + k]
+    solid = lambda k: (of(k) != _WHITE) & (at(k - 1) != 0xC2) & ((of(k - 2) != _RISKY) | (at(k - 2) == 0xC2))  # noqa: E731  a character that is no white space ends k places on
+    begins = (of(0) & (_WHITE | _RISKY)) == 0
+    after = solid(-1)
+    starts = (at(0) == 32) & after & ((of(1) & (_WHITE | _RISKY)) == 0)
+    starts |= (at(0) == 10) & after
+    starts |= (at(-1) == 10) & solid(-2) & begins
+    starts |= (of(0) == _SIGN) & ((of(-1) == _LETTER) | ((at(-2) == 0xC3) & (at(-1) != 0x97) & (at(-1) != 0xB7)))
+    return starts
 
 
 class ByteTokenizer:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers.
+    """Ids of whole texts.
 
-    The vocabulary's pre-tokenizer starts a new word at every space that has
-    no white space beside it, so units between such spaces are encoded once
-    and remembered. A new unit is put together from its letters, punctuation
-    and line ends where it has nothing else, for those are words too.
+    A group of texts is cut, as bytes, at places where the vocabulary's
+    pre-tokenizer always starts a new word. Arrow numbers the distinct units;
+    only those not yet known are encoded, and the ids of the texts are
+    gathered from the known ones by array operations.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, bound: int = UNITS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.first, self.later = Memory(lambda units: self._units("", units)), Memory(lambda units: self._units(" ", units))
-        self.words = remembered()
-
-    def _apart(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words are encoded in one text, one a line: a lone line end between them is a word of its own."""
-        text = "".join([f"{w}\n" for w in words]) + " ."
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * np.flatnonzero(ids == self.line_end)).tolist()
-        if len(ends) != len(words):
-            self.words.update(zip(words, self._apart(words)))
-            return
-        raw, begins = ids.tobytes(), [0, *[e + 4 for e in ends]]
-        self.words.update((w, raw[a:b]) for w, a, b in zip(words, begins, ends))
-
-    def _units(self, lead: str, units: list[str]) -> list[bytes]:
-        made: list[list[str] | None] = []
-        for u in units:
-            parts: list[str] | None = []
-            for k, line in enumerate(u.split("\n")):
-                found = _WORDS.fullmatch(line)
-                if not found:
-                    parts = None
-                    break
-                if k:
-                    parts.append("\n")
-                word, tail = found.groups()
-                parts.append(word if k else lead + word)
-                if tail:
-                    parts.append(tail)
-            made.append(parts)
-        if len(self.words) > WORDS:
-            self.words.clear()
-        self.words["\n"] = self.line_end.to_bytes(4, "little")
-        missing = list(set().union(*[p for p in made if p]).difference(self.words))
-        if missing:
-            self._learn(missing)
-        rest = iter(self._apart([lead + u for u, p in zip(units, made) if p is None]))
-        words = self.words.__getitem__
-        return [next(rest) if p is None else b"".join(map(words, p)) for p in made]
-
-    def encode(self, texts_: list[str]) -> list[bytes]:
-        parts = [cut(t) if t else [] for t in texts_]
-        heads = self.first.join([p[:1] for p in parts])
-        return [h + t for h, t in zip(heads, self.later.join([p[1:] for p in parts]))]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bound, self.known = bound, remembered()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known.clear()
+        self.begin, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def _apart(self, units: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _learn(self, units: list[bytes]) -> None:
+        """Units without white space within are encoded in one text, one a line: a lone line end between them is a word of its own."""
+        plain = [u for u in units if len(u.split()) == 1 and not u[-1:].isspace() and (u[:1] == b" " or not u[:1].isspace())]
+        for at in range(0, len(plain), 100_000):
+            part = plain[at : at + 100_000]
+            text = b"\n".join([*part, b""]).decode() + " ."
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) == len(part):
+                begins = np.concatenate([[0], ends[:-1] + 1])
+                self._add(part, ids, begins, ends - begins)
+        rest = [u for u in units if u not in self.known]
+        if rest:
+            apart = self._apart([u.decode() for u in rest])
+            sizes = np.array([len(x) for x in apart], np.int64)
+            self._add(rest, np.concatenate(apart), np.cumsum(sizes) - sizes, sizes)
+
+    def _add(self, units: list[bytes], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(units)
+        if last > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros(max(len(x), last - len(x)), np.int64)]) for x in (self.begin, self.size))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[first:last], self.size[first:last] = begins + self.used, sizes
+        self.used += len(ids)
+        self.known.update(zip(units, range(first, last)))
+
+    def encode(self, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has."""
+        if not self.known or len(self.known) > self.bound:
+            self._clear()
+        raw = texts_.cast(pa.binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(raw), np.int64)
+        body = data.tobytes()
+        if any(x in body for x in self.special):  # a special token's name counts wherever it stands, so such a text is encoded whole
+            whole = self._apart(texts_.to_pylist())
+            return np.concatenate(whole), np.array([len(x) for x in whole], np.int64)
+        starts = unit_starts(data)
+        starts[offsets[:-1][offsets[:-1] < len(data)]] = True
+        edges = np.append(np.flatnonzero(starts), len(data)).astype(np.int32)
+        numbered = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(body)]).dictionary_encode()
+        units = numbered.dictionary.to_pylist()
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [units[i] for i in missing]
+            self._learn(new)
+            place[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        at = place[numbered.indices.to_numpy()]
+        sizes, begins = self.size[at], self.begin[at]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])]
+        total = np.concatenate([[0], ends])[np.searchsorted(edges, offsets)]
+        return ids, np.diff(total)
 
 
 _TOKENIZERS: dict[str, ByteTokenizer] = {}
@@ -120,20 +171,21 @@ def spans(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
 
 def pieces(documents: DataFrame, file: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """The pieces of every text, ids and then end_id, with the task that cut them and their rank there among equal lengths."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = tokenizer(file).encode, TaskContext.get().partitionId()
         seen = [0] * (sequence + 1)
         for batch in batches:
             rows: list[tuple] = []
-            doc_ids = batch["doc_id"].to_pylist()
-            for at, group in groups(batch, "text"):
-                for doc_id, ids in zip(doc_ids[at:], encode(group)):
-                    ids += end
-                    for k, (start, length) in enumerate(spans(len(ids) // 4, sequence)):
-                        rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
+            for group in slices(batch, "text", GROUP):
+                ids, sizes = encode(group["text"])
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
+                body, at = memoryview(ids.tobytes()), 0
+                for doc_id, n in zip(group["doc_id"].to_pylist(), (sizes + 1).tolist()):
+                    for k, (start, length) in enumerate(spans(n, sequence)):
+                        begin = 4 * (at + start)
+                        rows.append((doc_id, k, start, length, zlib.crc32(body[begin : begin + 4 * length]), part, seen[length]))
                         seen[length] += 1
+                    at += n
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)

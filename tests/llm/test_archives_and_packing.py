@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from fixtures import documents, empty
@@ -101,8 +102,20 @@ def test_units_encode_as_whole_texts_do():
     file, rng = vocabulary("byte_bpe_50k.json"), random.Random(3)
     whole, ours = Tokenizer.from_file(file), packing.ByteTokenizer(file)
     texts = ["".join(rng.choice(["the", "in", "g", " ", " ", "  ", "\n", "é", "梦", ".", "'s", "'", "12", "x", "\n\n", "%%%", "_", "don't", "\t", "²", "-", "<|endoftext|>"]) for _ in range(rng.randrange(60))) for _ in range(1500)]
-    for t, ids in zip(texts, ours.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    for some in (texts, [t.replace("<|endoftext|>", "") for t in texts]):
+        ids, sizes = ours.encode(pa.array(some))
+        for t, n, end in zip(some, sizes, np.cumsum(sizes)):
+            assert ids[end - n : end].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_units_are_encoded_anew_when_forgotten():
+    from tokenizers import Tokenizer
+
+    file = vocabulary("byte_bpe_50k.json")
+    whole, ours = Tokenizer.from_file(file), packing.ByteTokenizer(file, bound=3)
+    for text in ("a few words here", "", "others\n\n follow, then　wide spaces", "a few words here"):
+        ids, sizes = ours.encode(pa.array([text, None or text]))
+        assert ids.tolist() == 2 * whole.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids) // 2] * 2
 
 
 def check_packed(df, got, file):
