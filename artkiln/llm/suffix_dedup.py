@@ -130,7 +130,7 @@ class Chunk:
         pieces = -(-sizes // span)
         first = np.repeat(heads, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * span
         many = np.minimum(span, np.repeat(stops, pieces) - first)
-        return least[first], first, many, doc[first]
+        return _mixed(least[first]), first, many, doc[first]
 
     def distinct(self, skip: np.ndarray | None = None) -> tuple:
         """Sorted distinct hashes with their document counts, and the minimizers they come from."""
@@ -183,6 +183,15 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) >> np.uint64(16)
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """The hashes dealt anew, one to one, over 48 bits: the least of many hashes are nearly all small, and buckets are ranges."""
+    low = np.uint64((1 << 48) - 1)
+    x = hashes * np.uint64(0xC2B2AE3D27D5) & low
+    x ^= x >> np.uint64(25)
+    x = x * np.uint64(0x9FB21C651E99) & low
+    return x ^ (x >> np.uint64(23))
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the hash, so that sorted hashes are sent as small differences."""
     return ((hashes >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -195,9 +204,9 @@ def _ask(found: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, count, _ = Chunk(row["doc_ids"], row["sizes"], row["text"]).distinct()
-                edges = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-                some = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-                bodies = [_pack(np.diff(hashes[edges[b] : edges[b + 1]], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.copy().ravel(), np.minimum(count[edges[b] : edges[b + 1]], 255).astype(np.uint8)) for b in some]
+                some, begins = np.unique(_bucket(hashes, buckets), return_index=True)
+                edges, few = np.append(begins, len(hashes)), np.minimum(count, 255).astype(np.uint8)
+                bodies = [_pack(np.diff(hashes[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T.copy().ravel(), few[a:b]) for a, b in zip(edges, edges[1:])]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([row["chunk"]] * len(some), pa.int64()), "body": pa.array(bodies, pa.binary())})
 
     return found.mapInArrow(run, _SENT)
@@ -284,11 +293,15 @@ def _send(buckets: int):
                 strings = np.ascontiguousarray(rows[heads[lone], :LENGTH])
                 own = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little") for x in strings], np.uint64)
                 bucket[lone], part[lone] = (own >> np.uint64(16)) % np.uint64(buckets), own.astype(np.uint16)
+            # Everything in the order of the buckets, once; each bucket then takes a slice.
+            begins, order = np.cumsum(uses) - uses, np.argsort(bucket, kind="stable")
+            heads, uses, begins, bucket, part = heads[order], uses[order], begins[order], bucket[order], part[order]
             ends = np.cumsum(uses)
-            for b in np.unique(bucket):
-                some = np.flatnonzero(bucket == b)
-                where = np.repeat((ends - uses)[some], uses[some]) + np.arange(uses[some].sum()) - np.repeat(np.cumsum(uses[some]) - uses[some], uses[some])
-                out.append((int(b), row["chunk"], _pack(rows[heads[some]].ravel(), owner[heads[some]], uses[some], places[where], part[some])))
+            places = places[np.repeat(begins - (ends - uses), uses) + np.arange(len(places))]
+            rows, owner = rows[heads], owner[heads]
+            some, at = np.unique(bucket, return_index=True)
+            for b, i, j in zip(some.tolist(), at, np.append(at[1:], len(bucket))):
+                out.append((b, row["chunk"], _pack(rows[i:j].ravel(), owner[i:j], uses[i:j], places[ends[i] - uses[i] : ends[j - 1]], part[i:j])))
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()), "body": pa.array(cols[2], pa.binary())})
 
