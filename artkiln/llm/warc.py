@@ -26,6 +26,8 @@ from .tables import staged
 DICTIONARY_MAGIC, FRAME_MAGIC, ZDICT_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 #: An archive is closed at so many bytes; its dictionary is trained on its first records, so many bytes of them.
 ARCHIVE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES, LEVEL = 4 << 20, 2 << 20, 32 << 10, 3
+#: The reader hands on so many bytes at a time.
+SLICE = 64 << 10
 _RECORD = "page_id long, url string, payload binary, payload_digest string, payload_bytes long, refers_to long"
 _READ = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, payload binary, error string"
 
@@ -110,13 +112,22 @@ def frames(archive: bytes) -> Iterator[bytes]:
         if stored[:4] == struct.pack("<I", FRAME_MAGIC):
             stored = zstandard.ZstdDecompressor().decompress(stored)
         known, at = zstandard.ZstdCompressionDict(stored), 8 + size
-    while at < len(archive):
-        one = zstandard.ZstdDecompressor(dict_data=known).decompressobj() if known else zstandard.ZstdDecompressor().decompressobj()
-        data = one.decompress(memoryview(archive)[at:])
-        if not one.eof:
-            raise ValueError("the last frame is cut off")
-        at = len(archive) - len(one.unused_data)
-        yield data
+    view, left = memoryview(archive)[at:], len(archive) - at
+    maker = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
+    at, held = 0, b""  # held: read, and belongs to the next frame
+    while held or at < left:
+        one, parts = maker.decompressobj(), []
+        while not one.eof:
+            if held:
+                given, held = held, b""
+            elif at < left:
+                given = view[at : at + SLICE]
+                at += len(given)
+            else:
+                raise ValueError("the last frame is cut off")
+            parts.append(one.decompress(given))
+        held = one.unused_data
+        yield b"".join(parts)
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +179,16 @@ def records_of(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     Who is first is settled on digests alone; payloads move once, by page, so
     a payload that a third of all pages share makes no large group. A null
     page or url is page 0 or empty. Rows that repeat a page_id are records of
-    their own and share its verdict.
+    their own, each with the verdict of its payload.
     """
     page = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"),
                         F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     narrow = page.select("page_id", F.unhex(F.sha1("payload")).alias("sha"), F.length("payload").cast("long").alias("payload_bytes"))
     narrow = narrow.filter(F.col("payload_bytes") >= least_bytes)
     first = narrow.groupBy("sha", "payload_bytes").agg(F.min("page_id").alias("first"))
-    later = narrow.join(first, ["sha", "payload_bytes"]).filter(F.col("page_id") > F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
-    return page.join(later, "page_id", "left")
+    later = narrow.join(first, ["sha", "payload_bytes"]).filter(F.col("page_id") > F.col("first")).select("page_id", "sha", "payload_bytes", F.col("first").alias("refers_to")).distinct()
+    keyed = page.withColumns({"sha": F.unhex(F.sha1("payload")), "payload_bytes": F.length("payload").cast("long")})
+    return keyed.join(later, ["page_id", "sha", "payload_bytes"], "left").drop("sha", "payload_bytes")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
