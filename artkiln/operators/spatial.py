@@ -8,11 +8,12 @@ that holds the top-left corner of the common area, hence exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geometry as G
+from ..session import staged
 from .skew import bucketed_before, ordered_list, with_group
 
 PER_CELL = 48
@@ -57,14 +58,15 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: list[str], pad: Column |
     pad = F.lit(0) if pad is None else pad
     a, b = _edges(left, pad), _edges(right, F.lit(0))
     edges = ["_x0", "_y0", "_x1", "_y1"]
-    grid = _extent(a.select(*keys, *edges).unionByName(b.select(*keys, *edges)), keys)
-    side = F.when(F.col("n") <= 2 * PER_CELL, 1).otherwise(F.least(F.lit(MAX_GRID), F.ceil(F.sqrt(F.col("n") / PER_CELL))))
+    own = left is right
+    grid = _extent(a.select(*keys, *edges) if own else a.select(*keys, *edges).unionByName(b.select(*keys, *edges)), keys)
+    side = F.when(F.col("n") <= (PER_CELL if own else 2 * PER_CELL), 1).otherwise(F.least(F.lit(MAX_GRID), F.ceil(F.sqrt(F.col("n") / PER_CELL))))
     grid = grid.withColumn("_g", side.cast("int"))
     p = _spread(a, grid, keys, "a_").join(_spread(b, grid, keys, "b_"), [*keys, "_cx", "_cy"])
     p = p.where(
         (F.col("a__x0") <= F.col("b__x1")) & (F.col("b__x0") <= F.col("a__x1"))
         & (F.col("a__y0") <= F.col("b__y1")) & (F.col("b__y0") <= F.col("a__y1")))
-    home = (
+    home = (F.col("_g") == 1) | (
         (_cell(F.greatest("a__x0", "b__x0"), F.col("lx"), F.col("hx")) == F.col("_cx"))
         & (_cell(F.greatest("a__y0", "b__y0"), F.col("ly"), F.col("hy")) == F.col("_cy")))
     drop = ["_cx", "_cy", "_g", "lx", "ly", "hx", "hy"] + [s + e for s in ("a_", "b_") for e in edges]
@@ -80,13 +82,13 @@ def overlaps(placements: DataFrame, keys: list[str]) -> DataFrame:
     live = placements.where(
         ~G.full_bleed(G.box(), F.col("canvas_w"), F.col("canvas_h")) & (F.col("category") != "decoration")
         & (F.col("width") > 0) & (F.col("height") > 0))
-    cols = [*keys, "ord", "name", "category", "type", "x", "y", "width", "height", "pinned"]
-    p = box_pairs(live.select(*cols), live.select(*cols), keys).where(F.col("a_ord") < F.col("b_ord"))
-    fixed = F.col("a_pinned") & F.col("b_pinned") & (F.col("a_category") != "product") & (F.col("b_category") != "product")
-    protected = (
-        ((F.col("a_category") == "product") & F.col("b_category").isin(*K.MANDATORY))
-        | ((F.col("b_category") == "product") & F.col("a_category").isin(*K.MANDATORY)))
-    text = (F.col("a_type") == "text") | (F.col("b_type") == "text")
+    # What a pair asks of its boxes is asked of each box once.
+    product, mandatory = F.col("category") == "product", F.col("category").isin(*K.MANDATORY)
+    live = staged(live.select(*keys, "ord", "name", "category", "x", "y", "width", "height", product.alias("product"), mandatory.alias("mandatory"), (F.col("type") == "text").alias("text"), "pinned"), "overlap-boxes")
+    p = box_pairs(live, live, keys).where(F.col("a_ord") < F.col("b_ord"))
+    fixed = F.col("a_pinned") & F.col("b_pinned") & ~F.col("a_product") & ~F.col("b_product")
+    protected = (F.col("a_product") & F.col("b_mandatory")) | (F.col("b_product") & F.col("a_mandatory"))
+    text = F.col("a_text") | F.col("b_text")
     limit = F.when(protected, 0.08).when(text, 0.16).otherwise(0.30)
     ratio = G.overlap_of_smaller(box("a_"), box("b_"))
     p = p.where(~fixed).withColumn("ratio", ratio).withColumn("threshold", limit).withColumn("protected", protected)
@@ -141,6 +143,11 @@ def text_share(boxes: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame
     return j.withColumn("text_share", share).drop("_in")
 
 
+def without_plates(boxes: DataFrame, texts: DataFrame, keys: list[str], ratio: float = K.TEXT_PLATE_RATIO) -> DataFrame:
+    """The boxes that are no text plates: text covers less than ``ratio`` of them."""
+    return text_share(boxes, texts, keys).where(F.col("text_share") < ratio).select(*boxes.columns)
+
+
 class _Kept:
     """Kept boxes of one group, found through grid cells of about their own size.
 
@@ -177,70 +184,131 @@ class _Kept:
         return False
 
 
-def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Each group whole within a partition and its rows in order, to be read as a stream."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-
+def _tiles(rows: DataFrame, tile_boxes: int, shift: float) -> DataFrame:
+    """A row for each tile of its group (``_g``) that a box touches; ``_own`` in the one that holds its centre.
 
-def greedy_keep(boxes: DataFrame, keys: list[str], rank: list[Column], share: float, kind: str = "contained") -> DataFrame:
-    """Keep boxes in rank order; drop one that an already kept box covers by more than ``share``.
-
-    What is kept depends on what was kept before it, so each group is read once
-    in rank order. Only its kept boxes are held, in grid cells.
+    Tiles hold about ``tile_boxes`` boxes, but are at least twice as long as
+    boxes are on average, so a box touches few of them.
     """
-    ranked = boxes.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(rank)])
-    names, schema = boxes.columns, boxes.schema
+    right, low = F.col("x") + F.col("width"), F.col("y") + F.col("height")
+    extent = rows.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lx"), F.min("y").alias("_ly"), F.max(right).alias("_hx"), F.max(low).alias("_hy"),
+        F.greatest(F.avg("width"), F.avg("height"), F.sqrt(F.avg(F.col("width").cast("double") * F.col("height")))).alias("_long"))
+    side = F.greatest(F.col("_hx") - F.col("_lx"), F.col("_hy") - F.col("_ly")) + 1
+    tile = F.when(F.col("_n") <= tile_boxes, side).otherwise(F.greatest(side / F.ceil(F.sqrt(F.col("_n") / tile_boxes)), 2 * F.col("_long"), F.lit(1.0)))
+    d = rows.join(extent.select("_g", "_lx", "_ly", tile.cast("double").alias("_tile"), F.when(F.col("_n") <= tile_boxes, 0.0).otherwise(shift).alias("_shift")), "_g")
+
+    def cell(v: Column, low: str) -> Column:
+        return F.floor((v - F.col(low)) / F.col("_tile") + F.col("_shift")).cast("int")
+
+    xs, ys = F.sequence(cell(F.col("x"), "_lx"), cell(right, "_lx")), F.sequence(cell(F.col("y"), "_ly"), cell(low, "_ly"))
+    d = d.withColumn("_tx", F.explode(xs)).withColumn("_ty", F.explode(ys))
+    own = (cell(F.col("x") + F.col("width") / 2, "_lx") == F.col("_tx")) & (cell(F.col("y") + F.col("height") / 2, "_ly") == F.col("_ty"))
+    return d.withColumn("_own", own).drop("_lx", "_ly", "_tile", "_shift")
+
+
+def _settled(rows: DataFrame, order: list[str], share: float, kind: str, tile_boxes: int, turn: int) -> DataFrame:
+    """The open boxes that are kept or stay open after a pass over the tiles in rank order; ``_state`` 1 or 0."""
+    tiled = _tiles(rows, tile_boxes, 0.5 * (turn % 2))
+    if turn:
+        live = tiled.where(F.col("_own") & (F.col("_state") == 0)).select("_g", "_tx", "_ty").distinct()
+        tiled = tiled.join(live, ["_g", "_tx", "_ty"], "left_semi")
+    names = rows.columns
 
     def run(batches):
-        import pandas as pd
-
-        group, kept = None, _Kept()
+        place, kept, maybe = None, _Kept(), _Kept()
         for batch in batches:
-            chosen = []
-            for row in zip(*[batch[k] for k in keys], *[batch[c].astype(float) for c in ("x", "y", "width", "height")]):
-                key, b = row[:-4], row[-4:]
-                if key != group:
-                    group, kept = key, _Kept()
-                ok = not kept.covers(b, share, kind == "iou")
-                if ok:
-                    kept.add(b)
-                chosen.append(ok)
-            yield batch.loc[pd.Series(chosen, index=batch.index, dtype=bool), names]
-
-    return _in_order(ranked, keys, [*[f"_o{i}" for i in range(len(rank))], "ord"]).mapInPandas(run, schema)
-
-
-def axis_clusters(items: DataFrame, keys: list[str]) -> DataFrame:
+            states = []
+            for g, tx, ty, own, state, *b in zip(*[batch[c] for c in ("_g", "_tx", "_ty", "_own", "_state")], *[batch[c].astype(float) for c in ("x", "y", "width", "height")]):
+                if place != (g, tx, ty):
+                    place, kept, maybe = (g, tx, ty), _Kept(), _Kept()
+                if state == 0 and not kept.covers(b, share, kind == "iou"):
+                    # Where an open box covers it, or where it may be covered in the tile of its centre, only later passes know.
+                    sure = own and not maybe.covers(b, share, kind == "iou")
+                    (kept if sure else maybe).add(b)
+                    states.append((1 if sure else 0) if own else -1)
+                else:
+                    if state:
+                        kept.add(b)
+                    states.append(-1)
+            yield batch.assign(_state=states).loc[[x >= 0 for x in states], names]
+
+    stream = tiled.repartition("_g", "_tx", "_ty").sortWithinPartitions("_g", "_tx", "_ty", *order)
+    return stream.mapInPandas(run, rows.schema)
+
+
+def greedy_keep(boxes: DataFrame, keys: list[str], rank: list[Column], share: float, kind: str = "contained", tile_boxes: int = 2000) -> DataFrame:
+    """Keep boxes in rank order, ties by ``ord``; drop one that an already kept box covers by more than ``share`` (0.5 or more).
+
+    A box that covers half of another holds its centre, so all that decides on
+    a box touches the tile of its centre. A tile is read once in rank order as
+    a stream: a box is dropped under a kept one, kept if no box that is still
+    open could drop it, else it stays open. Open boxes take further passes,
+    with the kept ones of their tiles; a small group is one tile and settled
+    in the first. Runs its passes when called; boxes are written between them.
+    """
+    if share < 0.5:
+        raise ValueError("a share below one half is not decided at the centre")
+    order = [*[f"_o{i}" for i in range(len(rank))], "ord", "_id"]
+    rows = boxes.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(rank)], F.to_json(F.struct(*keys)).alias("_g"), F.monotonically_increasing_id().alias("_id"), F.lit(0).alias("_state"))
+    rows, turn, done = staged(rows, "boxes"), 0, []
+    while True:
+        new = staged(_settled(rows, order, share, kind, tile_boxes, turn), "boxes-settled")
+        done.append(new.where(F.col("_state") == 1))
+        left = new.where(F.col("_state") == 0)
+        kept = done[0]
+        for more in done[1:]:
+            kept = kept.unionByName(more)
+        if left.isEmpty():
+            return kept.select(*boxes.columns)
+        rows, turn = left.unionByName(kept.join(left.select("_g").distinct(), "_g", "left_semi").select(*left.columns)), turn + 1
+
+
+def axis_clusters(items: DataFrame, keys: list[str], block: int = 512) -> DataFrame:
     """Cluster boxes along their group's ``axis``; adds ``cluster`` (0, 1, ...).
 
     Boxes come by start. One joins the last cluster when it overlaps any of its
-    members by half of the shorter one, else it opens the next. A group is read
-    once in that order, and only members that have not ended yet are held.
+    members by half of the shorter one, else it opens the next. With members
+    (s, e) that start no later, that is so if the farthest end reaches half of
+    the box, or the farthest middle its start: two running maxima. A cluster is
+    opened only by a box that no earlier member reached, so the maxima over all
+    boxes before say the same as those over the last cluster. Boxes without
+    length overlap nothing; they part the row, and maxima begin anew after one.
     """
     along = F.col("axis") == "x"
     start = F.when(along, F.col("x")).otherwise(F.col("y")).cast("double")
     size = F.when(along, F.col("width")).otherwise(F.col("height")).cast("double")
     minor = F.when(along, F.col("y") + F.col("height") / 2).otherwise(F.col("x") + F.col("width") / 2).cast("double")
     rows = items.withColumn("ord", F.col("ord").cast("bigint")).select("*", start.alias("_s"), (start + size).alias("_e"), minor.alias("_m"))
-    names = [c for c in rows.columns if c not in ("_s", "_e", "_m")]
-
-    def run(batches):
-        group, number, live = None, -1, []
-        for batch in batches:
-            out = []
-            for row in zip(*[batch[k] for k in keys], batch["_s"], batch["_e"]):
-                key, s, e = row[:-2], row[-2], row[-1]
-                if key != group:
-                    group, number, live = key, -1, []
-                live = [m for m in live if m[1] > s]
-                if not any((min(e, m[1]) - max(s, m[0])) >= K.GROUP_OVERLAP * min(e - s, m[1] - m[0]) > 0 for m in live):
-                    number, live = number + 1, []
-                live.append((s, e))
-                out.append(number)
-            yield batch[names].assign(cluster=out)
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names], "cluster int"])
-    return _in_order(rows, keys, ["_s", "_m", "ord"]).mapInPandas(run, schema)
+    r, at = K.GROUP_OVERLAP, [*keys, "_b"]
+    long = F.col("_e") > F.col("_s")
+    middle = (1 - r) * F.col("_e") + r * F.col("_s")
+    rows = rows.withColumn("_b", F.floor(F.col("_s") / block))
+    local = Window.partitionBy(*at).orderBy("_s", "_m", "ord")
+    inside = local.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def part_of(part: Column, v: Column) -> Column:
+        return F.struct(part.alias("part"), v.alias("v"))
+
+    # Within a bucket: boxes without length so far, and the maxima since the last of them.
+    here = {"_end": F.when(long, part_of(F.col("_part"), F.col("_e"))), "_mid": F.when(long, part_of(F.col("_part"), middle))}
+    rows = rows.withColumn("_part", F.sum(F.when(long, 0).otherwise(1)).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({f"_l{c}": F.max(v).over(inside) for c, v in here.items()})
+    # Across buckets: the same of all buckets before, a row for each bucket.
+    sums = rows.groupBy(*at).agg(F.max("_part").alias("_parts"), *[F.max(v).alias(c) for c, v in here.items()])
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_parts").over(before), F.lit(0)))
+    sums = sums.select(*at, "_base", *[F.max(F.when(F.col(c).isNotNull(), part_of(F.col("_base") + F.col(f"{c}.part"), F.col(f"{c}.v")))).over(before).alias(f"_c{c}") for c in here])
+    rows = rows.join(sums, at).withColumn("_part", F.col("_base") + F.col("_part"))
+    best = {c: F.greatest(F.when(F.col(f"_l{c}").isNotNull(), part_of(F.col("_base") + F.col(f"_l{c}.part"), F.col(f"_l{c}.v"))), F.col(f"_c{c}")) for c in here}
+    rows = rows.withColumns(best)
+    reached = [(F.col(f"{c}.part") == F.col("_part")) & (F.col(f"{c}.v") >= to) for c, to in (("_end", F.col("_s") + r * (F.col("_e") - F.col("_s"))), ("_mid", F.col("_s")))]
+    opens = F.when(F.coalesce(long & (reached[0] | reached[1]), F.lit(False)), 0).otherwise(1)
+    rows = staged(rows.select(*items.columns, "_s", "_m", "_b", opens.alias("_opens")), "axis-openings")
+    counts = rows.groupBy(*at).agg(F.sum("_opens").alias("_n"))
+    counts = counts.select(*at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.sum("_opens").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_number", number).join(counts, at).select(*items.columns, (F.col("_before") + F.col("_number") - 1).cast("int").alias("cluster"))
 
 
 def free_band(occupied: DataFrame, keys: list[str], block: int = 512) -> DataFrame:
@@ -297,5 +365,5 @@ def reading_order(items: DataFrame, keys: list[str]) -> DataFrame:
     return bucketed_rank(d, keys, F.floor(F.col("band") / 16), [F.col("band"), F.col("x"), F.col("ord")], "rank").drop("_low")
 
 
-__all__ = ["box_pairs", "overlaps", "union_coverage", "dead_bands", "text_share", "greedy_keep", "axis_clusters", "free_band",
+__all__ = ["box_pairs", "overlaps", "union_coverage", "dead_bands", "text_share", "without_plates", "greedy_keep", "axis_clusters", "free_band",
            "union_box", "reading_axis", "reading_order", "ordered_list"]

@@ -13,6 +13,7 @@ from ..operators import projects as P
 from ..operators import quality as Q
 from ..operators import spatial as S2
 from ..operators import art_reads as A
+from ..session import staged
 from .base import Tables, big, ctes, query
 
 V = ["variant_id"]
@@ -247,7 +248,7 @@ def _steps(source: str, order: str, init: str, step: str, out: str) -> str:
     "list_append(st, {'ord': s.ord, 's0': s.s0, 'e0': s.e0, 'c': list_max(list_transform(st, lambda z: z.c)) + CASE WHEN " + _CL_HIT + " THEN 0 ELSE 1 END})",
     "SELECT image_id AS variant_id, k.ord, k.c AS cluster FROM (SELECT image_id, unnest(st) AS k FROM fin)")).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t: Tables):
-    p = t.bind("placements")
+    p = staged(t.bind("placements").select("variant_id", "ord", "canvas_w", "canvas_h", "x", "y", "width", "height"), "axis-boxes")
     return S2.axis_clusters(p.join(S2.reading_axis(p, V), V).select("variant_id", "ord", "axis", "x", "y", "width", "height"), V).select("variant_id", "ord", "cluster")
 
 
@@ -278,12 +279,18 @@ def _keep_sql(source: str, order: str, cond: str) -> str:
 _IN = "greatest(0, least(s.x + s.width, k.x + k.width) - greatest(s.x, k.x))::BIGINT * greatest(0, least(s.y + s.height, k.y + k.height) - greatest(s.y, k.y))"
 
 
-@query("containment_suppression", "JOI-26", _keep_sql("SELECT variant_id AS image_id, ord, x, y, width, height FROM placements WHERE type = 'image' AND width >= 20 AND height >= 20",
-                                                      "-width::BIGINT * height, ord", f"{_IN} > 0.6 * greatest(1, s.width::BIGINT * s.height)"))
+_NO_PLATES = f"""SELECT a.variant_id AS image_id, a.ord, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.width) AS width, any_value(a.height) AS height FROM placements a
+ LEFT JOIN placements b ON b.variant_id = a.variant_id AND b.type = 'text' WHERE a.type = 'image' AND a.width >= 20 AND a.height >= 20 GROUP BY a.variant_id, a.ord
+ HAVING least(1.0, sum(CASE WHEN b.ord IS NULL THEN 0 ELSE {_IX} END) / any_value(greatest(1, a.width::BIGINT * a.height))) < {K.TEXT_PLATE_RATIO}"""
+
+
+@query("containment_suppression", "JOI-26", _keep_sql(_NO_PLATES, "-width::BIGINT * height, ord", f"{_IN} > 0.6 * greatest(1, s.width::BIGINT * s.height)"))
 def _(t: Tables):
-    p = t.bind("placements").where((F.col("type") == "image") & (F.col("width") >= 20) & (F.col("height") >= 20)).withColumnRenamed("variant_id", "image_id")
+    cols = ["image_id", "ord", "x", "y", "width", "height"]
+    p = staged(t.bind("placements").withColumnRenamed("variant_id", "image_id").select(*cols, "type"), "image-boxes")
+    images = p.where((F.col("type") == "image") & (F.col("width") >= 20) & (F.col("height") >= 20)).select(*cols)
     area = -F.col("width").cast("bigint") * F.col("height")
-    return S2.greedy_keep(p.select("image_id", "ord", "x", "y", "width", "height"), ["image_id"], [area], 0.6)
+    return S2.greedy_keep(S2.without_plates(images, p.where(F.col("type") == "text").select(*cols), ["image_id"]), ["image_id"], [area], 0.6)
 
 
 @query("iou_deduplication", "JOI-25", _keep_sql("SELECT variant_id AS image_id, ord, CAST(floor(x / 200) AS INT) AS x, CAST(floor(y / 200) AS INT) AS y, 2 AS width, 2 AS height FROM placements",

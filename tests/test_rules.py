@@ -41,9 +41,9 @@ def test_box_pairs_find_every_pair_once(spark, n):
 
 
 @pytest.mark.parametrize("limit", [1000, 5])
-def test_greedy_suppression_folded_and_in_rounds(spark, limit):
+def test_greedy_suppression_in_one_tile_and_in_many(spark, limit):
     rows = boxes(2, 60, "a", 400) + boxes(3, 40, "b", 300)
-    got = {(r.g, r.ord) for r in SP.greedy_keep(spark.createDataFrame(rows, BOX), ["g"], [-F.col("width").cast("bigint") * F.col("height")], 0.6).collect()}
+    got = {(r.g, r.ord) for r in SP.greedy_keep(spark.createDataFrame(rows, BOX), ["g"], [-F.col("width").cast("bigint") * F.col("height")], 0.6, tile_boxes=limit).collect()}
     want = set()
     for g in "ab":
         kept = []
@@ -54,6 +54,63 @@ def test_greedy_suppression_folded_and_in_rounds(spark, limit):
     assert got == want
 
 
+def plain_keep(rows, share, kind):
+    """Kept ord numbers of (ord, x, y, w, h) in rank order, by arrays."""
+    import numpy as np
+
+    kept = np.zeros((0, 4))
+    out = []
+    for o, *b in rows:
+        w = np.minimum(b[0] + b[2], kept[:, 0] + kept[:, 2]) - np.maximum(b[0], kept[:, 0])
+        h = np.minimum(b[1] + b[3], kept[:, 1] + kept[:, 3]) - np.maximum(b[1], kept[:, 1])
+        inside = np.maximum(0, w) * np.maximum(0, h)
+        whole = b[2] * b[3] + kept[:, 2] * kept[:, 3] - inside if kind == "iou" else max(1, b[2] * b[3])
+        if not (inside > share * whole).any():
+            kept = np.vstack([kept, b])
+            out.append(o)
+    return set(out)
+
+
+@pytest.mark.parametrize("kind, share", [("contained", 0.6), ("iou", 0.7), ("contained", 0.5)])
+def test_greedy_suppression_of_a_hot_group(spark, kind, share):
+    """A group with a third of all boxes is dealt to tiles of like size and gives what a plain fold gives."""
+    hot = boxes(11, 9000, "hot", 4000, 90) + [("hot", 9000, 0, 0, 4100, 4100), ("hot", 9001, 10, 10, 4000, 20)] + [("hot", 9002 + i, 77, 77, 60, 60) for i in range(300)]
+    small = [b for k in range(450) for b in boxes(k, 40, f"g{k}", 900, 200)]
+    df = spark.createDataFrame(hot + small, BOX).withColumn("g", F.when(F.col("g") != "g3", F.col("g")))  # a null group is a group
+    got = SP.greedy_keep(df, ["g"], [-F.col("width").cast("bigint") * F.col("height")], share, kind, tile_boxes=300)
+    assert got.columns == df.columns
+    kept = {}
+    for r in got.collect():
+        kept.setdefault(r.g or "g3", set()).add(r.ord)
+    groups = {}
+    for r in hot + small:
+        groups.setdefault(r[0], []).append(r[1:])
+    for g, rows in groups.items():
+        assert kept[g] == plain_keep(sorted(rows, key=lambda r: (-r[3] * r[4], r[0])), share, kind), g
+    tiled = SP._tiles(df.withColumn("_g", F.coalesce("g", F.lit("g3"))), 300, 0.0).groupBy("_g", "_tx", "_ty").count().collect()
+    assert max(r["count"] for r in tiled) < 1200 and sum(r["count"] for r in tiled if r._g == "hot") < 4 * len(hot)
+    with pytest.raises(ValueError):
+        SP.greedy_keep(df, ["g"], [F.col("ord")], 0.4)
+
+
+def test_axis_clusters_of_a_hot_group_with_boxes_without_length(spark):
+    """Thousands of boxes under one as wide as the canvas, empty ones among them, against a plain fold over all members."""
+    rnd = random.Random(8)
+    rows = [("a", 0, 0, 0, 30000, 10)] + [("a", i, rnd.randrange(60000), rnd.randrange(50), rnd.choice([0, 1, 2, 7, 30, 200]), 10) for i in range(1, 3000)]
+    rows += [("b", i, 5 * i, 0, rnd.choice([0, 4, 9]), 10) for i in range(200)]
+    got = {(r.g, r.ord): r.cluster for r in SP.axis_clusters(spark.createDataFrame(rows, BOX).withColumn("axis", F.lit("x")), ["g"]).collect()}
+    want = {}
+    for g in "ab":
+        number, members = -1, []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[3] + r[5] / 2, r[1])):
+            s, e = r[2], r[2] + r[4]
+            if not any(min(e, b) - max(s, a) > 0 and min(e, b) - max(s, a) >= 0.5 * min(e - s, b - a) for a, b in members):
+                number, members = number + 1, []
+            members.append((s, e))
+            want[g, r[1]] = number
+    assert got == want
+
+
 def test_axis_clusters_against_plain_fold(spark):
     rows = boxes(4, 80, "a", 3000, 150)
     df = spark.createDataFrame(rows, BOX).withColumn("axis", F.lit("x"))
