@@ -2,8 +2,10 @@
 
 Exact keys join by equality. Only tokens without an exact hit take part in the
 substring match, and they meet photo names through shared letter groups: a
-shorter text can lie inside a longer one only if its first letters occur there,
-so every pair is found without comparing all pairs.
+shorter text can lie inside a longer one only if all its letter groups occur
+there, so it is enough that it meets the texts with the rarest of them. Groups
+that many texts share (a prefix that all names of a client begin with) then
+join nothing, and a text with a group that no longer one has is done at once.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from ..session import staged
 from .matrix import product_count
 
 GRAMS = (3, 6, 12)
+#: Texts with one letter group that a task compares with one that asks for it.
+SLICE = 2000
 
 
 def tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,16 +42,34 @@ def _pieces(c: str, size: int) -> Column:
     return F.when(F.length(c) >= size, every).otherwise(F.array().cast("array<string>"))
 
 
+def _hashed(c: str, size: int) -> Column:
+    """The same as numbers; two stretches of one number only make a pair that the texts then deny."""
+    return F.transform(_pieces(c, size), lambda x: F.xxhash64(x))
+
+
 def _contained(short: DataFrame, s: str, long: DataFrame, l: str, scope: list[str]) -> DataFrame:
-    """Pairs with ``s`` inside ``l``: first letters of ``s`` against all letter groups of ``l``."""
+    """Pairs with ``s`` inside ``l``: the letter group of ``s`` that the fewest ``l`` have against all letter groups of ``l``.
+
+    Where even the rarest group is in many texts, the texts that have it and
+    those that look for it are spread by salt.
+    """
     n = F.length(s)
-    size = F.lit(GRAMS[0])
-    for g in GRAMS[1:]:
-        size = F.when(n >= g, F.lit(g)).otherwise(size)
-    left = short.where(n >= GRAMS[0]).withColumn("_g", size).withColumn("_gram", F.substr(F.col(s), F.lit(1), F.col("_g")))
-    groups = F.array_distinct(F.flatten(F.array(*[_pieces(l, g) for g in GRAMS])))
-    right = long.where(F.length(l) >= GRAMS[0]).withColumn("_gram", F.explode(groups))
-    return left.join(right, [*scope, "_gram"]).where(F.contains(F.col(l), F.col(s))).select(*scope, s, l)
+    every = F.array().cast("array<bigint>")
+    for g in GRAMS:
+        every = F.when(n >= g, F.array_distinct(_hashed(s, g))).otherwise(every)
+    asked = short.where(n >= GRAMS[0]).select(*scope, s, F.explode(every).alias("_gram"), F.size(every).alias("_asked"))
+    groups = F.array_distinct(F.flatten(F.array(*[_hashed(l, g) for g in GRAMS])))
+    right = long.where(F.length(l) >= GRAMS[0]).select(*scope, l, F.explode(groups).alias("_gram"))
+    counts = right.groupBy(*scope, "_gram").agg(F.count(F.lit(1)).alias("_held"))
+    rarest = asked.join(counts, [*scope, "_gram"]).groupBy(*scope, s).agg(
+        F.min(F.struct("_held", "_gram")).alias("_r"), F.count(F.lit(1)).alias("_found"), F.first("_asked").alias("_asked"))
+    # Texts of a common group come in slices of SLICE, told apart by their hash; one that asks goes to each slice.
+    slices = F.ceil(F.col("_held") / SLICE).cast("int")
+    left = rarest.where(F.col("_found") == F.col("_asked")).select(*scope, s, F.col("_r._gram").alias("_gram"), F.col("_r._held").alias("_held"))
+    wanted = left.select(*scope, "_gram", slices.alias("_slices")).distinct()
+    right = right.join(wanted, [*scope, "_gram"]).withColumn("_slice", F.pmod(F.xxhash64(l), F.col("_slices")).cast("int")).drop("_slices")
+    left = left.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_held")
+    return left.join(right, [*scope, "_gram", "_slice"]).where(F.contains(F.col(l), F.col(s))).select(*scope, s, l)
 
 
 def _fuzzy_pairs(keys_left: DataFrame, marks: DataFrame, scope: list[str]) -> DataFrame:
@@ -59,7 +81,7 @@ def _fuzzy_pairs(keys_left: DataFrame, marks: DataFrame, scope: list[str]) -> Da
 
 
 def _tiny(keys_left: DataFrame, marks: DataFrame, scope: list[str]) -> DataFrame:
-    small = marks.where(F.length("marker") < GRAMS[0])
+    small = marks.where(F.length("marker") < GRAMS[0]).distinct()
     pieces = F.array_distinct(F.flatten(F.array(_pieces("key", 1), _pieces("key", 2))))
     return keys_left.where(F.length("key") >= GRAMS[0]).withColumn("marker", F.explode(pieces)).join(
         small, [*scope, "marker"], "left_semi").select(*scope, "key", "marker")

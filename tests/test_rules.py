@@ -267,3 +267,13 @@ def test_hot_group_gives_the_same_pairs(spark):
     a, b = (df.select("g", *[F.col(c).alias(p + c) for c in ("ord", "x", "y", "width", "height")]) for p in ("a_", "b_"))
     plain = a.join(b, "g").where("a_ord < b_ord AND a_x <= b_x + b_width AND b_x <= a_x + a_width AND a_y <= b_y + b_height AND b_y <= a_y + a_height").select("g", "a_ord", "b_ord")
     assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+def test_contained_names_of_one_prefix_meet_by_their_rarest_letters(spark):
+    """20,000 names that all begin alike, with numbers; every name inside another is found, and few pairs are compared."""
+    rnd = random.Random(4)
+    longer = [("c", f"campana navidad tienda {rnd.randrange(10**6)} frente {i % 7}") for i in range(20000)]
+    shorter = [("c", x[: rnd.randrange(24, len(x))]) for _, x in rnd.sample(longer, 300)] + [("c", "campana navidad tienda zz"), ("c", "tienda 1"), ("d", "tienda 1"), ("c", "ana"), ("c", "a")]
+    left, right = spark.createDataFrame(sorted(set(shorter)), "g string, s string"), spark.createDataFrame(sorted(set(longer)), "g string, l string")
+    got = {tuple(r) for r in P._contained(left, "s", right, "l", ["g"]).collect()}
+    assert got == {(g, s, l) for g, s in set(shorter) for h, l in set(longer) if g == h and len(s) >= 3 and s in l}
