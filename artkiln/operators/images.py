@@ -217,7 +217,12 @@ def similar_signatures(sigs: DataFrame, scope: list[str], bits: int = K.NEAR_DUP
 
 
 def repeated_images(images: DataFrame, scope: list[str], piece: str = "piece_id") -> DataFrame:
-    """Images whose look (or very file) also occurs in another piece of their scope.
+    """Product candidates, and whether their look (or very file) also occurs in another piece of their scope.
+
+    A candidate is a cut-out (``alpha``, a file of its own) that takes
+    ``PIECE_PRODUCT_RATIO`` of its piece (``ratio``). It is held against all
+    cut-outs of the other pieces, of whatever size: a small logo of one piece is
+    the large one of another. In a scope of one piece nothing is repeated.
 
     Copies are folded to one row per signature with the range of their pieces,
     so a look that fills a third of the table costs one row. "Occurs in another
@@ -225,7 +230,7 @@ def repeated_images(images: DataFrame, scope: list[str], piece: str = "piece_id"
     """
     look = ["h0", "h1", "h2", "h3", "mean_r", "mean_g", "mean_b", "aspect"]
     key = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in look]), 256)
-    d = images.withColumn("sig", key)
+    d = images.where(F.col("alpha") & (F.col("xref") > 0)).withColumn("sig", key)
     folded = d.groupBy(*scope, "sig").agg(*[F.first(c).alias(c) for c in look], F.min(piece).alias("lo"), F.max(piece).alias("hi"))
     pairs = similar_signatures(folded, scope).select(*scope, "a_sig", "b_sig")
     both = pairs.unionByName(pairs.select(*scope, F.col("a_sig").alias("b_sig"), F.col("b_sig").alias("a_sig")))
@@ -233,6 +238,7 @@ def repeated_images(images: DataFrame, scope: list[str], piece: str = "piece_id"
     near = both.join(ranges, [*scope, "b_sig"]).select(*scope, F.col("a_sig").alias("sig"), "lo", "hi")
     reach = near.unionByName(folded.select(*scope, "sig", "lo", "hi")).groupBy(*scope, "sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     files = d.groupBy(*scope, "xref").agg(F.min(piece).alias("flo"), F.max(piece).alias("fhi"))
-    j = d.join(reach, [*scope, "sig"]).join(files, [*scope, "xref"])
+    wanted = d.where(F.col("ratio").between(*K.PIECE_PRODUCT_RATIO))
+    j = wanted.join(reach, [*scope, "sig"]).join(files, [*scope, "xref"])
     other = (F.col("lo") != F.col(piece)) | (F.col("hi") != F.col(piece)) | (F.col("flo") != F.col(piece)) | (F.col("fhi") != F.col(piece))
     return j.select(*images.columns, other.alias("repeated"))
