@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as C
@@ -11,6 +13,9 @@ from ..operators.plugins import detect_with, score_with
 from ..sources import files as S
 from ..sources import sinks as O
 from ..streaming import jobs as J
+from ..session import shared_folder
+from ..sources import store as ST
+from ..streaming import jobs as J
 from .base import Tables, big, ctes, query
 
 _NOW = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -236,3 +241,32 @@ def _(t: Tables):
         return pd.DataFrame({"image_id": batch["page_id"].astype(str), "ord": 1, "x": 0, "y": 0, "width": n, "height": n, "score": 0.5, "label": "region", "kind": "region"})
 
     return detect_with(t.pages.select("page_id", "html"), detector).select("image_id", "ord", "width", "kind")
+
+
+@query("redeliveries", "STR-02", ctes("jobs") + """, d AS (SELECT *, max(CASE WHEN state = 'COMPLETED' THEN ts END) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM (SELECT task_id, event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'PENDING' ELSE state END AS state FROM jobs))
+ SELECT task_id, event_id, ts, NOT coalesce(ts <= done + INTERVAL 36 HOUR, FALSE) AS run FROM d WHERE state = 'PENDING'""")
+def _(t: Tables):
+    j = t.bind("jobs").withColumn("state", F.when(F.col("event_id") % 3 == 0, "PENDING").otherwise(F.col("state")))
+    stream = J.replayed(j.select("task_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "state"), "job-events")
+    return J.drained(J.deliveries(stream, hours=36), "redeliveries").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stored_records", "SRC-14 SNK-05", """SELECT o_orderkey, 'c' || (o_custkey % 20) AS client_id, CAST(o_orderkey % 5 AS VARCHAR) AS campaign_id, o_orderstatus AS state, CAST(2 AS BIGINT) AS version FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderstatus IN ('F', 'P') AND o_custkey % 20 IN (3, 4)""")
+def _(t: Tables):
+    k, client = F.col("o_orderkey"), F.concat(F.lit("c"), (F.col("o_custkey") % 20).cast("string"))
+    records = t.orders.select("o_orderkey", client.alias("client_id"), (k % 5).alias("campaign_id"), F.when(k % 11 == 0, "otro").otherwise(client).alias("doc_client"), F.col("o_orderstatus").alias("state"))
+    path = f"{shared_folder(t.spark)}/{t.spark.sparkContext.applicationId}/record-store-{uuid.uuid4().hex}"
+    ST.replace_records(records.where(k % 2 == 0).withColumn("version", F.lit(1)), path)
+    ST.replace_records(records.withColumn("version", F.lit(2)), path)
+    kept = ST.read_store(t.spark, path, "o_orderkey BIGINT, state STRING, version BIGINT", ["F", "P"])
+    return kept.where(F.col("client_id").isin("c3", "c4")).select("o_orderkey", "client_id", "campaign_id", "state", "version")
+
+
+@query("library_order", "SRC-15", """SELECT 'brand' AS kind, CAST(c_custkey AS BIGINT) AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(n), c_custkey) AS place FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END || (c_custkey % 97) AS n FROM customer)
+ UNION ALL SELECT 'campaign', o_orderkey, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderdate DESC, o_orderkey) FROM orders""")
+def _(t: Tables):
+    segment = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    brands = t.customer.select("c_nationkey", "c_custkey", F.concat(segment, (F.col("c_custkey") % 97).cast("string")).alias("name"))
+    campaigns = t.orders.select((F.col("o_custkey") % 20).alias("client_id"), "o_orderkey", F.col("o_orderdate").alias("created_at"))
+    a = ST.by_name(brands, ["c_nationkey"], "name", "c_custkey").select(F.lit("brand").alias("kind"), F.col("c_custkey").cast("bigint").alias("id"), "place")
+    return a.unionByName(ST.newest_first(campaigns, ["client_id"], "created_at", "o_orderkey").select(F.lit("campaign").alias("kind"), F.col("o_orderkey").cast("bigint").alias("id"), "place"))

@@ -31,11 +31,15 @@ def manifest(pieces: DataFrame) -> DataFrame:
         F.array_join("warnings", " | ").alias("avisos"))
 
 
+#: A file that begins with it is read as UTF-8.
+BOM = "\ufeff"
+
+
 def write_manifest(pieces: DataFrame, path: str, per_batch: list[str] | None = None) -> None:
-    """CSV with header. With ``per_batch`` each batch gets its own folder and tasks stay spread."""
-    out = manifest(pieces)
+    """CSV with header and byte order mark, as spreadsheets expect. With ``per_batch`` each batch gets its own folder and tasks stay spread."""
+    out = manifest(pieces).withColumnRenamed("fila", f"{BOM}fila")
     if per_batch:
-        keyed = pieces.select(*[F.col(c) for c in per_batch], *manifest_columns())
+        keyed = pieces.select(*[F.col(c) for c in per_batch], *manifest_columns()).withColumnRenamed("fila", f"{BOM}fila")
         keyed.write.mode("overwrite").partitionBy(*per_batch).option("encoding", "UTF-8").csv(path, header=True)
     else:
         out.write.mode("overwrite").csv(path, header=True)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lifecycle import latest_jobs
+from ..session import shared_folder
 
 
 def job_states(changes: DataFrame) -> DataFrame:
@@ -17,28 +20,54 @@ def job_states(changes: DataFrame) -> DataFrame:
     return latest_jobs(changes)
 
 
-def deliveries(events: DataFrame) -> DataFrame:
-    """Each delivery (state ``PENDING``) of a task with ``run``: false once the task is COMPLETED.
+def deliveries(events: DataFrame, hours: int = 24 * 7) -> DataFrame:
+    """Each delivery (state ``PENDING``) of a task with ``run``: false if the task was COMPLETED no more than ``hours`` before.
 
-    A task that failed or is still open runs again. The state is one flag a
-    task; it does not expire, for a redelivery may come at any time.
+    A task that failed or is still open runs again. The state is the time of
+    the task's last completion. It leaves ``hours`` after the task was last
+    heard of, by the clock and not by a watermark: no delivery is dropped for
+    being late. A stream that stands still for so long runs such tasks again.
     """
+    keep = hours * 3_600_000_000
+
     def step(key, batches, state):
         import pandas as pd
 
-        done = state.get[0] if state.exists else False
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for at, event_id, kind in zip(rows["ts"], rows["event_id"], rows["state"]):
+        for ts, event_id, kind in zip(rows["ts"], rows["event_id"], rows["state"]):
+            at = ts.value // 1000
             if kind == "PENDING":
-                out.append((key[0], event_id, at, not done))
+                out.append((key[0], event_id, ts, done is None or at - done > keep))
             elif kind == "COMPLETED":
-                done = True
-        state.update((done,))
+                done = at
+        if done is not None:
+            state.update((done,))
+            state.setTimeoutDuration(keep // 1000)
         yield pd.DataFrame(out, columns=["task_id", "event_id", "ts", "run"])
 
-    return events.select("task_id", "event_id", "ts", "state").groupBy("task_id").applyInPandasWithState(
-        step, "task_id STRING, event_id BIGINT, ts TIMESTAMP, run BOOLEAN", "done BOOLEAN", "append", "NoTimeout")
+    return events.select("task_id", "event_id", "ts", "state").groupBy("task_id").applyInPandasWithState(step, "task_id STRING, event_id BIGINT, ts TIMESTAMP, run BOOLEAN", "done BIGINT", "append", "ProcessingTimeTimeout")
+
+
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """The rows that a stream gives for all that its source holds now, by files of the shared folder, as its checkpoint is."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def replayed(rows: DataFrame, label: str) -> DataFrame:
+    """Given rows as a stream of files."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 def once_per_content(uploads: DataFrame, delay: str = "1 hour") -> DataFrame:

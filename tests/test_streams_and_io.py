@@ -134,3 +134,36 @@ def test_user_detector(spark):
         return pd.DataFrame({"image_id": batch["image_id"], "ord": 1, "x": 0, "y": 0, "width": 9, "height": 9, "score": 0.5, "label": "x", "kind": "region"})
 
     assert detect_with(spark.createDataFrame([("a",), ("b",)], "image_id string"), detector).count() == 2
+
+
+def test_a_failing_write_leaves_the_committed_records(spark, tmp_path):
+    from artkiln.sources import store
+
+    path, schema = str(tmp_path / "store"), "id BIGINT, state STRING"
+    assert store.read_store(spark, path, schema).count() == 0
+    rows = spark.createDataFrame([(1, "x", "a", 7, "a"), (2, "y", "a", 8, "a"), (3, "x", "b", 7, "z")], "id long, state string, client_id string, campaign_id long, doc_client string")
+    store.replace_records(rows, path)
+    broken = rows.withColumn("id", F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise(F.col("id") + 10).cast("long"))
+    try:
+        store.replace_records(broken, path)
+        raise AssertionError("the write should fail")
+    except Exception as e:  # noqa: BLE001
+        assert "no" in str(e)
+    kept = store.read_store(spark, path, schema)
+    assert sorted(r.id for r in kept.collect()) == [1, 2]  # record 3 names another tenant than its folder
+    one = store.read_store(spark, path, schema, ["x"]).where("client_id = 'a' AND campaign_id = '7'")
+    assert [r.id for r in one.collect()] == [1] and "PartitionFilters: [isnotnull(client_id" in one._jdf.queryExecution().toString()
+    store.replace_records(rows.where("id = 2"), path)
+    assert [r.id for r in store.read_store(spark, path, schema).collect()] == [2]
+
+
+def test_completions_are_forgotten_after_their_time(spark, tmp_path):
+    """In one batch or in several."""
+    rows = [("a", 1, 0, "PENDING"), ("a", 2, 1, "COMPLETED"), ("a", 3, 30, "PENDING"), ("a", 4, 80, "PENDING"), ("b", 5, 400, "PENDING"), ("a", 6, 401, "COMPLETED"), ("a", 7, 402, "PENDING"), ("b", 8, 900, "PENDING")]
+    for n in (8, 1):
+        folder = tmp_path / f"jobs{n}"
+        for i in range(0, 8, n):
+            spark.createDataFrame(rows[i : i + n], "task_id string, event_id bigint, m int, state string").selectExpr("task_id", "event_id", "timestamp'2024-01-01' + make_interval(0,0,0,0,0,m) ts", "state").coalesce(1).write.parquet(str(folder / f"p{i}"))
+        files_ = spark.readStream.schema("task_id string, event_id bigint, ts timestamp, state string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+        run(J.deliveries(files_, hours=1), f"ttl{n}", tmp_path)
+        assert {(r.event_id, r.run) for r in spark.table(f"ttl{n}").collect()} == {(1, True), (3, False), (4, True), (5, True), (7, False), (8, True)}
