@@ -20,13 +20,13 @@ def job_states(changes: DataFrame) -> DataFrame:
     return latest_jobs(changes)
 
 
-def deliveries(events: DataFrame, hours: int = 24 * 7) -> DataFrame:
+def deliveries(events: DataFrame, hours: int = 24 * 7, delay: str | None = None) -> DataFrame:
     """Each delivery (state ``PENDING``) of a task with ``run``: false if the task was COMPLETED no more than ``hours`` before.
 
     A task that failed or is still open runs again. The state is the time of
-    the task's last completion. It leaves ``hours`` after the task was last
-    heard of, by the clock and not by a watermark: no delivery is dropped for
-    being late. A stream that stands still for so long runs such tasks again.
+    the task's last completion; it leaves once the watermark is ``hours`` past
+    that time, when it could not change an answer any more. Rows that come
+    later than ``delay`` (``hours``, if not given) are not judged.
     """
     keep = hours * 3_600_000_000
 
@@ -47,10 +47,11 @@ def deliveries(events: DataFrame, hours: int = 24 * 7) -> DataFrame:
                 done = at
         if done is not None:
             state.update((done,))
-            state.setTimeoutDuration(keep // 1000)
+            state.setTimeoutTimestamp(max((done + keep) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["task_id", "event_id", "ts", "run"])
 
-    return events.select("task_id", "event_id", "ts", "state").groupBy("task_id").applyInPandasWithState(step, "task_id STRING, event_id BIGINT, ts TIMESTAMP, run BOOLEAN", "done BIGINT", "append", "ProcessingTimeTimeout")
+    live = events.select("task_id", "event_id", "ts", "state").withWatermark("ts", delay or f"{hours} hours")
+    return live.groupBy("task_id").applyInPandasWithState(step, "task_id STRING, event_id BIGINT, ts TIMESTAMP, run BOOLEAN", "done BIGINT", "append", "EventTimeTimeout")
 
 
 def drained(stream: DataFrame, label: str) -> DataFrame:
