@@ -43,7 +43,7 @@ REACH = (3, 24)
 #: Bits of a frontier's array for each phrase, and at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Bytes of text handled at once.
-GROUP = 8 << 20
+GROUP = 4 << 20
 
 _BREAK, _BLANK = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -69,9 +69,9 @@ class Words:
         names = langs.dictionary_encode()
         self.langs = names.dictionary.to_pylist()
         self.lang = names.indices.to_numpy()[doc]
-        breaks = np.concatenate([[0], np.cumsum(kind == _BREAK)])
+        breaks = np.searchsorted(np.flatnonzero(kind == _BREAK), starts)
         self.next = np.zeros(len(starts), bool)
-        self.next[:-1] = (doc[1:] == doc[:-1]) & (breaks[starts[1:]] == breaks[starts[:-1]])  # a word holds no break
+        self.next[:-1] = (doc[1:] == doc[:-1]) & (breaks[1:] == breaks[:-1])  # a word holds no break
 
     def hashes(self) -> np.ndarray:
         """Of each word with its language."""
