@@ -30,6 +30,24 @@ def test_archives_give_back_every_record(spark):
     assert warc.read(warc.write(pages(spark).limit(0))).count() == 0
 
 
+def test_rows_of_one_page_id_keep_their_own_payloads(spark):
+    """Each row of a repeated id is a record with the verdict of its payload, and every payload is in an archive."""
+    rows = [(1, "AAA"), (2, "BBB"), (5, "AAA"), (5, "CCC"), (6, "AAA"), (6, "BBB"), (6, "BBB"), (7, None)]
+    got = warc.read(warc.write(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string"))).collect()
+    first = {}
+    for i, h in rows:
+        first.setdefault(h or "", i)
+    want = [(i, warc.base32_sha1((h or "").encode()), None if first[h or ""] == i else first[h or ""]) for i, h in rows]
+    assert sorted(str((r.page_id, r.payload_digest, r.refers_to)) for r in got) == sorted(map(str, want))
+    assert {r.payload for r in got if r.record_type == "response"} == {b"AAA", b"BBB", b"CCC", b""}
+
+
+def test_reading_takes_time_in_proportion(spark):
+    """Thousands of small records in one archive, and one as large as many slices."""
+    records = [b"%d " % i * 20 for i in range(5000)] + [bytes(range(256)) * 2000, b""]
+    assert list(warc.frames(warc.write_archive(records, records[:200]))) == records
+
+
 def test_archive_files_and_damage(spark, tmp_path):
     records = [warc.record(i, f"http://x/{i}", b"payload %d " % i * 50, warc.base32_sha1(b"payload %d " % i * 50), len(b"payload %d " % i * 50), None) for i in range(300)]
     whole = warc.write_archive(records, records[:200])
