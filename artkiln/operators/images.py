@@ -40,6 +40,12 @@ def palette(pixels: DataFrame, keys: list[str], k: int = 6, shift: int = 4) -> D
     return kept.select(*keys, "rn", C.rgb_to_hex(rgb()).alias("colour"), "n")
 
 
+def campaign_palette(pixels: DataFrame, previews: DataFrame, keys: list[str], most: int = 8, **limits) -> DataFrame:
+    """Palette of the first ``most`` previews (``image_id, ord``) of a campaign; the pixels of other pictures are left before the count."""
+    shown = top_per_group(previews.select(*keys, "image_id", "ord"), keys, [F.col("ord"), F.col("image_id")], most, "_at").select(*keys, "image_id")
+    return palette(pixels.join(shown, "image_id"), keys, **limits)
+
+
 def dominant_bins(pixels: DataFrame, keys: list[str], k: int = 5, shift: int = 5) -> DataFrame:
     """Average colour of the ``k`` fullest colour bins of each image."""
     bins = [F.expr(f"{c} >> {shift}").alias(f"_{c}") for c in "rgb"]
@@ -62,17 +68,40 @@ def brand_and_support(dominant: DataFrame, keys: list[str]) -> DataFrame:
     return s
 
 
-def cluster_colours(pixels: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
-    """Dominant colours of a whole corpus by distributed k-means; centres with their share."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def cluster_colours(pixels: DataFrame, keys: list[str], k: int = 5, rounds: int = 8, shift: int = 4) -> DataFrame:
+    """The ``k`` dominant colours of each image: weighted k-means from its fullest colour bins, fullest cluster first.
 
-    weighted = pixels.groupBy("r", "g", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    vec = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(weighted)
-    model = KMeans(k=k, seed=seed, weightCol="w", maxIter=20).fit(vec)
-    out = model.transform(vec).groupBy("prediction").agg(
-        F.sum("w").alias("pixels"), *[F.bround(F.sum(F.col(c) * F.col("w")) / F.sum("w"), 0).cast("int").alias(c) for c in "rgb"])
-    return out.select("prediction", F.col("pixels").cast("bigint").alias("pixels"), "r", "g", "b")
+    An image crosses the shuffle as its colour bins, 4,096 at most with four
+    bits left of a channel, so the rounds fold one bounded row per image. Bins
+    and centres stand for the floor of their mean, a bin goes to the first of
+    its nearest centres, and a centre without bins stays where it is. So the
+    answer is exact. Clusters that stay without pixels are left out; a picture
+    of fewer bins has fewer clusters.
+    """
+    sums = pixels.groupBy(*keys, *[F.expr(f"{c} >> {shift}").alias(f"_{c}") for c in "rgb"]).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("bigint").alias(f"s{c}") for c in "rgb"])
+    one = F.struct((-F.col("n")).alias("o"), *[F.col(f"_{c}") for c in "rgb"], "n", *[F.col(f"s{c}") for c in "rgb"], *[F.expr(f"s{c} div n").alias(c) for c in "rgb"])
+    d = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_bins"))
+
+    def dealt(centres: Column) -> Column:
+        def nearest(x: Column) -> Column:
+            far = F.transform(centres, lambda c, i: F.struct(sum(((x[h] - c[h]) * (x[h] - c[h]) for h in "rgb"), F.lit(0).cast("bigint")).alias("d"), i.alias("i")))
+            return F.struct(F.array_min(far)["i"].alias("i"), x["n"].alias("n"), *[x[f"s{h}"].alias(f"s{h}") for h in "rgb"])
+
+        return F.transform("_bins", nearest)
+
+    def moved(centres: Column) -> Column:
+        def centre(c: Column, i: Column, own: Column) -> Column:
+            total = F.aggregate(F.filter(own, lambda x: x["i"] == i), F.struct(*[F.lit(0).cast("bigint").alias(h) for h in ("n", "sr", "sg", "sb")]),
+                                lambda t, x: F.struct(*[(t[h] + x[h]).alias(h) for h in ("n", "sr", "sg", "sb")]))
+            return F.transform(F.array(total), lambda t: F.when(t["n"] == 0, F.struct(*[c[h].alias(h) for h in "rgb"], F.lit(0).cast("bigint").alias("n"))).otherwise(
+                F.struct(*[F.floor(t[f"s{h}"] / t["n"]).cast("bigint").alias(h) for h in "rgb"], t["n"].alias("n"))))[0]
+
+        return F.transform(F.array(dealt(centres)), lambda own: F.transform(centres, lambda c, i: centre(c, i, own)))[0]
+
+    start = F.transform(F.slice("_bins", 1, k), lambda x: F.struct(*[x[h].alias(h) for h in "rgb"], F.lit(0).cast("bigint").alias("n")))
+    d = d.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda c, _: moved(c)).alias("_c"))
+    full = F.filter(F.array_sort(F.transform("_c", lambda c, i: F.struct((-c["n"]).alias("o"), i.alias("i"), *[c[h].cast("int").alias(h) for h in "rgb"], c["n"].alias("n")))), lambda c: c["n"] > 0)
+    return d.select(*keys, F.posexplode(full).alias("_p", "_x")).select(*keys, (F.col("_p") + 1).alias("rn"), F.col("_x.n").alias("n"), *[F.col(f"_x.{h}") for h in "rgb"])
 
 
 def _in_boxes(pixels: DataFrame, boxes: DataFrame, keys: list[str], size: int) -> DataFrame:

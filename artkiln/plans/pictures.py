@@ -46,9 +46,32 @@ def _(t: Tables):
     return I.brand_and_support(I.dominant_bins(pixels(t), ["image_id"]), ["image_id"])
 
 
-@query("clustered_colours", "AGG-22")
+def _rounds(n: int) -> str:
+    """Rounds of weighted k-means as joins of bins and centres."""
+    steps = []
+    for i in range(n):
+        steps.append(f"""d{i} AS (SELECT b.image_id, b.n, b.sr, b.sg, b.sb, arg_min(c.i, (power(b.r - c.r, 2) + power(b.g - c.g, 2) + power(b.b - c.b, 2), c.i)) AS i FROM bn b JOIN c{i} c USING (image_id) GROUP BY b.image_id, b.br, b.bg, b.bb, b.n, b.sr, b.sg, b.sb),
+ m{i} AS (SELECT image_id, i, sum(n) AS n, sum(sr) // sum(n) AS r, sum(sg) // sum(n) AS g, sum(sb) // sum(n) AS b FROM d{i} GROUP BY ALL),
+ c{i + 1} AS (SELECT c.image_id, c.i, coalesce(m.n, 0) AS n, coalesce(m.r, c.r) AS r, coalesce(m.g, c.g) AS g, coalesce(m.b, c.b) AS b FROM c{i} c LEFT JOIN m{i} m USING (image_id, i))""")
+    return ", ".join(steps)
+
+
+@query("clustered_colours", "AGG-22", _PIX + f""", bn AS (SELECT *, sr // n AS r, sg // n AS g, sb // n AS b, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, br, bg, bb) AS i FROM (SELECT image_id, r >> 4 AS br, g >> 4 AS bg, b >> 4 AS bb, count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb FROM pix GROUP BY ALL)),
+ c0 AS (SELECT image_id, i, 0 AS n, r, g, b FROM bn WHERE i <= 5), {_rounds(8)}
+ SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY n DESC, i) AS INT) AS rn, CAST(n AS BIGINT) AS n, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM c8 WHERE n > 0""")
 def _(t: Tables):
-    return I.cluster_colours(pixels(t))
+    return I.cluster_colours(pixels(t), ["image_id"])
+
+
+# A campaign's previews: eight pictures of its own, the rest is not looked at.
+@query("campaign_palettes", "AGG-21", _PIX + """, pv AS (SELECT image_id % 60 AS campaign_id, image_id, dense_rank() OVER (PARTITION BY image_id % 60 ORDER BY image_id) AS pos, r, g, b FROM pix),
+ b AS (SELECT campaign_id, (r >> 4 << 4) + 8 AS r, (g >> 4 << 4) + 8 AS g, (b >> 4 << 4) + 8 AS b, count(*) AS n FROM pv WHERE pos <= 8 GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY n DESC, r, g, b) AS rn FROM b WHERE NOT ((r + g + b) / 3 > 244 OR (r + g + b) / 3 < 14 OR (greatest(r, g, b) - least(r, g, b) < 12 AND (r + g + b) / 3 > 40 AND (r + g + b) / 3 < 225)))
+ SELECT campaign_id, CAST(rn AS INT) AS rn, printf('#%02X%02X%02X', r, g, b) AS colour, n FROM k WHERE rn <= 6""")
+def _(t: Tables):
+    p = pixels(t)
+    previews = p.select((F.col("image_id") % 60).alias("campaign_id"), "image_id").distinct().withColumn("ord", F.col("image_id"))
+    return I.campaign_palette(p, previews, ["campaign_id"])
 
 
 @query("region_stats", "AGG-23", _PIX + f""", bx AS ({BOXES}) SELECT p.image_id, ord, CAST(round_even(avg(r), 0) AS INT) AS r, CAST(round_even(avg(g), 0) AS INT) AS g, CAST(round_even(avg(b), 0) AS INT) AS b, round(stddev_pop(floor((r * 19595 + g * 38470 + b * 7471 + 32768) / 65536)), 6) AS deviation, count(*) AS pixels
