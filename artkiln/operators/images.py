@@ -1,25 +1,39 @@
 """Aggregates over a long ``pixels(image_id, x, y, r, g, b, a)`` table.
 
 Every measure is a plain aggregate, so a huge image is combined map-side like
-any other group.
+any other group. Palettes and dominant colours also take distinct colours with
+their count ``n``, and signatures the cell sums that ``sources.pixels`` makes
+of strips of raw bytes, so that large pictures need no row per pixel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import color as C
+from ..session import staged
 from .skew import top_per_group, with_group
 
-BAND_BITS = 16
+BAND_BITS, BANDS = 16, 16
+#: Distinct pictures of a scope with one band value, above which the value alone is no meeting point.
+HOT_BAND = 1000
 
 
 def rgb() -> Column:
     return F.struct("r", "g", "b")
 
 
+def _count(pixels: DataFrame) -> Column:
+    """Pixels of a group: rows, or the counts ``n`` of a table of distinct colours."""
+    return F.sum("n") if "n" in pixels.columns else F.count(F.lit(1))
+
+
+def _total(pixels: DataFrame, value: str) -> Column:
+    return F.sum(F.col(value) * F.col("n") if "n" in pixels.columns else F.col(value))
+
+
 def grey() -> Column:
     """Luma with the usual integer weights of image libraries."""
     return F.floor((F.col("r") * 19595 + F.col("g") * 38470 + F.col("b") * 7471 + 0x8000) / 65536).cast("int")
@@ -32,7 +46,7 @@ def palette(pixels: DataFrame, keys: list[str], k: int = 6, shift: int = 4) -> D
     def binned(c):
         return F.expr(f"(({c} >> {shift}) << {shift}) + {half}")
 
-    counts = pixels.groupBy(*keys, *[binned(c).alias(c) for c in "rgb"]).agg(F.count(F.lit(1)).alias("n"))
+    counts = pixels.groupBy(*keys, *[binned(c).alias(c) for c in "rgb"]).agg(_count(pixels).alias("n"))
     spread = F.greatest("r", "g", "b") - F.least("r", "g", "b")
     light = (F.col("r") + F.col("g") + F.col("b")) / 3
     plain = (light > 244) | (light < 14) | ((spread < 12) & (light > 40) & (light < 225))
@@ -49,7 +63,7 @@ def campaign_palette(pixels: DataFrame, previews: DataFrame, keys: list[str], mo
 def dominant_bins(pixels: DataFrame, keys: list[str], k: int = 5, shift: int = 5) -> DataFrame:
     """Average colour of the ``k`` fullest colour bins of each image."""
     bins = [F.expr(f"{c} >> {shift}").alias(f"_{c}") for c in "rgb"]
-    counts = pixels.groupBy(*keys, *bins).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
+    counts = pixels.groupBy(*keys, *bins).agg(_count(pixels).alias("n"), *[(_total(pixels, c) / _count(pixels)).alias(c) for c in "rgb"])
     top = top_per_group(counts, keys, [F.col("n").desc(), F.col("_r"), F.col("_g"), F.col("_b")], k)
     return top.select(*keys, "rn", "n", *[F.bround(c, 0).cast("int").alias(c) for c in "rgb"])
 
@@ -78,7 +92,7 @@ def cluster_colours(pixels: DataFrame, keys: list[str], k: int = 5, rounds: int
     answer is exact. Clusters that stay without pixels are left out; a picture
     of fewer bins has fewer clusters.
     """
-    sums = pixels.groupBy(*keys, *[F.expr(f"{c} >> {shift}").alias(f"_{c}") for c in "rgb"]).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("bigint").alias(f"s{c}") for c in "rgb"])
+    sums = pixels.groupBy(*keys, *[F.expr(f"{c} >> {shift}").alias(f"_{c}") for c in "rgb"]).agg(_count(pixels).alias("n"), *[_total(pixels, c).cast("bigint").alias(f"s{c}") for c in "rgb"])
     one = F.struct((-F.col("n")).alias("o"), *[F.col(f"_{c}") for c in "rgb"], "n", *[F.col(f"s{c}") for c in "rgb"], *[F.expr(f"s{c} div n").alias(c) for c in "rgb"])
     d = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_bins"))
 
@@ -161,8 +175,6 @@ def uniformity(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _channel_median(pixels: DataFrame, keys: list[str], c: str) -> DataFrame:
-    from pyspark.sql import Window
-
     bins = pixels.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("n"))
     bins = with_group(bins, keys, _t=F.sum("n"))
     w = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
@@ -197,6 +209,17 @@ def signatures(pixels: DataFrame, keys: list[str], cols: int = 16, rows: int = 1
     d = pixels.join(size.select(*keys, "_w", "_h"), keys)
     cells = d.groupBy(*keys, F.floor(F.col("y") * rows / F.col("_h")).cast("int").alias("_gy"), F.floor(F.col("x") * (cols + 1) / F.col("_w")).cast("int").alias("_gx")).agg(
         F.bround(F.avg(grey()), 0).cast("int").alias("_v"))
+    return _hashed(size, cells, keys, cols)
+
+
+def signatures_of_sums(sums: DataFrame, cells: DataFrame, keys: list[str], cols: int = 16) -> DataFrame:
+    """The same signatures from totals of strips (``w, h, n, sum_r, sum_g, sum_b`` and, per cell, ``gy, gx, grey, n``)."""
+    size = sums.select(*keys, F.col("w").alias("_w"), F.col("h").alias("_h"), *[F.floor(F.col(f"sum_{c}") / F.col("n")).cast("int").alias(f"mean_{c}") for c in "rgb"])
+    merged = cells.groupBy(*keys, F.col("gy").alias("_gy"), F.col("gx").alias("_gx")).agg(F.bround(F.sum("grey") / F.sum("n"), 0).cast("int").alias("_v"))
+    return _hashed(size, merged, keys, cols)
+
+
+def _hashed(size: DataFrame, cells: DataFrame, keys: list[str], cols: int) -> DataFrame:
     right = cells.select(*keys, "_gy", (F.col("_gx") - 1).alias("_gx"), F.col("_v").alias("_next"))
     bits = cells.join(right, [*keys, "_gy", "_gx"]).where(F.col("_v") > F.col("_next"))
     bits = bits.withColumn("_i", F.col("_gy") * cols + F.col("_gx"))
@@ -213,6 +236,10 @@ def hamming(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}h{i}").bitwiseXOR(F.col(f"{b}h{i}"))) for i in range(4)), F.lit(0))
 
 
+def _near(c: Column) -> Column:
+    return F.array(c - 1, c, c + 1)
+
+
 def _bands(df: DataFrame, probes: bool) -> DataFrame:
     """Sixteen 16-bit bands; with ``probes`` also every band value one bit away."""
     bands = [F.struct(F.lit(w * 4 + p).alias("i"), F.expr(f"cast(shiftrightunsigned(h{w}, {48 - 16 * p}) & 65535 as int)").alias("v"))
@@ -228,18 +255,36 @@ def similar_signatures(sigs: DataFrame, scope: list[str], bits: int = K.NEAR_DUP
                        aspect: float = K.NEAR_DUPLICATE_ASPECT) -> DataFrame:
     """Pairs of distinct signatures of a scope that look alike (``a_sig`` < ``b_sig``).
 
-    At distance 24 or less, one of sixteen bands differs by one bit at most, so
-    meeting on a band value or a value one bit away finds every pair. ``sig``
-    must name each distinct signature once: copies are folded before the join.
-    Signatures also meet only in neighbouring proportion steps.
+    At distance 24 or less, at least four of sixteen bands differ by one bit at
+    most. Meeting on a band value or a value one bit away therefore finds every
+    pair even if a picture looks in its thirteen rarest bands only, so plain
+    rows, which many pictures share, are left out where others tell them apart.
+    Values of more than ``HOT_BAND`` pictures that remain are met by cells of
+    the mean colour. ``sig`` must name each distinct signature once: copies are
+    folded before the join. Signatures meet only in neighbouring proportion steps.
     """
     step = F.floor(F.col("aspect") / (aspect * 1.01) + 1e-9)
     cols = ["sig", "h0", "h1", "h2", "h3", "mean_r", "mean_g", "mean_b", "aspect"]
-    left = _bands(sigs.select(*scope, *cols).withColumn("_a", step), True)
-    right = _bands(sigs.select(*scope, *cols), False).withColumn("_a", F.explode(F.array(step - 1, step, step + 1)))
-    a = left.select(*scope, "_i", "_v", "_a", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = right.select(*scope, "_i", "_v", "_a", *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = a.join(b, [*scope, "_i", "_v", "_a"]).where(F.col("a_sig") < F.col("b_sig"))
+    index = _bands(sigs.select(*scope, *cols), False)
+    held = index.groupBy(*scope, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # Of the bands of a pair, at most bits / 2 differ by two bits or more: each picture can do without as many as are left over, less one.
+    needed = min(BANDS, bits // 2 + 1)
+    probes = _bands(sigs.select(*scope, *cols).withColumn("_a", step), True).join(held, [*scope, "_i", "_v"])
+    probes = probes.withColumn("_cost", F.sum("_n").over(Window.partitionBy(*scope, "sig", "_i")))
+    probes = probes.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*scope, "sig").orderBy("_cost", "_i"))).where(F.col("_rank") <= needed)
+    # A value that very many pictures hold is met by cells of the mean colour.
+    hot = F.col("_n") > HOT_BAND
+    cell = [F.floor(F.col(f"mean_{c}") / (colour + 1)).cast("int") for c in "rgb"]
+
+    def code(r: Column, g: Column, b: Column) -> Column:
+        return r * 10000 + g * 100 + b
+
+    around = F.flatten(F.flatten(F.transform(_near(cell[0]), lambda r: F.transform(_near(cell[1]), lambda g: F.transform(_near(cell[2]), lambda b: code(r, g, b))))))
+    left = probes.withColumn("_c", F.when(hot, code(*cell)).otherwise(0))
+    right = index.join(held, [*scope, "_i", "_v"]).withColumn("_a", F.explode(F.array(step - 1, step, step + 1))).withColumn("_c", F.explode(F.when(hot, around).otherwise(F.array(F.lit(0)))))
+    a = left.select(*scope, "_i", "_v", "_a", "_c", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = right.select(*scope, "_i", "_v", "_a", "_c", *[F.col(c).alias(f"b_{c}") for c in cols])
+    j = a.join(b, [*scope, "_i", "_v", "_a", "_c"]).where(F.col("a_sig") < F.col("b_sig"))
     means = F.greatest(*[F.abs(F.col(f"a_mean_{c}") - F.col(f"b_mean_{c}")) for c in "rgb"])
     near = (hamming("a_", "b_") <= bits) & (means <= colour) & (F.bround(F.abs(F.col("a_aspect") - F.col("b_aspect")), 6) <= aspect)
     return j.where(near).groupBy(*scope, "a_sig", "b_sig").agg(F.first(hamming("a_", "b_")).cast("int").alias("distance"))
@@ -259,7 +304,7 @@ def repeated_images(images: DataFrame, scope: list[str], piece: str = "piece_id"
     """
     look = ["h0", "h1", "h2", "h3", "mean_r", "mean_g", "mean_b", "aspect"]
     key = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in look]), 256)
-    d = images.where(F.col("alpha") & (F.col("xref") > 0)).withColumn("sig", key)
+    d = staged(images.where(F.col("alpha") & (F.col("xref") > 0)).withColumn("sig", key), "cut-outs")
     folded = d.groupBy(*scope, "sig").agg(*[F.first(c).alias(c) for c in look], F.min(piece).alias("lo"), F.max(piece).alias("hi"))
     pairs = similar_signatures(folded, scope).select(*scope, "a_sig", "b_sig")
     both = pairs.unionByName(pairs.select(*scope, F.col("a_sig").alias("b_sig"), F.col("b_sig").alias("a_sig")))

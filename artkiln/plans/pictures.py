@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..operators import images as I
-from .base import BIND, Tables, query
+from ..session import staged
+from ..sources import pixels as X
+from .base import BIND, ORACLE, Tables, query
 
 # An 8 x 8 picture per vector.
 BIND["pix"] = ((), """
@@ -109,6 +111,28 @@ def _(t: Tables):
     return I.signatures(pixels(t), ["image_id"], 7, 8).select("image_id", "h0", "mean_r", "mean_g", "mean_b")
 
 
+def _strips(t: Tables):
+    """The same pictures as raw bytes of four channels, cut into strips of two pixel rows."""
+    px = F.array_sort(F.collect_list(F.struct("y", "x", *[F.lpad(F.hex(c), 2, "0").alias(c) for c in "bgra"])))
+    data = F.unhex(F.array_join(F.transform(px, lambda p: F.concat(p["b"], p["g"], p["r"], p["a"])), ""))
+    d = pixels(t).groupBy("image_id").agg(data.alias("data"))
+    return X.strips(d.select("image_id", F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(4).alias("c"), "data"), strip_bytes=64)
+
+
+@query("strip_signatures", "SRC-19 FN-30 AGG-26", ORACLE["image_signatures"].replace("GROUP BY ALL)\n SELECT image_id,", "GROUP BY ALL), bx AS (SELECT image_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM pix WHERE a > 150 GROUP BY ALL)\n SELECT image_id, CAST(any_value(bx.x) AS BIGINT) AS x, CAST(any_value(bx.y) AS BIGINT) AS y, CAST(any_value(width) AS BIGINT) AS width, CAST(any_value(height) AS BIGINT) AS height,").replace("JOIN pix USING (image_id)", "JOIN pix USING (image_id) LEFT JOIN bx USING (image_id)"))
+def _(t: Tables):
+    sums = staged(X.strip_sums(_strips(t), 8, 8, 150), "strip-sums")
+    whole = X.picture_sums(sums)
+    s = I.signatures_of_sums(whole, X.picture_cells(sums), ["image_id"], 7).select("image_id", "h0", "mean_r", "mean_g", "mean_b")
+    s = s.join(whole.select("image_id", "x", "y", "width", "height"), "image_id")
+    return s.withColumn("image_id", F.col("image_id").cast("bigint"))
+
+
+@query("strip_palettes", "SRC-19 AGG-21", ORACLE["palettes"].replace(", b AS (SELECT", ", fl AS (SELECT image_id, " + ", ".join(f"CAST(round_even(({c} * a + 255 * (255 - a)) / 255, 0) AS INT) AS {c}" for c in "rgb") + " FROM pix), b AS (SELECT").replace("AS n FROM pix", "AS n FROM fl"))
+def _(t: Tables):
+    return I.palette(X.flatten_alpha(X.colour_counts(_strips(t))), ["image_id"]).withColumn("image_id", F.col("image_id").cast("bigint"))
+
+
 def _images(t: Tables):
     s = I.signatures(pixels(t), ["image_id"], 7, 8)
     doc = F.col("image_id") % 5

@@ -209,6 +209,51 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("hot", [1000, 20])
+def test_pictures_that_share_plain_rows_meet_by_their_rarest_bands(spark, monkeypatch, hot):
+    """Also where so many share every band that cells of the mean colour take over."""
+    monkeypatch.setattr(I, "HOT_BAND", hot)
+    rnd = random.Random(5)
+    rows = []
+    for i in range(240):
+        if i % 3 == 0:  # flat but for a few bits
+            bits = sum(1 << rnd.randrange(256) for _ in range(rnd.randrange(16)))
+        elif i % 3 == 1:  # three plain rows above ones of their own
+            bits = rnd.getrandbits(208)
+        else:
+            bits = rows[-1][-1] ^ sum(1 << b for b in rnd.sample(range(256), rnd.choice((23, 24, 25))))
+        words = [(bits >> s) & (2**64 - 1) for s in (192, 128, 64, 0)]
+        colour = rows[-1][6:9] if i % 3 == 2 else tuple(rnd.randrange(0, 256, 17) for _ in range(3))
+        rows.append((1, f"s{i:03}", *[w - 2**64 if w >= 2**63 else w for w in words], *colour, 1.0, bits))
+    schema = "doc int, sig string, h0 long, h1 long, h2 long, h3 long, mean_r int, mean_g int, mean_b int, aspect double"
+    df = spark.createDataFrame([r[:-1] for r in rows], schema)
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and (a[-1] ^ b[-1]).bit_count() <= 24 and max(abs(x - y) for x, y in zip(a[6:9], b[6:9])) <= 18}
+    assert {(r.a_sig, r.b_sig) for r in I.similar_signatures(df, ["doc"]).collect()} == want and len(want) > 40
+
+
+def test_colour_clusters_equal_plain_rounds(spark):
+    rnd = random.Random(9)
+    px = [(g, *[rnd.randrange(256) // s * s for _ in range(3)]) for g, n, s in (("a", 900, 1), ("b", 300, 64), ("c", 3, 1)) for _ in range(n)]
+    df = spark.createDataFrame(px, "image_id string, r int, g int, b int")
+    want = set()
+    for g in "abc":
+        bins = {}
+        for _, *c in (p for p in px if p[0] == g):
+            t = bins.setdefault(tuple(v >> 4 for v in c), [0, 0, 0, 0])
+            bins[tuple(v >> 4 for v in c)] = [t[0] + 1, *[x + y for x, y in zip(t[1:], c)]]
+        rows = [v for _, v in sorted(bins.items(), key=lambda kv: (-kv[1][0], kv[0]))]
+        centres = [([s // v[0] for s in v[1:]], 0) for v in rows[:4]]
+        for _ in range(6):
+            own = [[0, 0, 0, 0] for _ in centres]
+            for v in rows:
+                at = min(range(len(centres)), key=lambda i: (sum((s // v[0] - m) ** 2 for s, m in zip(v[1:], centres[i][0])), i))
+                own[at] = [x + y for x, y in zip(own[at], v)]
+            centres = [([s // o[0] for s in o[1:]], o[0]) if o[0] else (c[0], 0) for o, c in zip(own, centres)]
+        order = sorted((i for i in range(len(centres)) if centres[i][1]), key=lambda i: (-centres[i][1], i))
+        want |= {(g, k + 1, centres[i][1], *centres[i][0]) for k, i in enumerate(order)}
+    assert {tuple(r) for r in I.cluster_colours(df, ["image_id"], 4, 6).collect()} == want
+
+
 def test_signature_of_a_gradient(spark):
     px = spark.range(34 * 32).selectExpr("'i' image_id", "cast(id % 34 as int) x", "cast(id div 34 as int) y", "cast(255 - id % 34 * 7 as int) r").withColumns(
         {"g": F.col("r"), "b": F.col("r"), "a": F.lit(255)})

@@ -125,6 +125,37 @@ def test_pixels_of_a_picture(spark, tmp_path):
     assert len(px) == 20 and px[(3, 2)] == (30, 40, 7, 255)
 
 
+def test_strips_of_a_picture_equal_its_pixels(spark, tmp_path):
+    from artkiln.operators import images as I
+    from artkiln.sources import pixels as X
+
+    (tmp_path / "x.png").write_bytes(png(53, 41, lambda x, y: (x * 4, y * 6 % 256, (x * y) % 256)))
+    (tmp_path / "y.png").write_bytes(png(17, 90, lambda x, y: ((x + y) % 256, 9, 9)))
+    px, images = X.read_pixels(spark, str(tmp_path)), spark.read.format("image").load(str(tmp_path))
+    raw = images.selectExpr("regexp_extract(image.origin, '([^/]+)$', 1) image_id", "image.width w", "image.height h", "image.nChannels c", "image.data data")
+    assert X.image_strips(spark, str(tmp_path)).count() == 2
+    cut = X.strips(raw, strip_bytes=700)
+    assert cut.count() > 10
+    colours = px.groupBy("image_id", "r", "g", "b", "a").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, X.colour_counts(cut).collect())) == sorted(map(tuple, colours.collect()))
+    sums = X.strip_sums(cut)
+    mine = I.signatures_of_sums(X.picture_sums(sums), X.picture_cells(sums), ["image_id"])
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, I.signatures(px, ["image_id"]).collect()))
+    assert sorted(map(tuple, X.picture_sums(sums).select("image_id", "x", "y", "width", "height").collect())) == [("x.png", 0, 0, 53, 41), ("y.png", 0, 0, 17, 90)]
+
+
+def test_a_large_picture_needs_no_row_per_pixel(spark):
+    from artkiln.sources import pixels as X
+
+    row = bytes(range(256)) * 72  # 6,144 pixels of three channels
+    d = spark.createDataFrame([("big", 6144, 4400, 3, row * 4400)], "image_id string, w int, h int, c int, data binary")
+    cut = X.strips(d)
+    assert cut.count() < 100
+    whole = X.picture_sums(X.strip_sums(cut)).first()
+    assert whole.n == 6144 * 4400 and (whole.width, whole.height) == (6144, 4400)
+    assert whole.sum_b + whole.sum_g + whole.sum_r == 4400 * sum(row)
+
+
 def test_user_detector(spark):
     from artkiln.operators.plugins import detect_with
 
