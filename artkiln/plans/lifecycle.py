@@ -12,11 +12,10 @@ from ..operators import payloads as PL
 from ..operators.plugins import detect_with, score_with
 from ..sources import files as S
 from ..sources import sinks as O
-from ..streaming import jobs as J
 from ..session import shared_folder
 from ..sources import store as ST
 from ..streaming import jobs as J
-from .base import Tables, big, ctes, query
+from .base import ORACLE, Tables, big, ctes, query
 
 _NOW = "TIMESTAMP '2024-01-30 12:00:00'"
 
@@ -270,3 +269,26 @@ def _(t: Tables):
     campaigns = t.orders.select((F.col("o_custkey") % 20).alias("client_id"), "o_orderkey", F.col("o_orderdate").alias("created_at"))
     a = ST.by_name(brands, ["c_nationkey"], "name", "c_custkey").select(F.lit("brand").alias("kind"), F.col("c_custkey").cast("bigint").alias("id"), "place")
     return a.unionByName(ST.newest_first(campaigns, ["client_id"], "created_at", "o_orderkey").select(F.lit("campaign").alias("kind"), F.col("o_orderkey").cast("bigint").alias("id"), "place"))
+
+
+# Touches arrive in two parts, the second full of late ones; a last one of no project moves the watermark past all sessions.
+@query("streamed_sessions", "STR-03", ORACLE["idle_sessions"])
+def _(t: Tables):
+    touches = t.bind("touches").select("project_id", "touch_id", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.pmod(F.col("touch_id"), F.lit(4)) == 0
+    beat = touches.agg(F.max("ts").alias("ts")).select(F.lit("").alias("project_id"), F.lit(0).cast("bigint").alias("touch_id"), (F.col("ts") + F.expr("INTERVAL 70 DAYS")).alias("ts"))
+    parts = [touches.where(~late), touches.where(late), beat.select(*touches.columns)]
+    closed = J.arriving(parts, "sessions", lambda stream: J.idle_expiry(stream, 8, "60 days"))
+    return closed.where("project_id <> ''").select("project_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "touches")
+
+
+@query("watched_records", "STR-04", """SELECT source, lang, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS drop, count(*) AS records, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars FROM documents GROUP BY ALL""")
+def _(t: Tables):
+    """Files of two drops into one folder, each read once by the watch."""
+    base = f"{shared_folder(t.spark)}/{t.spark.sparkContext.applicationId}/watched-{uuid.uuid4().hex}"
+    docs = t.documents.select("doc_id", "source", "lang", "text")
+    for n, name in ((0, "a"), (1, "b")):
+        docs.where(F.col("doc_id") % 2 == n).write.option("maxRecordsPerFile", 5000).json(f"{base}/in/{name}")
+        lines = J.watch_folder(t.spark, f"{base}/in").select(F.regexp_extract("path", "/([ab])/[^/]*$", 1).alias("drop"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+        rows = J.drained(lines.where("line <> ''").select("drop", F.from_json("line", "source string, lang string, text string").alias("r")).select("drop", "r.*"), "watched", base)
+    return rows.groupBy("source", "lang", "drop").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).cast("bigint").alias("chars"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,19 +55,37 @@ def deliveries(events: DataFrame, hours: int = 24 * 7, delay: str | None = None)
     return live.groupBy("task_id").applyInPandasWithState(step, "task_id STRING, event_id BIGINT, ts TIMESTAMP, run BOOLEAN", "done BIGINT", "append", "EventTimeTimeout")
 
 
-def drained(stream: DataFrame, label: str) -> DataFrame:
-    """The rows that a stream gives for all that its source holds now, by files of the shared folder, as its checkpoint is."""
+def _fresh(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, label: str, base: str | None = None) -> DataFrame:
+    """The rows that a stream gives for all that its source holds now, by files of the shared folder, as its checkpoint is.
+
+    With the ``base`` of an earlier call the stream goes on from its
+    checkpoint, and the rows are those of all calls.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    base = base or _fresh(spark, label)
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def arriving(parts: list[DataFrame], label: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``step`` of a stream gives when parts arrive one after another, state kept between them in one checkpoint."""
+    spark = parts[0].sparkSession
+    base = _fresh(spark, label)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        rows = drained(step(spark.readStream.schema(part.schema).parquet(f"{base}/in")), label, base)
+    return rows
+
+
 def replayed(rows: DataFrame, label: str) -> DataFrame:
     """Given rows as a stream of files."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = _fresh(spark, label)
     rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
