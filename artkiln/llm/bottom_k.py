@@ -4,20 +4,27 @@ A document's set of word shingles is hashed once; its smallest hashes are its
 sketch. Documents of equal sets form one class and take part once. Inverted
 lists of the smallest retained values give the overlaps: a pair above the
 similarity misses all of ``LOW`` values of its union with a chance below
-1e-19. Candidates pass if the sketch of their union estimates a similarity
-above ``LEAST_ESTIMATE``, more than six deviations below the limit, and are
-then confirmed on full sets.
+1e-19. Candidates pass if the sketch of their union does not rule the limit
+out: a pair at the limit shares fewer of its values with a chance below
+``MISS``. They are then confirmed on full sets.
 
 Values that very many classes hold are hot. A document with enough other
 values is found by those. The rest, whose text is mostly shared, meets in the
-lists of its hot values, cut into blocks; a task gets two blocks with their
-full sets, and gives back a spanning forest of their links, not all pairs.
+lists of its hot values, cut into blocks by documents and by values; a task
+gets two blocks with their full sets, and gives back a spanning forest of
+their links, not all pairs.
+
+The exact mode leaves nothing to chance: a document is listed under as many of
+its smallest values that one of them is shared with every document at the limit
+(its size, less the least number that such a document shares, and one), under
+all that are hot among them too, and no estimate is asked.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +37,10 @@ from .units import forget, groups
 
 #: Retained values, those with inverted lists, and those a document must have besides hot ones to be found by them.
 SKETCH, LOW, ENOUGH = 64, 24, 12
-#: Classes from which a value is hot; hot values a document is listed under; documents of a block.
-HOT, HOT_VALUES, BLOCK = 40, 8, 500
-LEAST_ESTIMATE = 0.55
+#: Classes from which a value is hot; hot values a document is listed under; documents and values of a block.
+HOT, HOT_VALUES, BLOCK, BLOCK_VALUES = 40, 8, 500, 2_000_000
+#: Chance at which the estimate may lose a pair at the limit.
+MISS = 1e-8
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(23).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # letters A to Z as their small forms
@@ -81,8 +89,24 @@ def shingle_sets(texts_: list[str], words: int) -> list[np.ndarray]:
     return sets
 
 
-def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, print (digest of the whole set), low (smallest values) and sketch of every row."""
+def least_estimate(percent: int) -> float:
+    """Share of a full sketch's values below which a pair at the limit falls with a chance under MISS."""
+    p, below, shared = percent / 100, 0.0, 0
+    while shared < SKETCH:
+        below += math.comb(SKETCH, shared) * p**shared * (1 - p) ** (SKETCH - shared)
+        if below >= MISS:
+            break
+        shared += 1
+    return shared / SKETCH
+
+
+def exact_prefix(size: int, percent: int) -> int:
+    """Smallest values of a set of which every set at the limit shares one among as many of its own."""
+    return size - -(-size * percent // 100) + 1
+
+
+def sketches(documents: DataFrame, words: int, prefix: Callable[[int], int] = lambda size: LOW) -> DataFrame:
+    """doc_id, n_shingles, print (digest of the whole set), low (smallest values, as many as prefix says) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -91,7 +115,7 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(group, words)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(at, len(group)), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                     pa.array([s[:LOW].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
+                     pa.array([s[:prefix(len(s))].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
                     names=["doc_id", "n_shingles", "print", "low", "sketch"])
 
     return texts(documents).mapInArrow(run, "doc_id long, n_shingles long, print binary, low array<long>, sketch binary")
@@ -164,24 +188,26 @@ def _forest(percent: int):
     return run
 
 
-def links(documents: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+def links(documents: DataFrame, known: DataFrame, words: int, percent: int, exact: bool = False) -> DataFrame:
     """a, b: links between classes of known that connect all that are similar; within a hot block, a spanning forest."""
     classes = staged(known.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch")), "classes")
-    posts = classes.select("rep", F.explode("low").alias("value"))
-    sizes = posts.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    listed = posts.join(sizes, "value").groupBy("rep").agg(F.collect_list(F.struct("value", "size")).alias("at"))
+    posts = classes.select("rep", "n", F.explode("low").alias("value"))
+    sizes = posts.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("values")).filter("size > 1")
+    listed = posts.select("rep", "value").join(sizes, "value").groupBy("rep").agg(F.collect_list(F.struct("value", "size", "values")).alias("at"))
     listed = listed.join(classes.select("rep", F.size("low").alias("n_low")), "rep")
     hot = F.filter("at", lambda x: x["size"] > HOT)
+    some = F.when(F.col("n_low") - F.size(hot) < ENOUGH, F.slice(F.array_sort(hot), 1, HOT_VALUES)).otherwise(F.slice(hot, 1, 0))
     listed = staged(listed.select(
         "rep", F.filter("at", lambda x: x["size"] <= HOT)["value"].alias("cold"),
-        F.when(F.col("n_low") - F.size(hot) < ENOUGH, F.slice(F.array_sort(hot), 1, HOT_VALUES)).otherwise(F.slice(hot, 1, 0)).alias("hot")), "inverted-lists")
+        (hot if exact else some).alias("hot")), "inverted-lists")
     lists = listed.select("rep", F.explode("cold").alias("value")).groupBy("value").agg(F.array_sort(F.collect_list("rep")).alias("reps")).filter(F.size("reps") > 1)
     pair = F.transform(F.slice("reps", F.col("i") + 2, F.lit(HOT)), lambda b: F.struct(F.col("a").alias("a"), b.alias("b")))
     pairs = lists.select("reps", F.posexplode("reps").alias("i", "a")).select(F.explode(pair).alias("p")).select("p.*").filter("a <> b").distinct()
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    likely = staged(sized.select("a", "b", "sa", "sb").mapInArrow(lambda it: _estimates(it, LEAST_ESTIMATE), "a long, b long"), "candidates")
+    limit = least_estimate(percent)
+    likely = staged(sized.select("a", "b") if exact else sized.select("a", "b", "sa", "sb").mapInArrow(lambda it: _estimates(it, limit), "a long, b long"), "candidates")
 
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(listed.filter(F.size("hot") > 0).select("rep")).distinct()
 
@@ -192,7 +218,7 @@ def links(documents: DataFrame, known: DataFrame, words: int, percent: int) -> D
 
     sets = staged(texts(documents).join(wanted, "doc_id").mapInArrow(run, "rep long, set binary"), "shingle-sets")
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least("size", F.col("values") / BLOCK_VALUES))).cast("int")
     tight = listed.select("rep", F.explode("hot").alias("h")).select("rep", "h.*").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     meet = tight.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     close = staged(meet.join(sets, "rep").groupBy("value", "x", "y").applyInArrow(_forest(percent), "a long, b long").distinct(), "hot-links")
@@ -209,22 +235,23 @@ def links(documents: DataFrame, known: DataFrame, words: int, percent: int) -> D
     return first.union(staged(confirmed(apart), "more-links"))
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Documents are linked if 100 * shared >= percent * united shingles. A text
     without words links with nothing. Rows that share an id count as one
     document, whose component is that of all its texts. A row without an id
-    stays alone: its component is null and it is kept.
+    stays alone: its component is null and it is kept. `exact` finds every
+    link, at the price of lists as long as a fifth of the sets (at 80 percent).
     """
-    known = staged(sketches(documents, words), "sketches")
+    known = staged(sketches(documents, words, (lambda size: exact_prefix(size, percent)) if exact else (lambda size: LOW)), "sketches")
     worded = known.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "print")
     first = worded.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"))
     repeated = worded.join(first.filter("many > 1"), "print").select("doc_id", "rep")
     # An id with several texts ties their classes together.
     several = worded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     tied = worded.join(several, "doc_id").join(first, "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    joined = components(links(documents, known, words, percent).union(tied))
+    joined = components(links(documents, known, words, percent, exact).union(tied))
     to = repeated.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     of = joined.select(F.col("node").alias("doc_id"), "component").union(to).groupBy("doc_id").agg(F.min("component").alias("component_id"))
     out = known.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
