@@ -6,12 +6,11 @@ the distinct documents of a host that hold it are counted, lines above the
 limit are removed, and a document that they leave depleted is rejected.
 ``judge`` gives the verdicts, ``select_kept`` the texts without those lines.
 
-"Distinct documents" are distinct texts, so copies of one text, which are the
-business of deduplication, do not make its lines frequent. A line is frequent
-in a host if it is in at least ``least`` texts and in more than ``share`` of
-the host's texts; the first document that holds it keeps it, so that of a
-group of near copies the first stays whole. A document is depleted if fewer
-than ``left_share`` of its words stand outside removed lines.
+A line is frequent in a host if at least ``least`` distinct documents of the
+host hold it, however many documents the host has, so more rows never make a
+line acceptable. The first document that holds it keeps it, so that of a group
+of copies the first stays whole. A document is depleted if fewer than
+``left_share`` of its words stand outside removed lines.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from .tables import staged
 from .units import forget
 
 #: Production limits.
-LEAST_TEXTS, HOST_SHARE, LEFT_SHARE = 20, 0.05, 0.25
+LEAST_DOCS, LEFT_SHARE = 100, 0.25
 #: Fixed values of the base rules.
 WINDOW, MIN_WORDS, REPEAT_PERCENT, SYMBOLS = 8, 20, 30, b"#*$%&|<>"
 
@@ -109,35 +108,32 @@ def measure(documents: DataFrame, key: str = "doc_id", host: str = "source", tex
                             F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(_measure, _LINES)
 
 
-def frequent_lines(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHARE) -> DataFrame:
-    """host, line_key, n_texts, first_doc of the lines in at least `least` texts and over `share` of the texts of their host."""
-    one = measured.select("doc_id", "host", "text_key", F.explode("lines").alias("line")).select("doc_id", "host", "text_key", "line.line_key")
-    counted = one.groupBy("host", "line_key", "text_key").agg(F.min("doc_id").alias("doc_id")).groupBy("host", "line_key").agg(
-        F.count(F.lit(1)).alias("n_texts"), F.min("doc_id").alias("first_doc")).filter(F.col("n_texts") >= least)
-    hosts = measured.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
-    return counted.join(hosts, "host").filter(F.col("n_texts") > share * F.col("host_texts")).select("host", "line_key", "n_texts", "first_doc")
+def frequent_lines(measured: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+    """host, line_key, n_docs, first_doc of the lines in at least `least` distinct documents of their host; rows without an id count as one document."""
+    one = measured.select("doc_id", "host", F.explode("lines").alias("line")).select("doc_id", "host", "line.line_key").distinct()
+    return one.groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= least)
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def removed_lines(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHARE) -> DataFrame:
+def removed_lines(measured: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """k1, k2, k3 (doc_id, text_key, host), gone (words) and gone_keys of the lines that rows lose: frequent in their host and first in another document."""
     line = measured.select("doc_id", "text_key", "host", F.explode("lines").alias("line")).select("doc_id", "text_key", "host", "line.*")
-    found = line.join(frequent_lines(measured, least, share), ["host", "line_key"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    found = line.join(frequent_lines(measured, least), ["host", "line_key"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = found.groupBy("doc_id", "text_key", "host", "line_key").agg(F.max("words").alias("words"))
     return gone.groupBy(F.col("doc_id").alias("k1"), F.col("text_key").alias("k2"), F.col("host").alias("k3")).agg(F.sum("words").alias("gone"), F.collect_list("line_key").alias("gone_keys"))
 
 
-def judge_keys(measured: DataFrame, least: int = LEAST_TEXTS, share: float = HOST_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def judge_keys(measured: DataFrame, least: int = LEAST_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
     """doc_id, text_key, host, base counts, words_left (outside removed lines), base_failed, kept and gone_keys (of its removed lines), one row per row of measured.
 
     A row is known by doc_id and text_key, so rows that repeat whole get the
     same verdict each. A text without words fails the base rules.
     """
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
-    joined = measured.drop("lines").join(removed_lines(measured, least, share), F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")) & (F.col("host") == F.col("k3")), "left")
+    joined = measured.drop("lines").join(removed_lines(measured, least), F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("text_key") == F.col("k2")) & (F.col("host") == F.col("k3")), "left")
     return joined.select(
         "doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left.alias("words_left"), base_failed().alias("base_failed"),
         (~base_failed() & (left >= left_share * F.col("n_words"))).alias("kept"), "gone_keys")

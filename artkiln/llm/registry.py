@@ -43,16 +43,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op6_line_frequency_rules", f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, md5(coalesce(text, '')) AS text_key,
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
      parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
      raw AS (SELECT doc_id, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw FROM parts),
      dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw WHERE len(lw) > 0 GROUP BY 1),
      norm AS (SELECT doc_id, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, sum(len(lw)) AS words FROM raw WHERE len(lw) > 0 GROUP BY 1, 2),
-     held AS (SELECT n.doc_id, d.host, d.text_key, n.line, n.words FROM norm n JOIN d USING (doc_id)),
-     hosts AS (SELECT host, count(DISTINCT text_key) AS host_texts FROM d GROUP BY 1),
-     often AS (SELECT h.host, h.line, min(h.doc_id) AS first_doc FROM held h JOIN hosts USING (host) GROUP BY 1, 2
-               HAVING count(DISTINCT h.text_key) >= {line_rules.LEAST_TEXTS} AND count(DISTINCT h.text_key) > {line_rules.HOST_SHARE} * max(hosts.host_texts)),
+     held AS (SELECT n.doc_id, d.host, n.line, n.words FROM norm n JOIN d USING (doc_id)),
+     often AS (SELECT host, line, min(doc_id) AS first_doc FROM held GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {line_rules.LEAST_DOCS}),
      gone AS (SELECT h.doc_id, sum(h.words) AS gone FROM held h JOIN often o ON h.host = o.host AND h.line = o.line WHERE h.doc_id <> o.first_doc GROUP BY 1),
      at8 AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 9),
      win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM at8),
