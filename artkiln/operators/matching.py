@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.text import list_cell, slug, stem
 from ..session import staged
 from .matrix import product_count
@@ -159,7 +160,11 @@ def missing(rows: DataFrame, assets: DataFrame, keys: list[str], scope: list[str
     return readiness(rows, assets, keys, scope).where(F.col("found") < F.col("expected")).select(*keys, "expected", "found")
 
 
-def render_budget(row_assets: DataFrame, keys: list[str], limits: tuple[int, int, int]) -> DataFrame:
+#: Photos of a piece, pixels of one, pixels of all.
+BUDGET = (K.MAX_PRODUCTS_PER_PIECE, K.MAX_PRODUCT_PIXELS, K.MAX_DECODE_PIXELS)
+
+
+def render_budget(row_assets: DataFrame, keys: list[str], limits: tuple[int, int, int] = BUDGET) -> DataFrame:
     """Decode budget of a row: products, largest photo, pixels in all."""
     products, single, total = limits
     px = F.col("width").cast("bigint") * F.col("height")

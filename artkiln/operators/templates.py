@@ -290,6 +290,34 @@ def overlay_placements(candidates: DataFrame, sources: DataFrame, scope: list[st
                     F.when(chosen.eqNullSafe(F.col("boxes")), "own").otherwise("measured").alias("taken_from"))
 
 
+def overlay_styles(candidates: DataFrame, sources: DataFrame, scope: list[str]) -> DataFrame:
+    """Text colours and case that the measured sources of a scope give its candidates.
+
+    ``sources``: ``scope, ord, origin, measured`` (it has boxes), ``text_colors``
+    and ``text_case`` (maps by slot). ``candidates``: ``scope, candidate_id,
+    text_colors``. Each slot takes the colour of the first source, best origin
+    first, that names one. A vector file as the first source marks all
+    candidates as measured, gives them its case and replaces their colours;
+    otherwise colours only reach candidates without any. A scope where nothing
+    is measured changes nothing.
+    """
+    rank = F.when(F.col("origin") == "vector", 0).when(F.col("origin") == "psd", 1).when(F.col("origin") == "ocr", 2).otherwise(3)
+    ranked = sources.withColumn("_r", rank)
+    first = ranked.groupBy(*scope).agg(
+        F.max("measured").alias("_any"), (F.min("_r") == 0).alias("_vector"), F.min_by(F.struct("text_case"), F.struct("_r", "ord")).alias("_first"))
+    named = ranked.select(*scope, "_r", "ord", F.explode("text_colors").alias("slot", "color"))
+    colours = best_per_group(named, [*scope, "slot"], [F.col("_r"), F.col("ord")], [*scope, "slot", "color"])
+    colours = colours.groupBy(*scope).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "color")))).alias("_colors"))
+    j = candidates.join(first.where("_any"), scope, "left").join(colours, scope, "left")
+    vector = F.coalesce("_vector", F.lit(False))
+    bare = F.coalesce(F.size("text_colors"), F.lit(0)) <= 0
+    none = F.create_map().cast("map<string,string>")
+    return j.select(
+        *scope, "candidate_id",
+        F.when(F.col("_any") & F.col("_colors").isNotNull() & (vector | bare), F.col("_colors")).otherwise(F.col("text_colors")).alias("text_colors"),
+        F.when(vector, F.coalesce("_first.text_case", none)).alias("text_case"), vector.alias("plate_measured"))
+
+
 def choose_plates(outputs: DataFrame, plates: DataFrame, scope: list[str], bare: bool = False) -> DataFrame:
     """Plate per candidate and output size: origin, preferred source, nearest proportion.
 

@@ -164,6 +164,19 @@ def _(t: Tables):
     return S.inventory(good.unionByName(bad))
 
 
+@query("drop_folder_pictures", "SRC-08", ctes("assets") + """SELECT rel, filename AS name, CAST(round_even(size_bytes / 1048576, 1) AS DOUBLE) AS size_mb, CASE WHEN ord % 11 > 0 THEN CASE ord % 3 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' ELSE 'PSD' END END AS format,
+  CASE WHEN ord % 11 > 0 THEN width::BIGINT END AS width, CASE WHEN ord % 11 > 0 THEN height::BIGINT END AS height, CASE WHEN ord % 11 = 0 THEN rel || ': no se pudo leer (UnidentifiedImageError).' END AS warning FROM (SELECT *, client_id || '/' || asset_id || '/' || filename AS rel FROM assets)""")
+def _(t: Tables):
+    k, big = F.col("ord") % 3, lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
+    head = lambda h: F.unhex(F.lit(h))
+    png = F.concat(head("89504E470D0A1A0A0000000D49484452"), big("width", 8), big("height", 8))
+    jpeg = F.concat(head("FFD8FFE000104A46494600010100000100010000FFDB0004FFC0FFC0001108"), big("height", 4), big("width", 4), head("03012200"))
+    psd = F.concat(head("3842505300010000000000000003"), big("height", 8), big("width", 8))
+    whole = F.when(k == 0, png).when(k == 1, jpeg).otherwise(psd)
+    files = t.bind("assets").select(F.concat_ws("/", "client_id", "asset_id", "filename").alias("rel"), F.col("size_bytes").alias("length"), F.when(F.col("ord") % 11 == 0, F.substring(whole, 1, 13)).otherwise(whole).alias("content"))
+    return S.inspect(files)
+
+
 @query("brand_typography", "JOI-16", """WITH f AS (SELECT n_regionkey AS c, n_nationkey AS pos, CASE n_nationkey % 4 WHEN 0 THEN 'Sans Regular' WHEN 1 THEN 'Sans Bold Italic' WHEN 2 THEN 'Sans Black' ELSE 'Sans Book' END || n_nationkey AS nm FROM nation)
  SELECT s_suppkey AS brand_id, CASE WHEN s_suppkey % 4 = 0 AND (SELECT count(*) FROM f WHERE c = s_nationkey % 5 AND pos = s_suppkey % 25) > 0 THEN (SELECT min(nm) FROM f WHERE c = s_nationkey % 5 AND pos = s_suppkey % 25)
  ELSE concat_ws(',', (SELECT arg_min(nm, pos) FROM f WHERE c = s_nationkey % 5 AND (nm LIKE '%Regular%' OR nm LIKE '%Book%')), (SELECT arg_min(nm, pos) FROM f WHERE c = s_nationkey % 5 AND nm LIKE '%Black%')) END AS faces FROM supplier""")

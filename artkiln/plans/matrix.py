@@ -390,6 +390,15 @@ def _(t: Tables):
     return P.render_budget(m, _K3, (2, 5_000_000, 6_000_000))
 
 
+@query("default_budgets", "AGG-05", _MATCH + f"""SELECT client_id, matrix_id, row_number, products, largest, CAST(pixels AS BIGINT) AS pixels, CASE WHEN products > {P.BUDGET[0]} THEN 'too_many_products' WHEN largest > {P.BUDGET[1]} THEN 'photo_too_large' WHEN pixels > {P.BUDGET[2]} THEN 'too_many_pixels' END AS rule FROM (
+ SELECT f.client_id, matrix_id, row_number, count(*) AS products, max(width::BIGINT * height * 9) AS largest, sum(width::BIGINT * height * 9) AS pixels FROM found f JOIN assets a ON a.client_id = f.client_id AND a.asset_id = f.asset_id GROUP BY ALL)""")
+def _(t: Tables):
+    """Photos at three times their size, against the limits of a production."""
+    a = t.bind("assets")
+    size = a.select("client_id", "asset_id", *[(F.col(c) * 3).alias(c) for c in ("width", "height")])
+    return P.render_budget(P.matches(typed_once(t), a, _K3, ["client_id"]).join(size, ["client_id", "asset_id"]), _K3)
+
+
 @query("chosen_products", "WIN-17", ctes("typed") + f"""SELECT client_id, matrix_id, row_number, array_to_string(imgs, ' | ') AS imagen,
   array_to_string(list_transform(imgs, lambda f: coalesce(nullif(nm[list_position(files, f)], ''), upper(substr(st(f), 1, 1)) || substr(st(f), 2))), ' | ') AS producto
  FROM (SELECT *, list_reverse(files) AS imgs, list_transform(string_split(producto, '|'), lambda x: trim(x)) AS nm FROM (SELECT *, {dlist('imagen')} AS files FROM typed WHERE coalesce(imagen, '') <> '' AND len(list_distinct({dlist('imagen')})) = len({dlist('imagen')})))""".replace(

@@ -134,6 +134,31 @@ def _(t: Tables):
     return T.overlay_placements(c, s, ["campaign"]).select("campaign", "aspect", "boxes")
 
 
+_STYLES = """WITH s AS (SELECT l_suppkey AS campaign, l_orderkey * 10 + l_linenumber AS ord, 'k' || l_partkey AS tie, CASE l_partkey % 40 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS rk, l_suppkey % 5 > 0 AND l_linenumber = 3 AS measured,
+   CASE WHEN l_linenumber % 2 = 0 THEN ['cta', 'slot' || l_partkey % 4] ELSE [] END AS slots, '#' || l_partkey AS color, CASE WHEN l_partkey % 3 > 0 THEN 'upper' END AS tcase FROM lineitem WHERE l_suppkey % 7 > 0),
+ f AS (SELECT campaign, bool_or(measured) AS measured, min(rk) = 0 AS vec, arg_min([tcase], (rk, ord, tie))[1] AS tcase FROM s GROUP BY ALL HAVING bool_or(measured)),
+ c AS (SELECT campaign, slot, arg_min(color, (rk, ord, tie)) AS color FROM (SELECT *, unnest(list_distinct(slots)) AS slot FROM s) GROUP BY ALL),
+ g AS (SELECT campaign, string_agg(slot || '=' || color, ',' ORDER BY slot) AS colors FROM c GROUP BY ALL),
+ own AS (SELECT s_suppkey AS campaign, k AS candidate_id, CASE WHEN k = 'b' THEN 'cta=#own' ELSE '' END AS colors FROM supplier, (VALUES ('a'), ('b')) AS v(k))
+ SELECT campaign, candidate_id, CASE WHEN f.measured AND g.colors IS NOT NULL AND (vec OR own.colors = '') THEN g.colors ELSE own.colors END AS text_colors,
+  CASE WHEN vec THEN CASE WHEN tcase IS NULL THEN '' ELSE 'cta=' || tcase END END AS text_case, coalesce(vec, false) AS plate_measured FROM own LEFT JOIN f USING (campaign) LEFT JOIN g USING (campaign)"""
+
+
+@query("placement_styles", "JOI-20", _STYLES)
+def _(t: Tables):
+    pk, none = F.col("l_partkey"), F.create_map().cast("map<string,string>")
+    o, colour = pk % 40, F.concat(F.lit("#"), pk.cast("string"))
+    s = t.lineitem.where(F.col("l_suppkey") % 7 > 0).select(
+        F.col("l_suppkey").alias("campaign"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.concat(F.lit("k"), pk.cast("string")).alias("tie")).alias("ord"),
+        F.when(o == 0, "vector").when(o.isin(1, 2), "psd").when(o == 3, "none").otherwise("ocr").alias("origin"), ((F.col("l_suppkey") % 5 > 0) & (F.col("l_linenumber") == 3)).alias("measured"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.create_map(F.lit("cta"), colour, F.concat(F.lit("slot"), (pk % 4).cast("string")), colour)).otherwise(none).alias("text_colors"),
+        F.when(pk % 3 > 0, F.create_map(F.lit("cta"), F.lit("upper"))).alias("text_case"))
+    c = t.supplier.select(F.col("s_suppkey").alias("campaign"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("candidate_id"))
+    c = c.withColumn("text_colors", F.when(F.col("candidate_id") == "b", F.create_map(F.lit("cta"), F.lit("#own"))).otherwise(none))
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return T.overlay_styles(c, s, ["campaign"]).select("campaign", "candidate_id", flat("text_colors").alias("text_colors"), flat("text_case").alias("text_case"), "plate_measured")
+
+
 @query("plate_choice", "JOI-40", """WITH p AS (SELECT l_suppkey AS campaign, 's' || (l_partkey % 5) AS source_id, CASE l_partkey % 50 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS rk, (300 + l_partkey % 9 * 100) / (300 + l_orderkey % 7 * 100) AS ar, l_orderkey * 10 + l_linenumber AS ord,
   CASE WHEN l_partkey % 3 = 0 THEN 'bare' || l_partkey ELSE 'pl' || l_partkey END AS plate FROM lineitem), o AS (SELECT s_suppkey AS campaign, 'k' AS candidate_id, f AS format_id, w / h AS ar FROM supplier CROSS JOIN (VALUES ('a', 1080, 1080), ('b', 1080, 1920)) AS v(f, w, h))
  SELECT o.campaign, o.format_id, arg_min(plate, (rk, CASE WHEN source_id IN ('s1', 's3') THEN 0 ELSE 1 END, abs(p.ar - o.ar), ord, plate)) AS plate FROM o JOIN p USING (campaign) GROUP BY ALL""")

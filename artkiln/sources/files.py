@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import clean_document
@@ -28,6 +32,110 @@ def list_folder(spark: SparkSession, root: str, **kw) -> DataFrame:
     return inventory(raw.select(relative(F.col("path"), root).alias("rel"), "length"), **kw)
 
 
+#: Bytes of a file's head that hold the size of its picture; a TIFF may keep it anywhere.
+HEAD = 262_144
+# Fixed value: the note on a file that cannot be read as a picture.
+UNREADABLE = ": no se pudo leer (UnidentifiedImageError)."
+
+
+def _jpeg_size(b: bytes) -> tuple[int, int] | None:
+    """Width and height from the frame header, past all segments before it."""
+    at = 2
+    while at + 9 <= len(b) and b[at] == 0xFF:
+        if b[at + 1] == 0xFF:  # padding
+            at += 1
+        elif 0xC0 <= b[at + 1] <= 0xCF and b[at + 1] not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack_from(">HH", b, at + 5)
+            return w, h
+        elif b[at + 1] == 0x01 or 0xD0 <= b[at + 1] <= 0xD8:
+            at += 2
+        else:
+            at += 2 + struct.unpack_from(">H", b, at + 2)[0]
+    return None
+
+
+def _webp_size(b: bytes) -> tuple[int, int] | None:
+    kind = b[12:16]
+    if kind == b"VP8X":
+        return int.from_bytes(b[24:27], "little") + 1, int.from_bytes(b[27:30], "little") + 1
+    if kind == b"VP8L" and b[20] == 0x2F:
+        bits = int.from_bytes(b[21:25], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    if kind == b"VP8 " and b[23:26] == b"\x9d\x01\x2a":
+        w, h = struct.unpack_from("<HH", b, 26)
+        return w & 0x3FFF, h & 0x3FFF
+    return None
+
+
+def _tiff_size(b: bytes) -> tuple[int, int] | None:
+    """Width and length among the fields of the first directory."""
+    order = "<" if b[:2] == b"II" else ">"
+    at = struct.unpack_from(order + "I", b, 4)[0]
+    size = {}
+    for k in range(struct.unpack_from(order + "H", b, at)[0]):
+        tag, kind = struct.unpack_from(order + "HH", b, at + 2 + 12 * k)
+        if tag in (256, 257) and kind in (3, 4):
+            size[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), b, at + 10 + 12 * k)[0]
+    return (size[256], size[257]) if len(size) == 2 else None
+
+
+def header_size(b: bytes | None, kind: str | None) -> tuple[int, int] | None:
+    """Width and height told by the head of a picture of that format; None where it is cut short, broken or empty."""
+    try:
+        if kind == "PNG" and b[12:16] == b"IHDR":
+            size = struct.unpack_from(">II", b, 16)
+        elif kind == "PSD":
+            size = struct.unpack_from(">II", b, 14)[::-1]
+        elif kind == "AVIF" and (at := b.find(b"ispe")) >= 0:
+            size = struct.unpack_from(">II", b, at + 8)
+        else:
+            reader = {"JPEG": _jpeg_size, "WEBP": _webp_size, "TIFF": _tiff_size}.get(kind)
+            size = reader(b) if reader else None
+    except (struct.error, IndexError, TypeError):
+        return None
+    return tuple(size) if size and min(size) > 0 else None
+
+
+_SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
+
+
+def image_size(content: Column) -> Column:
+    """``width, height`` of a picture, both null where its head does not tell; only the head goes to Python."""
+
+    @F.pandas_udf(_SIZE)
+    def sizes(head: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([header_size(b, k) or (None, None) for b, k in zip(head, kind)], columns=["width", "height"], dtype="Int64")
+
+    kind = image_format(content)
+    return sizes(F.when(kind == "TIFF", content).otherwise(F.substring(content, 1, HEAD)), kind)
+
+
+def inspect(files: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+    """Inventory with ``format, width, height`` of ``rel, length, content``, and a ``warning`` on what cannot be read.
+
+    A file that no head tells the size of is a row with its warning in place of
+    a size. With `most`, the first so many readable files are shown, and one row
+    without a name says so where there are more.
+    """
+    known = inventory(files, depth).drop("extension")
+    told = files.select("rel", image_format(F.col("content")).alias("format"), image_size(F.col("content")).alias("_s"))
+    j = known.join(told, "rel").select("rel", "name", "size_mb", "format", "_s.width", "_s.height")
+    bad = F.col("width").isNull()
+    rows = j.withColumn("warning", F.when(bad, F.concat("rel", F.lit(UNREADABLE)))).withColumn("format", F.when(~bad, F.col("format")))
+    if most is None:
+        return rows
+    good = rows.where(F.col("warning").isNull())
+    more = good.limit(most + 1).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[:-1]], F.lit(f"Se listan solo los primeros {most} archivos.").alias("warning"))
+    return good.orderBy("rel").limit(most).unionByName(rows.where(F.col("warning").isNotNull())).unionByName(more)
+
+
+def inspect_folder(spark: SparkSession, root: str, **kw) -> DataFrame:
+    """Inventory of a folder with the sizes of its pictures; Spark reads the files whole and lists none that is empty, Python sees their heads."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return inspect(raw.select(relative(F.col("path"), root).alias("rel"), "length", "content"), **kw)
+
+
 def image_format(content: Column) -> Column:
     """Format told by the leading bytes; ``SVG`` is named so that it can be refused."""
     def at(pos, n):

@@ -322,3 +322,30 @@ def test_contained_names_of_one_prefix_meet_by_their_rarest_letters(spark):
     left, right = spark.createDataFrame(sorted(set(shorter)), "g string, s string"), spark.createDataFrame(sorted(set(longer)), "g string, l string")
     got = {tuple(r) for r in P._contained(left, "s", right, "l", ["g"]).collect()}
     assert got == {(g, s, l) for g, s in set(shorter) for h, l in set(longer) if g == h and len(s) >= 3 and s in l}
+
+
+def test_styles_follow_the_best_source(spark):
+    """A vector file rules; without one, colours fill gaps; where nothing is measured, nothing changes."""
+    from artkiln.operators import templates as T
+
+    rows = [("v", 2, "vector", False, {"cta": "#1"}, {"cta": "upper"}), ("v", 1, "ocr", True, {"cta": "#2", "legal": "#3"}, {"cta": "no"}), ("w", 1, "vector", True, {}, None),
+            ("p", 5, "psd", True, {"cta": "#4"}, {"cta": "upper"}), ("p", 4, "psd", False, {"cta": "#5"}, None), ("n", 1, "vector", False, {"cta": "#6"}, {"cta": "upper"}), ("x", 1, "psd", True, None, None)]
+    sources = spark.createDataFrame(rows, "c string, ord int, origin string, measured boolean, text_colors map<string,string>, text_case map<string,string>")
+    own = [(c, k, m) for c in "vwpnxz" for k, m in (("a", {}), ("b", {"cta": "#own"}), ("d", None))]
+    got = {(r.c, r.candidate_id): (r.text_colors, r.text_case, r.plate_measured)
+           for r in T.overlay_styles(spark.createDataFrame(own, "c string, candidate_id string, text_colors map<string,string>"), sources, ["c"]).collect()}
+    assert len(got) == len(own)
+    for k, m in (("a", {}), ("b", {"cta": "#own"}), ("d", None)):
+        assert got["v", k] == ({"cta": "#1", "legal": "#3"}, {"cta": "upper"}, True)
+        assert got["w", k] == (m, {}, True)
+        assert got["p", k] == ({"cta": "#5"} if not m else m, None, False)
+        assert got["n", k] == got["x", k] == got["z", k] == (m, None, False)
+
+
+def test_budgets_of_a_production(spark):
+    from artkiln.operators import matching as P
+
+    sizes = {1: [(1000, 1000)] * 6, 2: [(10, 10)] * 7, 3: [(10_000, 5_000)], 4: [(10_000, 5_001)], 5: [(6000, 2000)] * 2, 6: [(6000, 2000), (6000, 2001)]}
+    df = spark.createDataFrame([(k, w, h) for k, v in sizes.items() for w, h in v], "row int, width int, height int")
+    got = {r.row: r.rule for r in P.render_budget(df, ["row"]).collect()}
+    assert got == {1: None, 2: "too_many_products", 3: "too_many_pixels", 4: "photo_too_large", 5: None, 6: "too_many_pixels"}

@@ -75,6 +75,38 @@ def test_folder_watch_and_inventory(spark, tmp_path):
     assert spark.table("drop").where("path like '%a.png'").count() == 1
 
 
+def test_pictures_of_a_folder_and_their_sizes(spark, tmp_path):
+    """Heads of every format, cut ones, a broken one, an empty one; the first few and a note."""
+    be, le = (lambda n, k: n.to_bytes(k, "big")), (lambda n, k: n.to_bytes(k, "little"))
+    exif = b"\xff\xe1" + be(60_002, 2) + b"\xff\xc0" * 30_000
+    tiff = b"II*\0" + le(400_000, 4) + b"\0" * 399_992 + le(2, 2) + le(256, 2) + le(3, 2) + le(1, 4) + le(70, 4) + le(257, 2) + le(4, 2) + le(1, 4) + le(80, 4)
+    heads = {
+        "a.png": (b"\x89PNG\r\n\x1a\n" + be(13, 4) + b"IHDR" + be(31, 4) + be(41, 4), "PNG", 31, 41),
+        "b.jpg": (b"\xff\xd8" + exif + exif + b"\xff\xff\xc2" + be(17, 2) + b"\x08" + be(42, 2) + be(32, 2) + b"\3\1\2", "JPEG", 32, 42),
+        "c/d.psd": (b"8BPS\0\1" + b"\0" * 6 + be(4, 2) + be(43, 4) + be(33, 4), "PSD", 33, 43),
+        "e.webp": (b"RIFF" + le(30, 4) + b"WEBPVP8X" + le(10, 4) + b"\0" * 4 + le(33, 3) + le(43, 3), "WEBP", 34, 44),
+        "f.webp": (b"RIFF" + le(30, 4) + b"WEBPVP8L" + le(10, 4) + b"\x2f" + le(34 | 44 << 14, 4), "WEBP", 35, 45),
+        "g.webp": (b"RIFF" + le(30, 4) + b"WEBPVP8 " + le(10, 4) + b"\0\0\0\x9d\1\x2a" + le(36, 2) + le(46, 2), "WEBP", 36, 46),
+        "h.tif": (tiff, "TIFF", 70, 80),
+        "i.avif": (be(28, 4) + b"ftypavif" + b"\0" * 40 + b"ispe\0\0\0\0" + be(37, 4) + be(47, 4), "AVIF", 37, 47),
+    }
+    bad = {"k.png": b"\x89PNG\r\n\x1a\n\0\0", "l.jpg": b"\xff\xd8\xff", "m.tif": tiff[:4000], "n.psd": b"", "o.png": b"<svg/>", "p.jpg": b"\xff\xd8" + exif[:100]}
+    for name, content in [*((n, h[0]) for n, h in heads.items()), *bad.items(), ("q.txt", b"1"), (".r.png", b"1")]:
+        (tmp_path / "art" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "art" / name).write_bytes(content)
+    got = {r.rel: r for r in files.inspect_folder(spark, str(tmp_path / "art")).collect()}
+    assert "n.psd" not in got  # an empty file is not listed
+    got["n.psd"] = files.inspect(spark.createDataFrame([("n.psd", 0, b"")], "rel string, length long, content binary")).first()
+    del bad["n.psd"]
+    assert got.pop("n.psd").warning == "n.psd: no se pudo leer (UnidentifiedImageError)."
+    assert {n: (r.format, r.width, r.height, r.warning) for n, r in got.items()} == {
+        **{n: (*h[1:], None) for n, h in heads.items()}, **{n: (None, None, None, n + ": no se pudo leer (UnidentifiedImageError).") for n in bad}}
+    few = files.inspect_folder(spark, str(tmp_path / "art"), most=3).collect()
+    assert [r.rel for r in few if r.warning is None] == ["a.png", "b.jpg", "c/d.psd"] and len(few) == 3 + len(bad) + 1
+    assert [r.warning for r in few if r.rel is None] == ["Se listan solo los primeros 3 archivos."]
+    assert files.inspect_folder(spark, str(tmp_path / "art"), most=8).count() == 8 + len(bad)
+
+
 def test_manifest_and_matrix_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, 'TV "55"', "Base", "feed", 1, "ready", "a.png", "a.jpg", "a.psd", ["uno", "dos"], "b1")],
                                "row_number int, product string, template_name string, format_id string, proposal int, status string, png string, jpg string, psd string, warnings array<string>, batch string")
